@@ -1,0 +1,8 @@
+"""Streaming entry points.
+
+The reports are bounded daily batch queries over a 7- and a 30-day window;
+the source scripts have no stream, watermark or state. Nothing lives here on
+purpose: to refresh a report continuously, run the batch operators on a
+schedule (they are pure ``DataFrame -> DataFrame`` functions of the report
+date). See README "Not built".
+"""
