@@ -69,3 +69,11 @@ def pivot_fixed(df: DataFrame, keys: Sequence[str], pivot_col: str, value_col: s
     if names:
         out = out.withColumnsRenamed({str(v): names[v] for v in values if v in names})
     return out
+
+
+def date_span(df: DataFrame, col: str, name: str = "date") -> DataFrame:
+    """Every day between the first and last date of ``df[col]`` (inclusive),
+    one row per day. The bounds come from one global min/max aggregate; the
+    series size is the number of days spanned, not the number of rows."""
+    bounds = df.agg(F.min(col).alias("__lo"), F.max(col).alias("__hi"))
+    return bounds.select(F.explode(F.sequence("__lo", "__hi")).alias(name))

@@ -108,3 +108,15 @@ def drop_suffix_users(df: DataFrame, cond_col: str, cond_values, user_col: str,
         return df
     hit = F.col(cond_col).isin(vals) if len(vals) > 1 else (F.col(cond_col) == F.lit(vals[0]))
     return df.filter(~(hit & F.col(user_col).rlike(pattern)))
+
+
+def join_with_suffix(left: DataFrame, right: DataFrame, on, how: str = "left",
+                     suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
+    """Join keeping both copies of same-named non-key columns, renamed with
+    ``suffixes`` (``name`` -> ``name_x`` / ``name_y``), instead of leaving two
+    ambiguous columns."""
+    keys = _as_list(on)
+    common = (set(left.columns) & set(right.columns)) - set(keys)
+    lx = left.withColumnsRenamed({c: c + suffixes[0] for c in common})
+    ry = right.withColumnsRenamed({c: c + suffixes[1] for c in common})
+    return lx.join(ry, keys, how)

@@ -88,6 +88,8 @@ class ReportParams:
     top_n: int = 20
     # monetary sums rounded to this many decimals before ratios (None = raw)
     money_scale: int | None = None
+    # sums of cases (quantity / sale_factor) rounded to this many decimals
+    quantity_scale: int | None = None
     # campaign report window (inclusive) -- see campaign_window()
     campaign_start: dt.date | None = None
     campaign_end: dt.date | None = None

@@ -196,9 +196,11 @@ def report_sales(m: Model) -> DataFrame:
             .join(category_daily_self(m), ["city", "date"], "left")
             .join(category_daily_platform(m), ["city", "date"], "left"))
     city = zero_fill(city, ch_cols + cat_cols)
-    city = city.withColumn("total_amount", F.col("unified_alloc") + F.col("self_alloc") + F.col("self_supp"))
+    city = city.withColumn("total_amount", money(F.col("unified_alloc") + F.col("self_alloc") + F.col("self_supp"),
+                                                 m.p.money_scale))
     cols = ["city", "date", "total_amount"] + ch_cols + cat_cols
-    total = (city.groupBy("date").agg(*[F.sum(c).alias(c) for c in ch_cols + cat_cols + ["total_amount"]])
+    total = (city.groupBy("date").agg(*[money(F.sum(c), m.p.money_scale).alias(c)
+                                        for c in ch_cols + cat_cols + ["total_amount"]])
              .withColumn("city", F.lit(ALL_CITIES_LABEL)))
     return total.select(*cols).unionByName(city.select(*cols))
 
@@ -247,13 +249,15 @@ def report_delivery(m: Model) -> DataFrame:
 # ---------------------------------------------------------------------------
 def month_sold(m: Model) -> DataFrame:
     """30-day cases per city x product name."""
-    return m.items_month.groupBy("city", "name").agg(strict_sum("quantity").alias("monthly_quantity"))
+    return m.items_month.groupBy("city", "name").agg(
+        money(strict_sum("quantity"), m.p.quantity_scale).alias("monthly_quantity"))
 
 
 def top_products(m: Model, localized: bool = False) -> DataFrame:
     """Top products of the report day per city with their 30-day cases.
     Ties at the cut are broken by product name."""
-    today = m.items_today.groupBy("city", "name").agg(strict_sum("quantity").alias("today_quantity"))
+    today = m.items_today.groupBy("city", "name").agg(
+        money(strict_sum("quantity"), m.p.quantity_scale).alias("today_quantity"))
     top = top_n(today, ["city"], [F.col("today_quantity").desc_nulls_last(), F.col("name").asc_nulls_last()],
                 m.p.top_n)
     out = null_safe_left_join(top, month_sold(m), ["city", "name"])

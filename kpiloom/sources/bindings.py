@@ -66,7 +66,7 @@ def kpi_params() -> ReportParams:
         excluded_districts=TEST_EXCLUDED_DISTRICTS, municipalities=TEST_MUNICIPALITIES,
         test_accounts=TEST_ACCOUNTS, x_area_ids=TEST_X_AREAS, dropped_area_ids=TEST_DROPPED_AREAS,
         x_user_pattern=TEST_X_PATTERN, x_district=TEST_X_DISTRICT, category_columns=TEST_CATEGORIES,
-        app_login_method="signup", app_success_prefix='{"k": 1', money_scale=2,
+        app_login_method="signup", app_success_prefix='{"k": 1', money_scale=2, quantity_scale=6,
     )
 
 
@@ -80,7 +80,7 @@ def sales_params() -> ReportParams:
         test_accounts=TEST_ACCOUNTS, x_area_ids=TEST_X_AREAS, dropped_area_ids=TEST_DROPPED_AREAS,
         x_user_pattern=TEST_X_PATTERN, x_district=TEST_X_DISTRICT, category_columns=TEST_CATEGORIES,
         delivery_thresholds=(30, 180, 365), delivery_labels=("d30", "d180", "d365", "d365+"),
-        in_transit_label="in_transit", money_scale=2,
+        in_transit_label="in_transit", money_scale=2, quantity_scale=6,
         campaign_start=dt.date(2001, 6, 1), campaign_end=dt.date(2001, 7, 31),
     )
 
