@@ -267,7 +267,7 @@ def q_avg_ticket(m: Model) -> DataFrame:
     o = in_window(m.orders, "create_date", m.p.month_start, m.p.report_date).join(m.area, "area_id", "left")
     out = o.groupBy("city").agg(money(strict_sum("original_amount"), m.p.money_scale).alias("amount"),
                                 F.count(F.lit(1)).alias("n_orders"))
-    return out.withColumn("avg_ticket", F.col("amount") / F.col("n_orders"))
+    return out.withColumn("avg_ticket", ratio(F.col("amount"), F.col("n_orders")))
 
 
 def q_total_row_append(m: Model) -> DataFrame:

@@ -43,32 +43,37 @@ def cohort_counts(df: DataFrame, keys: Sequence[str], user: str, first_col: str,
     return firsts.groupBy(*keys, out_date).agg(F.count(F.lit(1)).alias(out_count))
 
 
+def _level_of(gid_col: str, n: int) -> Column:
+    # grouping sets are prefixes of the level keys, so the level is the number
+    # of keys kept: n - popcount(grouping_id)
+    return (F.lit(n) - F.bit_count(F.col(gid_col))).cast("int")
+
+
 def level_sets(df: DataFrame, levels: Sequence[str], aggs: Sequence[Column],
-               include_total: bool = True) -> DataFrame:
-    """Aggregate at each prefix of ``levels`` (and the grand total).
-
-    Equivalent to ``rollup(*levels)``, but: the result carries ``level``
-    (0 = total, 1 = first key, ...) computed from ``grouping_id()`` so a NULL
-    key value in the data is not mistaken for a subtotal; and the total row
-    exists even on empty input (it comes from a global ``agg``, which always
-    returns one row, while ``rollup`` returns none on empty input).
+               include_total: bool = True, empty: dict | None = None) -> DataFrame:
+    """Aggregate at each prefix of ``levels`` and at the grand total.
+
+    Equivalent to ``rollup(*levels)`` (one Expand + one partial/final
+    aggregate, a single pass over ``df``), but the result carries ``level``
+    (0 = total, 1 = first key, ...) computed from ``grouping_id()``, so a NULL
+    key in the data is never mistaken for a subtotal. ``rollup`` returns no
+    total row on empty input; here a one-row anchor is left-joined with the
+    total so it always exists, its measures set from ``empty`` (e.g. counts
+    0) where the input was empty.
     """
     levels = list(levels)
     n = len(levels)
-    sets = [levels[: i + 1] for i in range(n)]
-    gid = F.grouping_id(*levels)
+    sets = ([[]] if include_total else []) + [levels[: i + 1] for i in range(n)]
     grouped = (df.groupingSets(sets, *levels)
-               .agg(*aggs, gid.alias("__gid")))
-    # number of aggregated-away keys = popcount of gid; since sets are prefixes
-    # the level equals n - popcount(gid)
-    grouped = grouped.withColumn(LEVEL_COL, (F.lit(n) - F.bit_count(F.col("__gid"))).cast("int")).drop("__gid")
+               .agg(*aggs, F.grouping_id(*levels).alias("__gid"))
+               .withColumn(LEVEL_COL, _level_of("__gid", n)).drop("__gid"))
     if not include_total:
         return grouped
-    total = df.agg(*aggs)
-    for k in levels:
-        total = total.withColumn(k, F.lit(None).cast(df.schema[k].dataType))
-    total = total.withColumn(LEVEL_COL, F.lit(0))
-    return grouped.unionByName(total)
+    anchor = df.sparkSession.range(1).select(F.lit(0).alias(LEVEL_COL))
+    total = anchor.join(grouped.filter(F.col(LEVEL_COL) == 0), LEVEL_COL, "left")
+    if empty:
+        total = total.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in empty.items()})
+    return grouped.filter(F.col(LEVEL_COL) > 0).unionByName(total)
 
 
 def repeat_rate(df: DataFrame, levels: Sequence[str], user: str, day: str, min_days: int = 2,
@@ -87,11 +92,11 @@ def repeat_rate(df: DataFrame, levels: Sequence[str], user: str, day: str, min_d
     gid = F.grouping_id(*levels, user)
     per_user = (df.groupingSets(sets, *levels, user)
                 .agg(F.count_distinct(day).alias("__days"), gid.alias("__gid"))
-                .withColumn(LEVEL_COL, (F.lit(n) - F.bit_count(F.col("__gid"))).cast("int")))
+                .withColumn(LEVEL_COL, _level_of("__gid", n)))
     out = (per_user.groupBy(LEVEL_COL, *levels)
            .agg(F.count(F.lit(1)).alias(count_name),
                 F.count_if(F.col("__days") >= min_days).alias(repeat_name)))
-    return out.withColumn(rate_name, F.col(repeat_name) / F.col(count_name))
+    return out.withColumn(rate_name, F.try_divide(F.col(repeat_name), F.col(count_name)))
 
 
 def append_total(df: DataFrame, label_col: str, label: str, group_keys: Sequence[str],

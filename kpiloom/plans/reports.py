@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kpiloom.functions.semantics import in_set, money, n_distinct, ratio, strict_sum, zero_fill
 from kpiloom.operators.aggregates import LEVEL_COL, cohort_counts, level_sets, repeat_rate
-from kpiloom.operators.grid import cross_grid, date_series, densify, pivot_fixed, values_frame
+from kpiloom.operators.grid import cross_grid, date_series, densify, values_frame
 from kpiloom.operators.relational import null_safe_left_join
 from kpiloom.operators.windows import peaks, top_n
 from kpiloom.params import (
@@ -90,7 +90,8 @@ def rollup_visits(m: Model) -> DataFrame:
     """Report-day visits (rows) and unique visitors per level."""
     lg = m.logins_window.filter(F.col("login_date") == F.lit(m.p.report_date))
     return level_sets(lg, LEVELS, [F.count(F.lit(1)).alias("total_visitors"),
-                                   n_distinct("member_id").alias("unique_visitors")])
+                                   n_distinct("member_id").alias("unique_visitors")],
+                      empty={"total_visitors": 0, "unique_visitors": 0})
 
 
 def rollup_orders(m: Model) -> DataFrame:
@@ -98,16 +99,42 @@ def rollup_orders(m: Model) -> DataFrame:
     o = m.orders_window.filter(F.col("create_date") == F.lit(m.p.report_date))
     out = level_sets(o, LEVELS, [n_distinct("username").alias("people_count"),
                                  F.count(F.lit(1)).alias("total_quant"),
-                                 money(strict_sum("original_amount"), m.p.money_scale).alias("total_amount")])
-    return out.withColumn("daily_pct", F.col("total_amount") / F.col("total_quant"))
+                                 money(strict_sum("original_amount"), m.p.money_scale).alias("total_amount")],
+                     empty={"people_count": 0, "total_quant": 0, "total_amount": 0.0})
+    return out.withColumn("daily_pct", ratio(F.col("total_amount"), F.col("total_quant")))
 
 
 def rollup_weekly(m: Model) -> DataFrame:
     """7-day amount, average ticket and orders per day per level."""
     o = m.orders_window
     out = level_sets(o, LEVELS, [money(strict_sum("original_amount"), m.p.money_scale).alias("wkly_total_amount"),
-                                 F.count(F.lit(1)).alias("__n")])
-    return (out.withColumn("wkly_pct", F.col("wkly_total_amount") / F.col("__n"))
+                                 F.count(F.lit(1)).alias("__n")],
+                     empty={"wkly_total_amount": 0.0, "__n": 0})
+    return (out.withColumn("wkly_pct", ratio(F.col("wkly_total_amount"), F.col("__n")))
+            .withColumn("wkly_avg_quant", F.col("__n") / F.lit(float(m.p.week_days))).drop("__n"))
+
+
+def orders_day_and_week(m: Model) -> DataFrame:
+    """Report-day and 7-day order measures per level in one aggregate over
+    the 7-day orders (report-day measures are conditional aggregates). A
+    level with week orders but none on the report day gets report-day
+    measures 0 / NULL, which table2 fills with 0 as it does for a missing
+    row."""
+    day = F.col("create_date") == F.lit(m.p.report_date)
+    user = F.when(day, F.col("username"))
+    scale = m.p.money_scale
+    amount_day = F.when(day, F.col("original_amount"))
+    aggs = [
+        (F.count_distinct(user) + F.coalesce(F.max(F.when(day, F.col("username").isNull().cast("int"))), F.lit(0)))
+        .alias("people_count"),
+        F.count_if(day).alias("total_quant"),
+        money(F.when(F.count_if(day) == F.count(amount_day), F.sum(amount_day)), scale).alias("total_amount"),
+        money(strict_sum("original_amount"), scale).alias("wkly_total_amount"),
+        F.count(F.lit(1)).alias("__n"),
+    ]
+    out = level_sets(m.orders_window, LEVELS, aggs)
+    return (out.withColumn("daily_pct", ratio(F.col("total_amount"), F.col("total_quant")))
+            .withColumn("wkly_pct", ratio(F.col("wkly_total_amount"), F.col("__n")))
             .withColumn("wkly_avg_quant", F.col("__n") / F.lit(float(m.p.week_days))).drop("__n"))
 
 
@@ -132,7 +159,7 @@ def report_visits_orders(m: Model, with_level: bool = False) -> DataFrame:
     also those outside the report cities."""
     keys = [LEVEL_COL, "city", "district"]
     out = rollup_visits(m)
-    for part in (rollup_orders(m), rollup_weekly(m), repeat_visit_rate(m), repeat_order_rate(m)):
+    for part in (orders_day_and_week(m), repeat_visit_rate(m), repeat_order_rate(m)):
         out = null_safe_left_join(out, part, keys)
     out = out.withColumn("district", F.when(F.col("city").isNull() & F.col("district").isNull(),
                                             F.lit(ALL_CITIES_LABEL))
@@ -153,49 +180,57 @@ def _grid_sales(m: Model) -> DataFrame:
     return m.sales_detail.filter(in_set("city", m.p.cities)).withColumnRenamed("create_date", "date")
 
 
-def channel_daily(m: Model) -> DataFrame:
-    """Amount per city x day x channel, one column per channel."""
-    agg = _grid_sales(m).groupBy("city", "date", "method").agg(
-        money(strict_sum("sub_total"), m.p.money_scale).alias("amount"))
-    s = _spark(m)
-    grid = cross_grid(_grid_city_date(m), values_frame(s, "method", CHANNELS))
-    dense = densify(agg, grid, ["city", "date", "method"])
-    return pivot_fixed(dense, ["city", "date"], "method", "amount", CHANNELS, CHANNEL_COLUMNS, agg="first")
+def _strict_cell(cond, value: str, scale: int | None):
+    """Strict sum of ``value`` over rows where ``cond`` holds: NULL when no
+    row matches or a matching value is NULL (the cell a long->wide spread of
+    per-key sums would produce)."""
+    x = F.when(cond, F.col(value))
+    return money(F.when(F.count_if(cond) == F.count(x), F.sum(x)), scale)
 
 
-def _category_daily(m: Model, self_operated: bool, suffix: str) -> DataFrame:
-    cats = list(m.p.category_columns)
-    sd = _grid_sales(m)
-    sd = sd.filter((F.col("method") == CHANNEL_SELF_OPERATED) if self_operated
-                   else (F.col("method") != CHANNEL_SELF_OPERATED))
-    agg = sd.groupBy("city", "date", "cate1").agg(money(strict_sum("sub_total"), m.p.money_scale).alias("amount"))
-    grid = cross_grid(_grid_city_date(m), values_frame(_spark(m), "cate1", cats))
-    dense = densify(agg, grid, ["city", "date", "cate1"])
-    names = {c: f"{stem}_{suffix}" for c, stem in m.p.category_columns.items()}
-    return pivot_fixed(dense, ["city", "date"], "cate1", "amount", cats, names, agg="first")
+def _sales_cells(m: Model, channels: bool = True, self_cats: bool = True, platform_cats: bool = True) -> DataFrame:
+    """One aggregate over the 7-day sales detail per (city, day) holding every
+    wide cell of table3: amount per channel and per (self-operated /
+    platform, level-1 category). Conditional aggregation replaces three
+    long aggregates + pivots: one scan, one shuffle of partial aggregates."""
+    scale = m.p.money_scale
+    meth, cate = F.col("method"), F.col("cate1")
+    cells = []
+    if channels:
+        cells += [_strict_cell(meth == v, "sub_total", scale).alias(CHANNEL_COLUMNS[v]) for v in CHANNELS]
+    if self_cats:
+        cells += [_strict_cell((meth == CHANNEL_SELF_OPERATED) & (cate == c), "sub_total", scale).alias(f"{st}_ss")
+                  for c, st in m.p.category_columns.items()]
+    if platform_cats:
+        cells += [_strict_cell((meth != CHANNEL_SELF_OPERATED) & (cate == c), "sub_total", scale).alias(f"{st}_pf")
+                  for c, st in m.p.category_columns.items()]
+    agg = _grid_sales(m).groupBy("city", "date").agg(*cells)
+    return densify(agg, _grid_city_date(m), ["city", "date"])
+
+
+def channel_daily(m: Model) -> DataFrame:
+    """Amount per city x day x channel, one column per channel (NULL where
+    the channel sold nothing)."""
+    return _sales_cells(m, True, False, False)
 
 
 def category_daily_self(m: Model) -> DataFrame:
     """Self-operated amount per city x day x level-1 category, wide."""
-    return _category_daily(m, True, "ss")
+    return _sales_cells(m, False, True, False)
 
 
 def category_daily_platform(m: Model) -> DataFrame:
     """Platform (unified + self-delivered) amount per level-1 category, wide."""
-    return _category_daily(m, False, "pf")
+    return _sales_cells(m, False, False, True)
 
 
 def report_sales(m: Model) -> DataFrame:
     """table3: all-city rows first, then city rows; missing cells are 0 and
     total_amount is the sum of the three channels."""
-    grid = _grid_city_date(m)
     stems = list(m.p.category_columns.values())
     cat_cols = [f"{s}_ss" for s in stems] + [f"{s}_pf" for s in stems]
     ch_cols = ["unified_alloc", "self_alloc", "self_supp"]
-    city = (grid.join(channel_daily(m), ["city", "date"], "left")
-            .join(category_daily_self(m), ["city", "date"], "left")
-            .join(category_daily_platform(m), ["city", "date"], "left"))
-    city = zero_fill(city, ch_cols + cat_cols)
+    city = zero_fill(_sales_cells(m), ch_cols + cat_cols)
     city = city.withColumn("total_amount", money(F.col("unified_alloc") + F.col("self_alloc") + F.col("self_supp"),
                                                  m.p.money_scale))
     cols = ["city", "date", "total_amount"] + ch_cols + cat_cols
@@ -212,33 +247,39 @@ def _effects(m: Model) -> list[str]:
     return list(m.p.delivery_labels) + [m.p.in_transit_label]
 
 
-def delivery_by_status(m: Model) -> DataFrame:
+def _delivery_cells(m: Model, status: bool = True, channel: bool = True) -> DataFrame:
+    """Orders per (city, delivery bucket): one count column per final status
+    and, for normal orders, per delivery channel; zero where none. Orders
+    without a bucket, status or channel fall outside every cell."""
+    from kpiloom.functions.semantics import channel_of_delivery_method
+
     s = _spark(m)
+    st = F.col("ship_status_simple")
+    cells = []
+    if status:
+        cells += [F.count_if(st == v).alias(v) for v in SHIP_STATUS_LABELS]
+    if channel:
+        ch = channel_of_delivery_method("delivery_method")
+        cells += [F.count_if((st == "normal") & (ch == v)).alias(v) for v in DELIVERY_METHOD_LABELS]
     agg = (m.delivery_orders.filter(in_set("city", m.p.cities))
-           .groupBy("city", "delivery_effect", "ship_status_simple").agg(F.count(F.lit(1)).alias("count")))
-    grid = cross_grid(values_frame(s, "city", m.p.cities), values_frame(s, "delivery_effect", _effects(m)),
-                      values_frame(s, "ship_status_simple", SHIP_STATUS_LABELS))
-    dense = densify(agg, grid, ["city", "delivery_effect", "ship_status_simple"])
-    wide = pivot_fixed(dense, ["city", "delivery_effect"], "ship_status_simple", "count", SHIP_STATUS_LABELS,
-                       agg="first")
-    return zero_fill(wide, list(SHIP_STATUS_LABELS))
+           .groupBy("city", "delivery_effect").agg(*cells))
+    grid = cross_grid(values_frame(s, "city", m.p.cities), values_frame(s, "delivery_effect", _effects(m)))
+    cols = (list(SHIP_STATUS_LABELS) if status else []) + (list(DELIVERY_METHOD_LABELS) if channel else [])
+    return zero_fill(densify(agg, grid, ["city", "delivery_effect"]), cols)
+
+
+def delivery_by_status(m: Model) -> DataFrame:
+    return _delivery_cells(m, True, False)
 
 
 def delivery_by_channel(m: Model) -> DataFrame:
-    s = _spark(m)
-    agg = (m.delivery_channel_orders.filter(in_set("city", m.p.cities))
-           .groupBy("city", "delivery_effect", "method").agg(F.count(F.lit(1)).alias("count")))
-    grid = cross_grid(values_frame(s, "city", m.p.cities), values_frame(s, "delivery_effect", _effects(m)),
-                      values_frame(s, "method", DELIVERY_METHOD_LABELS))
-    dense = densify(agg, grid, ["city", "delivery_effect", "method"])
-    wide = pivot_fixed(dense, ["city", "delivery_effect"], "method", "count", DELIVERY_METHOD_LABELS, agg="first")
-    return zero_fill(wide, list(DELIVERY_METHOD_LABELS))
+    return _delivery_cells(m, False, True)
 
 
 def report_delivery(m: Model) -> DataFrame:
     """table4: all-city rows per bucket, then city rows."""
     cols = ["city", "delivery_effect", "normal", "refused", "returned", "self_alloc", "unified_alloc", "self_supp"]
-    city = delivery_by_status(m).join(delivery_by_channel(m), ["city", "delivery_effect"], "left").select(*cols)
+    city = _delivery_cells(m).select(*cols)
     total = (city.groupBy("delivery_effect").agg(*[F.sum(c).alias(c) for c in cols[2:]])
              .withColumn("city", F.lit(ALL_CITIES_LABEL)))
     return total.select(*cols).unionByName(city)
@@ -265,35 +306,41 @@ def top_products(m: Model, localized: bool = False) -> DataFrame:
     return out.toDF(*TOP_PRODUCTS_HEADERS) if localized else out
 
 
-def _channel_distinct(m: Model, col: str, out_names: dict) -> DataFrame:
-    s = _spark(m)
+def _channel_distinct(m: Model, orders: bool = True, buyers: bool = True) -> DataFrame:
+    """7-day distinct orders / buyers per city and channel, wide, 0 where
+    none. One (city, channel) aggregate, then a per-city fold of its <= 3
+    rows into columns."""
+    from kpiloom.params import CHANNEL_COUNT_HEADERS as H
+
     sd = m.sales_detail.filter(in_set("city", m.p.cities))
-    agg = sd.groupBy("city", "method").agg(n_distinct(col).alias("n"))
-    grid = cross_grid(values_frame(s, "city", m.p.cities), values_frame(s, "method", CHANNELS))
-    dense = densify(agg, grid, ["city", "method"])
-    wide = pivot_fixed(dense, ["city"], "method", "n", CHANNELS, out_names, agg="first")
-    order = [out_names[CHANNEL_SELF_DELIVERED], out_names[CHANNEL_UNIFIED], out_names[CHANNEL_SELF_OPERATED]]
-    return zero_fill(wide, order).select("city", *order)
+    aggs = ([n_distinct("order_id").alias("n_orders")] if orders else []) + \
+        ([n_distinct("username").alias("n_buyers")] if buyers else [])
+    long = sd.groupBy("city", "method").agg(*aggs)
+    order = [CHANNEL_SELF_DELIVERED, CHANNEL_UNIFIED, CHANNEL_SELF_OPERATED]
+    cells, names = [], []
+    if orders:
+        names += list(H[:3])
+        cells += [F.max(F.when(F.col("method") == v, F.col("n_orders"))).alias(h) for v, h in zip(order, H[:3])]
+    if buyers:
+        names += list(H[3:])
+        cells += [F.max(F.when(F.col("method") == v, F.col("n_buyers"))).alias(h) for v, h in zip(order, H[3:])]
+    wide = long.groupBy("city").agg(*cells)
+    out = densify(wide, values_frame(_spark(m), "city", m.p.cities), ["city"])
+    return zero_fill(out, names).select("city", *names)
 
 
 def channel_orders(m: Model) -> DataFrame:
     """7-day distinct orders per city and channel."""
-    from kpiloom.params import CHANNEL_COUNT_HEADERS as H
-
-    return _channel_distinct(m, "order_id", {CHANNEL_SELF_DELIVERED: H[0], CHANNEL_UNIFIED: H[1],
-                                             CHANNEL_SELF_OPERATED: H[2]})
+    return _channel_distinct(m, True, False)
 
 
 def channel_buyers(m: Model) -> DataFrame:
     """7-day distinct buyers per city and channel."""
-    from kpiloom.params import CHANNEL_COUNT_HEADERS as H
-
-    return _channel_distinct(m, "username", {CHANNEL_SELF_DELIVERED: H[3], CHANNEL_UNIFIED: H[4],
-                                             CHANNEL_SELF_OPERATED: H[5]})
+    return _channel_distinct(m, False, True)
 
 
 def channel_counts(m: Model) -> DataFrame:
-    return channel_orders(m).join(channel_buyers(m), "city", "left")
+    return _channel_distinct(m, True, True)
 
 
 def sell_through(m: Model, localized: bool = False) -> DataFrame:
@@ -312,7 +359,7 @@ def sell_through(m: Model, localized: bool = False) -> DataFrame:
     per_sn = listed.groupBy("city", "method", "sn").agg(F.max("sold").alias("sold"))
     out = (per_sn.groupBy("method", "city").agg(F.count(F.lit(1)).alias("marketable_sn_no"),
                                                  F.sum("sold").cast("bigint").alias("sold_sn_no"))
-           .withColumn("sales_rate", F.col("sold_sn_no") / F.col("marketable_sn_no")))
+           .withColumn("sales_rate", ratio(F.col("sold_sn_no"), F.col("marketable_sn_no"))))
     return out.toDF(*SELL_THROUGH_HEADERS) if localized else out
 
 
