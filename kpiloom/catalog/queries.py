@@ -208,8 +208,9 @@ def q_null_safe_join(m: Model) -> DataFrame:
 def q_cross_grid(m: Model) -> DataFrame:
     s = m.raw.order.sparkSession
     cate1 = m.categories.filter(F.length("code") == 2).select(F.col("name").alias("cate1")).distinct()
-    return cross_grid(values_frame(s, "city", m.p.cities),
-                      date_series(s, m.p.week_dates()[0], m.p.report_date, "date"), cate1)
+    # the level-1 list comes from the data: it is streamed, the parameter grid is broadcast
+    return cross_grid(cate1, cross_grid(values_frame(s, "city", m.p.cities),
+                                        date_series(s, m.p.week_dates()[0], m.p.report_date, "date")))
 
 
 def q_totals_row(m: Model) -> DataFrame:
@@ -403,6 +404,35 @@ def q_log_events(m: Model) -> DataFrame:
                      .withColumnRenamed("complete_date", "event_date"))
 
 
+def _sink_dir(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from kpiloom.session import ensure_checkpoint_dir
+
+    return f"{ensure_checkpoint_dir(spark)}/sinks/{name}-{uuid.uuid4().hex}"
+
+
+def q_sink_csv_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Z1: table4 written as a CSV report (header, NULL as NA), read back."""
+    from kpiloom.sources.sinks import csv_report
+
+    path = _sink_dir(spark, "table4")
+    csv_report(R.report_delivery(sales_model(spark, sf)), path)
+    return spark.read.option("header", True).option("nullValue", "NA").csv(path)
+
+
+def q_sink_bundle(spark: SparkSession, sf: str) -> DataFrame:
+    """Z2/Z3: supplement reports written as one dated bundle, read back."""
+    from kpiloom.sources.sinks import read_bundle, write_bundle
+
+    m = sales_model(spark, sf)
+    base = _sink_dir(spark, "bundle")
+    write_bundle({"top_products": R.top_products(m), "channel_counts": R.channel_counts(m),
+                  "sell_through": R.sell_through(m)}, base, m.p.report_date,
+                 small=("top_products", "channel_counts", "sell_through"))
+    return read_bundle(spark, base, "top_products")
+
+
 def q_report_visits_orders(m: Model) -> DataFrame:
     return R.report_visits_orders(m, with_level=True)
 
@@ -522,4 +552,7 @@ QUERIES: dict[str, Query] = {
     "campaign_detail": _s(R.campaign_detail),
     "campaign_summary": _s(lambda m: R.campaign_summary(m, localized=True)),
     "campaign_share": _s(R.campaign_share),
+    # sinks (write, then read back; rows-only check)
+    "sink_csv_report": q_sink_csv_report,
+    "sink_bundle": q_sink_bundle,
 }

@@ -29,7 +29,12 @@ def date_series(spark: SparkSession, start: dt.date, end: dt.date, name: str = "
 
 
 def cross_grid(*dims: DataFrame) -> DataFrame:
-    """Cartesian product of small parameter frames (broadcast nested loop)."""
+    """Cartesian product (broadcast nested loop join).
+
+    Every frame after the first is broadcast, so those must be parameter
+    frames (bounded by the report parameters). A data-derived dimension may
+    only come first: it is streamed, never broadcast.
+    """
     out = dims[0]
     for d in dims[1:]:
         out = out.crossJoin(F.broadcast(d))
