@@ -26,7 +26,7 @@ from kpiloom.operators.windows import peaks
 from kpiloom.params import ALL_CITIES_LABEL, CHANNEL_COLUMNS, CHANNELS
 from kpiloom.plans import reports as R
 from kpiloom.plans.dims import area_levels, city_districts
-from kpiloom.plans.facts import Model
+from kpiloom.plans.facts import Model, run_snapshot_base
 from kpiloom.sources import ingest
 from kpiloom.sources.bindings import kpi_params, sales_params, test_raw_tables
 
@@ -34,11 +34,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def kpi_model(spark: SparkSession, sf_dir: str, **kw) -> Model:
-    return Model(test_raw_tables(spark, sf_dir, "events"), kpi_params(), **kw)
+    p = kpi_params()
+    kw.setdefault("snapshot", run_snapshot_base(spark, sf_dir, "events", p))
+    return Model(test_raw_tables(spark, sf_dir, "events"), p, **kw)
 
 
 def sales_model(spark: SparkSession, sf_dir: str, **kw) -> Model:
-    return Model(test_raw_tables(spark, sf_dir, "orders"), sales_params(), **kw)
+    p = sales_params()
+    kw.setdefault("snapshot", run_snapshot_base(spark, sf_dir, "orders", p))
+    return Model(test_raw_tables(spark, sf_dir, "orders"), p, **kw)
 
 
 def _k(fn) -> Query:

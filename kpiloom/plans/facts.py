@@ -27,25 +27,72 @@ from kpiloom.sources import ingest
 from kpiloom.sources.raw import RawTables
 
 
-class Model:
-    """Logical frames of one report run."""
+# snapshots written by this process (a run writes each dimension once) and
+# their read-back frames
+_WRITTEN: dict[str, DataFrame] = {}
+
+
+def run_snapshot_base(spark, *run_key) -> str:
+    """Snapshot folder of one run under the session's checkpoint directory,
+    keyed by the application and ``run_key`` (e.g. source path, report date)."""
+    import hashlib
+
+    from kpiloom.session import ensure_checkpoint_dir
+
+    key = "|".join([spark.sparkContext.applicationId, *map(str, run_key)])
+    return f"{ensure_checkpoint_dir(spark)}/dims/{hashlib.sha1(key.encode()).hexdigest()[:20]}"
+
 
-    def __init__(self, raw: RawTables, p: ReportParams, use_account_table: bool = False):
+class Model:
+    """Logical frames of one report run.
+
+    ``snapshot`` (True, a folder, or False): derived dimensions (area hierarchy, category tree, channel
+    map) are written once per run as Parquet under the session's
+    ``spark.checkpoint.dir`` and read back. Their plans are joins, whose
+    size the optimizer estimates as the product of the inputs (terabytes for
+    a few thousand rows), which would make every fact -> dimension join a
+    shuffle of the fact table. Read back from files they carry their real
+    size, so Spark broadcasts them when they are under
+    ``spark.sql.autoBroadcastJoinThreshold`` and falls back to a sort-merge
+    join when they are not. It also cuts their lineage: a lost executor
+    re-reads the snapshot instead of recomputing it.
+    """
+
+    def __init__(self, raw, p: ReportParams, use_account_table: bool = False,
+                 snapshot: bool | str = True):
         self.raw = raw
         self.p = p
         # accounts: the lookup frame (anti-join) or the literal list (pushed filter)
         self.accounts = raw.test_accounts if use_account_table else list(p.test_accounts)
+        self._snapshot_base = snapshot
+
+    def _snapshot(self, name: str, df: DataFrame) -> DataFrame:
+        base = self._snapshot_base
+        if not base:
+            return df
+        if base is True:
+            import uuid
+
+            from kpiloom.session import ensure_checkpoint_dir
+
+            base = self._snapshot_base = f"{ensure_checkpoint_dir(df.sparkSession)}/dims/{uuid.uuid4().hex}"
+        path = f"{base}/{name}"
+        if path not in _WRITTEN:
+            df.write.mode("overwrite").parquet(path)
+            _WRITTEN[path] = df.sparkSession.read.parquet(path)
+        return _WRITTEN[path]
 
     # ---- dimensions -------------------------------------------------------
     @cached_property
     def area(self) -> DataFrame:
         """Area dimension of the daily report (areas without district kept)."""
-        return area_dim(ingest.scan_area(self.raw.area), self.p, keep_null_district=True)
+        return self._snapshot("area", area_dim(ingest.scan_area(self.raw.area), self.p, keep_null_district=True))
 
     @cached_property
     def area_campaign(self) -> DataFrame:
         """Area dimension of the campaign report (areas need a district)."""
-        return area_dim(ingest.scan_area(self.raw.area), self.p, keep_null_district=False)
+        return self._snapshot("area_campaign",
+                              area_dim(ingest.scan_area(self.raw.area), self.p, keep_null_district=False))
 
     @cached_property
     def products(self) -> DataFrame:
@@ -57,7 +104,7 @@ class Model:
 
     @cached_property
     def prod_cate(self) -> DataFrame:
-        return category_tree(self.categories)
+        return self._snapshot("prod_cate", category_tree(self.categories))
 
     @cached_property
     def dealers(self) -> DataFrame:
@@ -65,7 +112,7 @@ class Model:
 
     @cached_property
     def channel(self) -> DataFrame:
-        return channel_map(self.products, self.dealers, self.p)
+        return self._snapshot("channel", channel_map(self.products, self.dealers, self.p))
 
     # ---- sources ----------------------------------------------------------
     @cached_property

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiloom.params import ReportParams
-from kpiloom.sources.raw import RawTables
+from kpiloom.sources.raw import LazyRawTables
 
 TEST_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -85,8 +85,17 @@ def sales_params() -> ReportParams:
     )
 
 
+_LOADED: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
 def load_test_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TEST_TABLES}
+    """The test tables as DataFrames, read once per application and folder
+    (DataFrames are immutable plans; re-reading only repeats the footer
+    reads and schema resolution)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LOADED:
+        _LOADED[key] = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TEST_TABLES}
+    return _LOADED[key]
 
 
 def _username(t: dict[str, DataFrame]) -> DataFrame:
@@ -226,16 +235,17 @@ def bind_campaign_products(t) -> DataFrame:
     return t["part"].filter(F.col("p_brand") == TEST_CAMPAIGN_BRAND).select(F.col("p_partkey").cast("string").alias("sn"))
 
 
-def test_raw_tables(spark: SparkSession, sf_dir: str, order_source: str = "orders") -> RawTables:
-    """Raw tables bound to ``sf_dir``; ``order_source`` is 'orders' (sales
-    reports) or 'events' (visit/order KPI tables)."""
+def test_raw_tables(spark: SparkSession, sf_dir: str, order_source: str = "orders") -> LazyRawTables:
+    """Raw tables bound to ``sf_dir`` (built on first use); ``order_source``
+    is 'orders' (sales reports) or 'events' (visit/order KPI tables)."""
     t = load_test_tables(spark, sf_dir)
-    order = bind_order_orders(t) if order_source == "orders" else bind_order_events(t)
-    accounts = spark.createDataFrame([(a,) for a in TEST_ACCOUNTS], "account string")
-    return RawTables(
-        order=order, order_item=bind_order_item(t), order_log=bind_order_log(t), area=bind_area(t),
-        member=bind_member(t), app_log=bind_app_log(t), product=bind_product(t),
-        product_category=bind_product_category(t), dealer=bind_dealer(t),
-        contract_product=bind_contract_product(t), login=bind_login(t), test_accounts=accounts,
-        campaign_products=bind_campaign_products(t),
-    )
+    bind_order = bind_order_orders if order_source == "orders" else bind_order_events
+    return LazyRawTables({
+        "order": lambda: bind_order(t), "order_item": lambda: bind_order_item(t),
+        "order_log": lambda: bind_order_log(t), "area": lambda: bind_area(t), "member": lambda: bind_member(t),
+        "app_log": lambda: bind_app_log(t), "product": lambda: bind_product(t),
+        "product_category": lambda: bind_product_category(t), "dealer": lambda: bind_dealer(t),
+        "contract_product": lambda: bind_contract_product(t), "login": lambda: bind_login(t),
+        "test_accounts": lambda: spark.createDataFrame([(a,) for a in TEST_ACCOUNTS], "account string"),
+        "campaign_products": lambda: bind_campaign_products(t),
+    })

@@ -65,6 +65,27 @@ class RawTables:
     campaign_products: DataFrame      # column ``sn`` (text)
 
 
+class LazyRawTables:
+    """``RawTables`` whose frames are built on first access.
+
+    A report touches a few of the source tables; building the plans of the
+    others (bindings with joins) would only cost driver time.
+    """
+
+    FIELDS = tuple(RAW_SCHEMAS) + ("test_accounts", "campaign_products")
+
+    def __init__(self, builders: dict):
+        self.__dict__["_builders"] = builders
+
+    def __getattr__(self, name: str) -> DataFrame:
+        b = self.__dict__["_builders"]
+        if name not in b:
+            raise AttributeError(name)
+        df = b[name]()
+        self.__dict__[name] = df
+        return df
+
+
 def read_jdbc_tables(spark: SparkSession, url: str, tables: dict[str, str], properties: dict,
                      partitioning: dict[str, dict] | None = None,
                      test_accounts_csv: str | None = None,
