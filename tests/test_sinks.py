@@ -32,3 +32,33 @@ def test_bundle_partitioned_by_report_date(spark, tmp_path):
 def test_checkpoint_dir_is_read_from_session(spark):
     path = ensure_checkpoint_dir(spark)
     assert path and spark.sparkContext.getCheckpointDir()
+
+
+def test_run_daily_bundle(spark, tmp_path):
+    from kpiloom.plans.daily import run_daily
+    from kpiloom.sources.sinks import read_bundle
+    from rawfixture import PARAMS, raw_tables
+
+    paths = run_daily(raw_tables(spark), PARAMS, str(tmp_path / "out"))
+    assert "table2_visits_orders" in paths and "campaign_summary" in paths
+    t2 = read_bundle(spark, str(tmp_path / "out"), "table2_visits_orders")
+    assert t2.filter("city = '汇总'").collect()[0]["total_visitors"] == 4
+
+
+def test_lookup_csv_and_run_modes(spark, tmp_path):
+    import datetime as dt
+
+    from kpiloom.params import ReportParams, campaign_window
+    from kpiloom.sources.raw import read_lookup_csv
+
+    p = tmp_path / "acc.csv"
+    p.write_text("account,other\nt1,x\n007,y\n")
+    df = read_lookup_csv(spark, str(p), "account")
+    assert sorted(r.account for r in df.collect()) == ["007", "t1"]
+    today = dt.date(2024, 1, 29)  # a Monday
+    assert ReportParams.for_run(today, "afternoon").report_date == today
+    m = ReportParams.for_run(today, "morning")
+    assert (m.report_date, m.week_start, m.month_start) == (dt.date(2024, 1, 28), dt.date(2024, 1, 21),
+                                                            dt.date(2023, 12, 29))
+    assert campaign_window(today) == (dt.date(2024, 1, 27), dt.date(2024, 1, 28))
+    assert campaign_window(dt.date(2024, 1, 30)) == (dt.date(2024, 1, 29), dt.date(2024, 1, 29))
