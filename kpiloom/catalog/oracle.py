@@ -269,9 +269,9 @@ def ctes(p, order_flavor: str) -> dict[str, tuple[str, tuple[str, ...]]]:
     FROM (
       SELECT o.id, o.create_date, o.username, o.order_status, o.shipping_status, o.area_id, o.delivery_method,
              s.create_date AS shipping_date, c.create_date AS complete_date,
-             CASE WHEN s.create_date IS NULL AND c.create_date IS NOT NULL
+             CAST(CASE WHEN s.create_date IS NULL AND c.create_date IS NOT NULL
                   THEN datediff('day', o.create_date, c.create_date)
-                  ELSE datediff('day', s.create_date, c.create_date) END AS duration
+                  ELSE datediff('day', s.create_date, c.create_date) END AS INTEGER) AS duration
       FROM orders_clean o
       LEFT JOIN (SELECT order_id, create_date FROM order_log WHERE type = 15) s ON o.id = s.order_id
       LEFT JOIN (SELECT order_id, create_date FROM order_log WHERE type = 18) c ON o.id = c.order_id
