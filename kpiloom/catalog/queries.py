@@ -33,16 +33,26 @@ from kpiloom.sources.bindings import kpi_params, sales_params, test_raw_tables
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# One Model per (application, folder, binding): like a daily run, every
+# report plans against the same (immutable) logical frames. Nothing is
+# cached at execution time.
+_MODELS: dict[tuple, Model] = {}
+
+
+def _model(spark: SparkSession, sf_dir: str, kind: str, params, **kw) -> Model:
+    key = (spark.sparkContext.applicationId, sf_dir, kind, tuple(sorted(kw.items())))
+    if key not in _MODELS:
+        kw.setdefault("snapshot", run_snapshot_base(spark, sf_dir, kind, params))
+        _MODELS[key] = Model(test_raw_tables(spark, sf_dir, kind), params, **kw)
+    return _MODELS[key]
+
+
 def kpi_model(spark: SparkSession, sf_dir: str, **kw) -> Model:
-    p = kpi_params()
-    kw.setdefault("snapshot", run_snapshot_base(spark, sf_dir, "events", p))
-    return Model(test_raw_tables(spark, sf_dir, "events"), p, **kw)
+    return _model(spark, sf_dir, "events", kpi_params(), **kw)
 
 
 def sales_model(spark: SparkSession, sf_dir: str, **kw) -> Model:
-    p = sales_params()
-    kw.setdefault("snapshot", run_snapshot_base(spark, sf_dir, "orders", p))
-    return Model(test_raw_tables(spark, sf_dir, "orders"), p, **kw)
+    return _model(spark, sf_dir, "orders", sales_params(), **kw)
 
 
 def _k(fn) -> Query:

@@ -66,18 +66,21 @@ class Model:
         self.accounts = raw.test_accounts if use_account_table else list(p.test_accounts)
         self._snapshot_base = snapshot
 
-    def _snapshot(self, name: str, df: DataFrame) -> DataFrame:
+    def _snapshot(self, name: str, build) -> DataFrame:
+        """``build()`` once per run, written and read back (see class doc)."""
         base = self._snapshot_base
         if not base:
-            return df
+            return build()
         if base is True:
             import uuid
 
             from kpiloom.session import ensure_checkpoint_dir
 
-            base = self._snapshot_base = f"{ensure_checkpoint_dir(df.sparkSession)}/dims/{uuid.uuid4().hex}"
+            spark = self.raw.order.sparkSession
+            base = self._snapshot_base = f"{ensure_checkpoint_dir(spark)}/dims/{uuid.uuid4().hex}"
         path = f"{base}/{name}"
         if path not in _WRITTEN:
+            df = build()
             df.write.mode("overwrite").parquet(path)
             _WRITTEN[path] = df.sparkSession.read.parquet(path)
         return _WRITTEN[path]
@@ -86,13 +89,14 @@ class Model:
     @cached_property
     def area(self) -> DataFrame:
         """Area dimension of the daily report (areas without district kept)."""
-        return self._snapshot("area", area_dim(ingest.scan_area(self.raw.area), self.p, keep_null_district=True))
+        return self._snapshot("area", lambda: area_dim(ingest.scan_area(self.raw.area), self.p,
+                                                       keep_null_district=True))
 
     @cached_property
     def area_campaign(self) -> DataFrame:
         """Area dimension of the campaign report (areas need a district)."""
-        return self._snapshot("area_campaign",
-                              area_dim(ingest.scan_area(self.raw.area), self.p, keep_null_district=False))
+        return self._snapshot("area_campaign", lambda: area_dim(ingest.scan_area(self.raw.area), self.p,
+                                                                keep_null_district=False))
 
     @cached_property
     def products(self) -> DataFrame:
@@ -104,7 +108,7 @@ class Model:
 
     @cached_property
     def prod_cate(self) -> DataFrame:
-        return self._snapshot("prod_cate", category_tree(self.categories))
+        return self._snapshot("prod_cate", lambda: category_tree(self.categories))
 
     @cached_property
     def dealers(self) -> DataFrame:
@@ -112,7 +116,7 @@ class Model:
 
     @cached_property
     def channel(self) -> DataFrame:
-        return self._snapshot("channel", channel_map(self.products, self.dealers, self.p))
+        return self._snapshot("channel", lambda: channel_map(self.products, self.dealers, self.p))
 
     # ---- sources ----------------------------------------------------------
     @cached_property

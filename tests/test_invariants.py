@@ -79,8 +79,11 @@ def test_sell_through_rate_bounds(sm):
 
 
 def test_independent_of_partitioning(spark, sm):
+    from kpiloom.plans.facts import Model
+    from kpiloom.sources.bindings import sales_params, test_raw_tables
+
     a = R.report_delivery(sm).collect()
-    m2 = sales_model(spark, SF_SMALL)
+    m2 = Model(test_raw_tables(spark, SF_SMALL, "orders"), sales_params(), snapshot=False)
     m2.raw.order = m2.raw.order.repartition(7)
     m2.raw.order_log = m2.raw.order_log.repartition(1)
     b = R.report_delivery(m2).collect()
