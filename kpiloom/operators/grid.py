@@ -47,17 +47,19 @@ def city_date_grid(spark: SparkSession, cities: Sequence[str], start: dt.date, e
 
 
 def densify(agg: DataFrame, grid: DataFrame, keys: Sequence[str], fill_cols: Sequence[str] = (),
-            fill_value=0) -> DataFrame:
+            fill_value=0, unique: bool = True) -> DataFrame:
     """Every grid cell once; measures from ``agg`` where present.
 
     ``agg`` rows outside the grid vanish (right join onto the grid). Plan: the
     aggregate is first reduced to grid cells by a semi-join against the
-    broadcast grid (streams the aggregate, no shuffle), then the grid is left
-    joined with that grid-sized remainder.
+    broadcast grid (streams the aggregate, no shuffle of it). With
+    ``unique=True`` (``agg`` has one row per key, e.g. it is grouped by
+    ``keys``) that remainder has at most one row per grid cell -- a bound set
+    by the parameters -- so it is broadcast into the final left join too.
     """
     keys = list(keys)
     inside = agg.join(F.broadcast(grid.select(*keys)), keys, "left_semi")
-    out = grid.join(inside, keys, "left")
+    out = grid.join(F.broadcast(inside) if unique else inside, keys, "left")
     return zero_fill(out, list(fill_cols), fill_value) if fill_cols else out
 
 

@@ -69,7 +69,9 @@ def report_new_users(m: Model) -> DataFrame:
     lg = new_login_cohort(m).withColumnRenamed("count", "cnt_login")
     od = new_buyer_cohort(m).withColumnRenamed("count", "cnt_order")
     city = densify(lg, grid, ["city", "date"])
-    city = city.join(od.join(F.broadcast(grid), ["city", "date"], "left_semi"), ["city", "date"], "left")
+    # od has one row per (city, date); reduced to grid cells it is grid-bounded
+    city = city.join(F.broadcast(od.join(F.broadcast(grid), ["city", "date"], "left_semi")), ["city", "date"],
+                     "left")
     city = zero_fill(city, ["cnt_login", "cnt_order"])
     total = (city.groupBy("date").agg(F.sum("cnt_login").alias("cnt_login"), F.sum("cnt_order").alias("cnt_order"))
              .withColumn("city", F.lit(ALL_CITIES_LABEL)))
