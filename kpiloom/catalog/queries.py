@@ -18,7 +18,7 @@ from kpiloom.functions.semantics import (
     weekend_window_start, zero_fill,
 )
 from kpiloom.operators.aggregates import LEVEL_COL, append_total, first_by, level_sets
-from kpiloom.operators.grid import cross_grid, date_series, date_span, densify, pivot_fixed, values_frame
+from kpiloom.operators.grid import DateRange, date_span, densify, expand, param_grid, pivot_fixed
 from kpiloom.operators.relational import (
     drop_suffix_users, in_window, join_with_suffix, left_join_renamed, mark, null_safe_left_join,
 )
@@ -198,9 +198,8 @@ def _channel_long(m: Model) -> DataFrame:
 
 def q_densify_grid(m: Model) -> DataFrame:
     s = m.raw.order.sparkSession
-    grid = cross_grid(values_frame(s, "city", m.p.cities),
-                      date_series(s, m.p.week_dates()[0], m.p.report_date, "date"),
-                      values_frame(s, "method", CHANNELS))
+    grid = param_grid(s, city=list(m.p.cities), date=DateRange(m.p.week_dates()[0], m.p.report_date),
+                      method=list(CHANNELS))
     return densify(_channel_long(m), grid, ["city", "date", "method"], ["amount"], 0.0)
 
 
@@ -220,11 +219,9 @@ def q_null_safe_join(m: Model) -> DataFrame:
 
 
 def q_cross_grid(m: Model) -> DataFrame:
-    s = m.raw.order.sparkSession
     cate1 = m.categories.filter(F.length("code") == 2).select(F.col("name").alias("cate1")).distinct()
-    # the level-1 list comes from the data: it is streamed, the parameter grid is broadcast
-    return cross_grid(cate1, cross_grid(values_frame(s, "city", m.p.cities),
-                                        date_series(s, m.p.week_dates()[0], m.p.report_date, "date")))
+    # the level-1 list comes from the data; each of its rows is expanded with the parameter lists
+    return expand(cate1, city=list(m.p.cities), date=DateRange(m.p.week_dates()[0], m.p.report_date))
 
 
 def q_totals_row(m: Model) -> DataFrame:
@@ -234,7 +231,10 @@ def q_totals_row(m: Model) -> DataFrame:
     o = m.orders_window.filter(F.col("create_date") == F.lit(day)).agg(
         n_distinct("username").alias("people_count"), F.count(F.lit(1)).alias("total_quant"))
     w = m.orders_window.agg(money(strict_sum("original_amount"), m.p.money_scale).alias("wkly_total_amount"))
-    return v.crossJoin(o).crossJoin(w)
+    # cbind of one-row totals: stack them (missing columns NULL) and fold to one row
+    parts = v.unionByName(o, allowMissingColumns=True).unionByName(w, allowMissingColumns=True)
+    return parts.agg(*[F.max(c).alias(c) for c in ("total_visitors", "unique_visitors", "people_count",
+                                                     "total_quant", "wkly_total_amount")])
 
 
 # ---- aggregates (A1-A17) --------------------------------------------------
@@ -297,7 +297,7 @@ def q_distinct_rows(m: Model) -> DataFrame:
 # ---- windows, sorts, set operations ---------------------------------------
 def _daily_dense(m: Model, facts: DataFrame, date_col: str, value) -> DataFrame:
     s = m.raw.order.sparkSession
-    grid = cross_grid(values_frame(s, "city", m.p.cities), date_series(s, m.p.week_dates()[0], m.p.report_date))
+    grid = param_grid(s, city=list(m.p.cities), date=DateRange(m.p.week_dates()[0], m.p.report_date))
     agg = (facts.filter(in_set("city", m.p.cities)).withColumnRenamed(date_col, "date")
            .groupBy("city", "date").agg(value.alias("v")))
     return densify(agg, grid, ["city", "date"], ["v"])

@@ -1,8 +1,8 @@
 """Dense grids, densify and fixed-key pivots.
 
-A grid is the cartesian product of parameter lists (cities, days, labels):
-its size is bounded by the report parameters, never by the data, so it is
-always safe to broadcast.
+A grid is the cartesian product of parameter lists (cities, days, labels),
+generated with ``explode`` (no join): its size is bounded by the report
+parameters, never by the data, so it is always safe to broadcast.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, StructField, StructType
 
@@ -28,22 +28,44 @@ def date_series(spark: SparkSession, start: dt.date, end: dt.date, name: str = "
     return spark.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(end))).alias(name))
 
 
-def cross_grid(*dims: DataFrame) -> DataFrame:
-    """Cartesian product (broadcast nested loop join).
+def _values_col(values) -> Column:
+    """Array column of parameter values: a list/tuple of literals, or a
+    ``(start_date, end_date)`` pair given as ``DateRange``."""
+    if isinstance(values, DateRange):
+        return F.sequence(F.lit(values.start), F.lit(values.end))
+    return F.array(*[F.lit(v) for v in values])
 
-    Every frame after the first is broadcast, so those must be parameter
-    frames (bounded by the report parameters). A data-derived dimension may
-    only come first: it is streamed, never broadcast.
+
+class DateRange:
+    """Inclusive day range used as a grid dimension."""
+
+    def __init__(self, start: dt.date, end: dt.date):
+        self.start, self.end = start, end
+
+
+def expand(df: DataFrame, **dims) -> DataFrame:
+    """Attach every combination of parameter values to each row of ``df``.
+
+    ``expand(df, city=[...], date=DateRange(a, b))`` is the cartesian product
+    of ``df`` with the parameter lists, generated by ``explode`` within each
+    row (no join, no shuffle); the output is ``|df|`` times the product of the
+    list lengths, all bounded by the report parameters.
     """
-    out = dims[0]
-    for d in dims[1:]:
-        out = out.crossJoin(F.broadcast(d))
-    return out
+    for name, values in dims.items():
+        df = df.withColumn(name, F.explode(_values_col(values)))
+    return df
+
+
+def param_grid(spark: SparkSession, **dims) -> DataFrame:
+    """Grid of all combinations of parameter lists (``expand.grid``), in the
+    given column order, e.g. ``param_grid(spark, city=cities, date=DateRange(a, b))``."""
+    base = spark.range(1).select()
+    return expand(base, **dims)
 
 
 def city_date_grid(spark: SparkSession, cities: Sequence[str], start: dt.date, end: dt.date,
                    city: str = "city", date: str = "date") -> DataFrame:
-    return cross_grid(values_frame(spark, city, cities), date_series(spark, start, end, date))
+    return param_grid(spark, **{city: list(cities), date: DateRange(start, end)})
 
 
 def densify(agg: DataFrame, grid: DataFrame, keys: Sequence[str], fill_cols: Sequence[str] = (),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kpiloom.functions.semantics import in_set, money, n_distinct, ratio, strict_sum, zero_fill
 from kpiloom.operators.aggregates import LEVEL_COL, cohort_counts, level_sets, repeat_rate
-from kpiloom.operators.grid import cross_grid, date_series, densify, values_frame
+from kpiloom.operators.grid import DateRange, densify, param_grid, values_frame
 from kpiloom.operators.relational import null_safe_left_join
 from kpiloom.operators.windows import peaks, top_n
 from kpiloom.params import (
@@ -31,7 +31,7 @@ def _spark(m: Model) -> SparkSession:
 def _grid_city_date(m: Model, date: str = "date") -> DataFrame:
     s = _spark(m)
     p = m.p
-    return cross_grid(values_frame(s, "city", p.cities), date_series(s, p.week_dates()[0], p.report_date, date))
+    return param_grid(s, **{"city": list(p.cities), date: DateRange(p.week_dates()[0], p.report_date)})
 
 
 # ---------------------------------------------------------------------------
@@ -265,7 +265,7 @@ def _delivery_cells(m: Model, status: bool = True, channel: bool = True) -> Data
         cells += [F.count_if((st == "normal") & (ch == v)).alias(v) for v in DELIVERY_METHOD_LABELS]
     agg = (m.delivery_orders.filter(in_set("city", m.p.cities))
            .groupBy("city", "delivery_effect").agg(*cells))
-    grid = cross_grid(values_frame(s, "city", m.p.cities), values_frame(s, "delivery_effect", _effects(m)))
+    grid = param_grid(s, city=list(m.p.cities), delivery_effect=_effects(m))
     cols = (list(SHIP_STATUS_LABELS) if status else []) + (list(DELIVERY_METHOD_LABELS) if channel else [])
     return zero_fill(densify(agg, grid, ["city", "delivery_effect"]), cols)
 

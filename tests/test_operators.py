@@ -23,7 +23,7 @@ def test_repeat_rate_user_in_two_cities(spark):
 
 
 def test_densify_drops_outside_grid(spark):
-    grid = G.cross_grid(G.values_frame(spark, "city", ["a", "b"]), G.values_frame(spark, "k", ["x"]))
+    grid = G.param_grid(spark, city=["a", "b"], k=["x"])
     agg = spark.createDataFrame([("a", "x", 1), ("z", "x", 5)], "city string, k string, v long")
     out = G.densify(agg, grid, ["city", "k"], ["v"])
     assert rows(out) == [("a", "x", 1), ("b", "x", 0)]
@@ -36,6 +36,14 @@ def test_pivot_fixed_stable_schema(spark):
     assert rows(out) == [("a", 3.0, None)]
 
 
+def test_param_grid_and_expand(spark):
+    g = G.param_grid(spark, city=["a", "b"], day=G.DateRange(dt.date(2024, 1, 1), dt.date(2024, 1, 3)), m=["x", "y"])
+    assert g.columns == ["city", "day", "m"] and g.count() == 12
+    assert "Join" not in g._jdf.queryExecution().executedPlan().toString()
+    base = spark.createDataFrame([("c1",), ("c2",)], "cate string")
+    assert G.expand(base, city=["a", "b", "c"]).count() == 6
+
+
 def test_date_series_and_span(spark):
     s = G.date_series(spark, dt.date(2024, 1, 1), dt.date(2024, 1, 7))
     assert s.count() == 7
