@@ -70,10 +70,13 @@ def level_sets(df: DataFrame, levels: Sequence[str], aggs: Sequence[Column],
     if not include_total:
         return grouped
     anchor = df.sparkSession.range(1).select(F.lit(0).alias(LEVEL_COL))
-    total = anchor.join(grouped.filter(F.col(LEVEL_COL) == 0), LEVEL_COL, "left")
+    present = grouped.filter(F.col(LEVEL_COL) == 0).withColumn("__present", F.lit(True))
+    total = anchor.join(present, LEVEL_COL, "left")
     if empty:
-        total = total.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in empty.items()})
-    return grouped.filter(F.col(LEVEL_COL) > 0).unionByName(total)
+        # only when the input was empty (no total row), not for a NULL measure
+        missing = F.col("__present").isNull()
+        total = total.withColumns({c: F.when(missing, F.lit(v)).otherwise(F.col(c)) for c, v in empty.items()})
+    return grouped.filter(F.col(LEVEL_COL) > 0).unionByName(total.drop("__present"))
 
 
 def repeat_rate(df: DataFrame, levels: Sequence[str], user: str, day: str, min_days: int = 2,

@@ -14,6 +14,9 @@ DEFAULT_CONF = {
     # Hot aggregation keys are handled by partial (map-side) aggregation; hot
     # join keys by AQE skew-join splitting of the big side.
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    # split a hot join key even when the join's partitioning is reused by the
+    # next join on the same key (items -> orders on order_id twice in a row)
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
