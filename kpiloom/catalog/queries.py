@@ -27,6 +27,7 @@ from kpiloom.params import ALL_CITIES_LABEL, CHANNEL_COLUMNS, CHANNELS
 from kpiloom.plans import reports as R
 from kpiloom.plans.dims import area_levels, city_districts
 from kpiloom.plans.facts import Model, run_snapshot_base
+from kpiloom.session import app_id
 from kpiloom.sources import ingest
 from kpiloom.sources.bindings import kpi_params, sales_params, test_raw_tables
 
@@ -40,7 +41,7 @@ _MODELS: dict[tuple, Model] = {}
 
 
 def _model(spark: SparkSession, sf_dir: str, kind: str, params, **kw) -> Model:
-    key = (spark.sparkContext.applicationId, sf_dir, kind, tuple(sorted(kw.items())))
+    key = (app_id(spark), sf_dir, kind, tuple(sorted(kw.items())))
     if key not in _MODELS:
         kw.setdefault("snapshot", run_snapshot_base(spark, sf_dir, kind, params))
         _MODELS[key] = Model(test_raw_tables(spark, sf_dir, kind), params, **kw)

@@ -35,8 +35,9 @@ def in_window(df: DataFrame, col: str, start: dt.date, end: dt.date,
     """
     c = F.col(col)
     if timestamp:
-        lo = F.lit(dt.datetime.combine(start, dt.time())).cast("timestamp_ntz")
-        hi = F.lit(dt.datetime.combine(end, dt.time(23, 59, 59))).cast("timestamp_ntz")
+        # built from text: a wall-clock literal, independent of the session time zone
+        lo = F.lit(f"{start.isoformat()} 00:00:00").cast("timestamp_ntz")
+        hi = F.lit(f"{end.isoformat()} 23:59:59").cast("timestamp_ntz")
     else:
         lo, hi = F.lit(start), F.lit(end)
     lower = (c >= lo) if closed == "both" else (c > lo)

@@ -37,9 +37,9 @@ def run_snapshot_base(spark, *run_key) -> str:
     keyed by the application and ``run_key`` (e.g. source path, report date)."""
     import hashlib
 
-    from kpiloom.session import ensure_checkpoint_dir
+    from kpiloom.session import app_id, ensure_checkpoint_dir
 
-    key = "|".join([spark.sparkContext.applicationId, *map(str, run_key)])
+    key = "|".join([app_id(spark), *map(str, run_key)])
     return f"{ensure_checkpoint_dir(spark)}/dims/{hashlib.sha1(key.encode()).hexdigest()[:20]}"
 
 

@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiloom.params import ReportParams
+from kpiloom.session import app_id
 from kpiloom.sources.raw import LazyRawTables
 
 TEST_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -92,7 +93,7 @@ def load_test_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The test tables as DataFrames, read once per application and folder
     (DataFrames are immutable plans; re-reading only repeats the footer
     reads and schema resolution)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (app_id(spark), sf_dir)
     if key not in _LOADED:
         _LOADED[key] = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TEST_TABLES}
     return _LOADED[key]
@@ -116,7 +117,7 @@ def bind_area(t) -> DataFrame:
 def bind_member(t) -> DataFrame:
     c = F.col("c_custkey")
     first = F.when(c % 11 != 0, F.timestamp_add("DAY", (c % 37).cast("int"),
-                                                 F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz")))
+                                                 F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")))
     return t["customer"].select(
         c.alias("id"), F.col("c_name").alias("name"), F.col("c_name").alias("username"),
         F.concat(F.lit("LIC"), c.cast("string")).alias("licence_code"),
