@@ -128,20 +128,29 @@ class Model:
         o = drop_suffix_users(o, "area_id", p.x_area_ids, "username", p.x_user_pattern)
         return o.filter(not_in_set("area_id", p.dropped_area_ids))
 
+    @cached_property
+    def items_all(self) -> DataFrame:
+        """Non-gift items of the 30-day source range, before the check that
+        their order survives the order cleaning."""
+        p = self.p
+        it = ingest.scan_order_items(self.raw.order_item, p.month_start, p.report_date)
+        return it.filter(F.col("is_gift") == 0).drop("quantity", "sale_factor")
+
     @cached_property
     def items(self) -> DataFrame:
         """items_clean: non-gift items of the 30-day source range whose order
         survives the order cleaning; cases = quantity / sale_factor."""
+        return keep_matching(self.items_all, self.orders, "order_id", "id")
+
+    @cached_property
+    def order_log_all(self) -> DataFrame:
+        """Log rows of the 30-day source range, before the order check."""
         p = self.p
-        it = ingest.scan_order_items(self.raw.order_item, p.month_start, p.report_date)
-        it = keep_matching(it, self.orders, "order_id", "id")
-        return it.filter(F.col("is_gift") == 0).drop("quantity", "sale_factor")
+        return ingest.scan_order_log(self.raw.order_log, p.month_start, p.report_date)
 
     @cached_property
     def order_log(self) -> DataFrame:
-        p = self.p
-        lg = ingest.scan_order_log(self.raw.order_log, p.month_start, p.report_date)
-        return keep_matching(lg, self.orders, "order_id", "id")
+        return keep_matching(self.order_log_all, self.orders, "order_id", "id")
 
     @cached_property
     def members(self) -> DataFrame:
@@ -226,8 +235,16 @@ class Model:
         o = in_window(o, "create_date", p.week_start, p.report_date).filter(
             in_set("order_status", (1, 2))
             & (F.col("shipping_status") != SHIPPING_NOT_SHIPPED) & (F.col("shipping_status") != SHIPPING_AWAITING))
-        o = left_join_renamed(o, self.shipped, "id", "order_id")
-        o = left_join_renamed(o, self.completed, "id", "order_id")
+        # the orders are cleaned orders, so joining the log before its own
+        # check against the (whole-history) cleaned orders gives the same rows
+        # and saves a semi-join with the order history
+        log = self.order_log_all
+        shipped = log.filter(F.col("type") == LOG_TYPE_SHIPPED) \
+            .select(F.col("create_date").alias("shipping_date"), "order_id")
+        completed = log.filter(F.col("type") == LOG_TYPE_COMPLETED) \
+            .select(F.col("create_date").alias("complete_date"), "order_id")
+        o = left_join_renamed(o, shipped, "id", "order_id")
+        o = left_join_renamed(o, completed, "id", "order_id")
         ship, done = F.col("shipping_date"), F.col("complete_date")
         no_ship = ship.isNull() & done.isNotNull()
         duration = if_else(no_ship, F.datediff(done, F.col("create_date")), F.datediff(done, ship))
@@ -250,8 +267,10 @@ class Model:
         """top_ordered: 30-day items of confirmed/completed orders with
         product name, channel and city."""
         p = self.p
-        it = self.items.select("create_date", "sn", "product_id", F.col("sale_quantity").alias("quantity"),
-                               "sub_total", "order_id")
+        # left join + status filter keeps only items of cleaned orders, so the
+        # items need no separate semi-join with the order history: one join
+        it = self.items_all.select("create_date", "sn", "product_id", F.col("sale_quantity").alias("quantity"),
+                                   "sub_total", "order_id")
         it = it.join(self.products.select("sn", "name"), "sn", "left")
         it = in_window(it, "create_date", p.month_start, p.report_date)
         it = left_join_renamed(it, self.orders.select("id", "order_status", "username", "area_id"), "order_id", "id")
