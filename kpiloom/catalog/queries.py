@@ -193,7 +193,7 @@ def q_left_join_multi(m: Model) -> DataFrame:
 
 
 def _channel_long(m: Model) -> DataFrame:
-    sd = m.sales_detail.filter(in_set("city", m.p.cities)).withColumnRenamed("create_date", "date")
+    sd = m.sales_in_window.filter(in_set("city", m.p.cities)).withColumnRenamed("create_date", "date")
     return sd.groupBy("city", "date", "method").agg(money(strict_sum("sub_total"), m.p.money_scale).alias("amount"))
 
 

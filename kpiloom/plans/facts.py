@@ -214,6 +214,27 @@ class Model:
             "supplier", "method", "create_date", "username", "area_id", "original_amount", "order_status",
             "province", "city", "district")
 
+    @cached_property
+    def sales_in_window(self) -> DataFrame:
+        """The rows of ``sales_detail`` whose order is in ``orders_window``
+        (the only rows the city x day reports keep). Because
+        ``orders_window`` holds cleaned orders only, an inner join from the
+        unchecked items gives exactly these rows without the semi-join of the
+        items with the whole order history."""
+        p = self.p
+        it = in_window(self.items_all, "create_date", p.week_start, p.report_date)
+        it = it.filter(F.col("is_gift") != 1).select("order_id", "sn", "sale_quantity", "sub_total", "is_gift")
+        out = (it.join(self.products.select("sn", "cate_id"), "sn", "left")
+               .join(self.prod_cate, "cate_id", "left")
+               .join(self.channel, "sn", "left")
+               .withColumn("supplier", F.coalesce("supplier", F.lit(CHANNEL_SELF_OPERATED)))
+               .withColumn("method", F.coalesce("method", F.lit(CHANNEL_SELF_OPERATED))))
+        out = left_join_renamed(out, self.orders_window, "order_id", "id", how="inner")
+        return out.drop("member_id", "returns_date").select(
+            "order_id", "sn", "sale_quantity", "sub_total", "is_gift", "cate_id", "cate1", "cate2", "cate3",
+            "supplier", "method", "create_date", "username", "area_id", "original_amount", "order_status",
+            "province", "city", "district")
+
     # ---- logistics (Q21, Q22) ----------------------------------------------
     @cached_property
     def shipped(self) -> DataFrame:

@@ -179,7 +179,7 @@ def report_visits_orders(m: Model, with_level: bool = False) -> DataFrame:
 # table3: sales by channel and category on a city x day grid (Q17-Q20)
 # ---------------------------------------------------------------------------
 def _grid_sales(m: Model) -> DataFrame:
-    return m.sales_detail.filter(in_set("city", m.p.cities)).withColumnRenamed("create_date", "date")
+    return m.sales_in_window.filter(in_set("city", m.p.cities)).withColumnRenamed("create_date", "date")
 
 
 def _strict_cell(cond, value: str, scale: int | None):
@@ -314,7 +314,7 @@ def _channel_distinct(m: Model, orders: bool = True, buyers: bool = True) -> Dat
     rows into columns."""
     from kpiloom.params import CHANNEL_COUNT_HEADERS as H
 
-    sd = m.sales_detail.filter(in_set("city", m.p.cities))
+    sd = m.sales_in_window.filter(in_set("city", m.p.cities))
     aggs = ([n_distinct("order_id").alias("n_orders")] if orders else []) + \
         ([n_distinct("username").alias("n_buyers")] if buyers else [])
     long = sd.groupBy("city", "method").agg(*aggs)
