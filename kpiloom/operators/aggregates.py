@@ -57,9 +57,8 @@ def level_sets(df: DataFrame, levels: Sequence[str], aggs: Sequence[Column],
     aggregate, a single pass over ``df``), but the result carries ``level``
     (0 = total, 1 = first key, ...) computed from ``grouping_id()``, so a NULL
     key in the data is never mistaken for a subtotal. ``rollup`` returns no
-    total row on empty input; here a one-row anchor is left-joined with the
-    total so it always exists, its measures set from ``empty`` (e.g. counts
-    0) where the input was empty.
+    total row on empty input; here the total row always exists: on empty
+    input its measures come from ``empty`` (e.g. counts 0), others NULL.
     """
     levels = list(levels)
     n = len(levels)
@@ -69,14 +68,18 @@ def level_sets(df: DataFrame, levels: Sequence[str], aggs: Sequence[Column],
                .withColumn(LEVEL_COL, _level_of("__gid", n)).drop("__gid"))
     if not include_total:
         return grouped
-    anchor = df.sparkSession.range(1).select(F.lit(0).alias(LEVEL_COL))
-    present = grouped.filter(F.col(LEVEL_COL) == 0).withColumn("__present", F.lit(True))
-    total = anchor.join(present, LEVEL_COL, "left")
-    if empty:
-        # only when the input was empty (no total row), not for a NULL measure
-        missing = F.col("__present").isNull()
-        total = total.withColumns({c: F.when(missing, F.lit(v)).otherwise(F.col(c)) for c, v in empty.items()})
-    return grouped.filter(F.col(LEVEL_COL) > 0).unionByName(total.drop("__present"))
+    # the total row of the data (absent on empty input) or else a default row
+    # (measures from ``empty``, others NULL): stack both, keep the preferred
+    empty = empty or {}
+    types = {f.name: f.dataType for f in grouped.schema.fields}
+    cols = grouped.columns
+    default = df.sparkSession.range(1).select(*[
+        (F.lit(0).cast(types[c]) if c == LEVEL_COL else F.lit(empty.get(c)).cast(types[c])).alias(c)
+        for c in cols])
+    both = (grouped.filter(F.col(LEVEL_COL) == 0).withColumn("__pref", F.lit(1))
+            .unionByName(default.withColumn("__pref", F.lit(0))))
+    total = both.agg(F.max_by(F.struct(*cols), F.col("__pref")).alias("__t")).select("__t.*")
+    return grouped.filter(F.col(LEVEL_COL) > 0).unionByName(total)
 
 
 def repeat_rate(df: DataFrame, levels: Sequence[str], user: str, day: str, min_days: int = 2,
