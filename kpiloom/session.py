@@ -80,3 +80,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
+
+
+def scale_conf(shuffle_bytes: int, partition_bytes: int = 256 << 20, broadcast_bytes: int = 64 << 20,
+               max_partitions: int = 100_000) -> dict[str, str]:
+    """Settings for a cluster run, sized from the largest expected shuffle.
+
+    ``spark.sql.shuffle.partitions`` is the initial number of shuffle
+    partitions: enough for ``partition_bytes`` per partition at the biggest
+    shuffle (AQE coalesces the smaller shuffles down to the same advisory
+    size and splits skewed partitions). Input splits use the same size. The
+    broadcast threshold bounds what Spark broadcasts by its size check (the
+    dimension snapshots); anything larger is sort-merge joined.
+    """
+    n = max(1, min(max_partitions, -(-shuffle_bytes // partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(min(partition_bytes, 64 << 20)),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(broadcast_bytes),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(broadcast_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
+    }
