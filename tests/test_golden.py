@@ -67,3 +67,25 @@ def test_table1_golden(spark):
     # peaks: C1's cnt_order max is 1 (on 3/9), other days NULL
     assert t1[("C1", "2024-03-09")].order_max == 1 and t1[("C1", "2024-03-08")].order_max is None
     assert abs(t1[("C1", "2024-03-08")].order_avg - 1 / 7) < 1e-12
+
+
+def test_t14_null_district_row_labelled_with_city(spark):
+    from rawfixture import LOGIN, T
+
+    # a report-day login from area 5 (P1,C1: no district)
+    raw = raw_tables(spark, login=LOGIN + [(12, "u12", 5, "ip", T(2024, 3, 10, 20), None)])
+    out = R.report_visits_orders(Model(raw, PARAMS), with_level=True)
+    c1 = sorted((r.level, r.total_visitors) for r in out.collect() if (r.city, r.district) == ("C1", "C1"))
+    # the city row (level 1) and the NULL-district row (level 2) carry the same labels
+    assert c1 == [(1, 3), (2, 1)]
+
+
+def test_t13_rows_driven_by_visits(spark):
+    # C2/D3 has orders but, without its visit, no table2 row
+    from rawfixture import LOGIN
+
+    raw = raw_tables(spark, login=[r for r in LOGIN if r[2] != 3])
+    out = R.report_visits_orders(Model(raw, PARAMS)).collect()
+    assert not [r for r in out if r.city == "C2"]
+    tot = [r for r in out if r.city == "汇总"][0]
+    assert tot.total_quant == 3          # the total still counts every order of the report day

@@ -62,3 +62,12 @@ def test_lookup_csv_and_run_modes(spark, tmp_path):
                                                             dt.date(2023, 12, 29))
     assert campaign_window(today) == (dt.date(2024, 1, 27), dt.date(2024, 1, 28))
     assert campaign_window(dt.date(2024, 1, 30)) == (dt.date(2024, 1, 29), dt.date(2024, 1, 29))
+
+
+def test_scale_conf_sizes_partitions():
+    from kpiloom.session import scale_conf
+
+    c = scale_conf(1 << 40)     # 1 TiB largest shuffle at 256 MiB per partition
+    assert c["spark.sql.shuffle.partitions"] == "4096"
+    assert scale_conf(10)["spark.sql.shuffle.partitions"] == "1"
+    assert scale_conf(1 << 50)["spark.sql.shuffle.partitions"] == "100000"
