@@ -89,3 +89,32 @@ def test_t13_rows_driven_by_visits(spark):
     assert not [r for r in out if r.city == "C2"]
     tot = [r for r in out if r.city == "汇总"][0]
     assert tot.total_quant == 3          # the total still counts every order of the report day
+
+
+def test_campaign_golden_t16(spark):
+    from rawfixture import T
+
+    items = [  # create, order, sn, product, quantity, factor, sale_quantity, gift, sub_total
+        (T(2024, 3, 10, 10), 100, 501, 501, 2.0, 1.0, 2.0, False, 10.0),
+        (T(2024, 3, 10, 12), 103, 501, 501, 1.0, 1.0, 1.0, False, 7.0),    # cancelled order (T16)
+        (T(2024, 3, 10, 10), 100, 502, 502, 1.0, 1.0, 1.0, False, 3.0),    # not a campaign product
+        (T(2024, 3, 10, 10), 100, 501, 501, 1.0, 1.0, 1.0, True, 99.0),    # gift
+        (T(2024, 3, 9, 10), 101, 501, 501, 1.0, 1.0, 1.0, None, 5.0),      # unknown gift flag
+        (T(2024, 3, 10, 13), 107, 501, 501, 1.0, 1.0, 1.0, False, 4.0),    # order outside the areas
+    ]
+    product = [(501, 501, "pasta", "B", "L3", 1.0, 1, 0), (502, 502, "soap", "B", None, 1.0, 1, 2)]
+    cats = [("L1", "11", "Food", ","), ("L2", "2222", "Pasta", ",L1,"), ("L3", "333333", "Spaghetti", ",L1,L2,")]
+    raw = raw_tables(spark, order_item=items, product=product, product_category=cats,
+                     dealer=[(1, "D1", "sup1")])
+    raw.campaign_products = spark.createDataFrame([("501",)], "sn string")
+    m = Model(raw, PARAMS)
+    det = {(r.order_id, r.sn): r for r in R.campaign_detail(m).collect()}
+    assert set(det) == {("100", "501"), ("103", "501")}
+    assert (det[("100", "501")].cate1, det[("100", "501")].cate2, det[("100", "501")].cate3) == \
+        ("Food", "Pasta", "Spaghetti")
+    assert det[("100", "501")].name_y == "m10" and det[("100", "501")].district == "D1"
+    assert det[("103", "501")].order_sn is None and det[("103", "501")].city is None
+    s = R.campaign_summary(m).collect()[0]
+    assert (s.no_order_it, s.subtotal_it) == (2, 17.0)
+    share = R.campaign_share(m).collect()[0]
+    assert (share.no_order_tt, share.subtotal_tt) == (2, 20.0)
