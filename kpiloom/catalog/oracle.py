@@ -14,7 +14,7 @@ import datetime as dt
 import re
 
 from kpiloom.params import (
-    ALL_CITIES_LABEL, CAMPAIGN_DETAIL_HEADERS, CAMPAIGN_SUMMARY_HEADERS, CHANNEL_COUNT_HEADERS,
+    ALL_CITIES_LABEL, CAMPAIGN_SUMMARY_HEADERS, CHANNEL_COUNT_HEADERS,
     CHANNEL_SELF_DELIVERED as SD, CHANNEL_SELF_OPERATED as SO, CHANNEL_UNIFIED as UN, SELL_THROUGH_HEADERS,
     TOP_PRODUCTS_HEADERS, TOTAL_CITY_LABEL,
 )

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiloom.functions.semantics import (
-    bucket, flag_decode, if_else, in_set, money, n_distinct, not_in_set, ratio, strict_sum, to_day,
+    flag_decode, if_else, in_set, money, n_distinct, not_in_set, ratio, strict_sum, to_day,
     weekend_window_start, zero_fill,
 )
-from kpiloom.operators.aggregates import LEVEL_COL, append_total, first_by, level_sets
+from kpiloom.operators.aggregates import LEVEL_COL, append_total, first_by
 from kpiloom.operators.grid import DateRange, date_span, densify, expand, param_grid, pivot_fixed
 from kpiloom.operators.relational import (
     drop_suffix_users, in_window, join_with_suffix, left_join_renamed, mark, null_safe_left_join,

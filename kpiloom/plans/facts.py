@@ -24,7 +24,6 @@ from kpiloom.params import (
 )
 from kpiloom.plans.dims import area_dim, category_tree, channel_map
 from kpiloom.sources import ingest
-from kpiloom.sources.raw import RawTables
 
 
 # snapshots written by this process (a run writes each dimension once) and

@@ -23,11 +23,6 @@ def _txt(c: str, alias: str | None = None):
     return F.col(c).cast("string").alias(alias or c)
 
 
-def accounts_of(p: ReportParams, accounts: DataFrame | None):
-    """Account exclusion list: a lookup frame when given, else the literal list."""
-    return accounts if accounts is not None else list(p.test_accounts)
-
-
 def scan_orders(raw_order: DataFrame, accounts, window: tuple[dt.date, dt.date] | None = None,
                 closed: str = "right", with_sn: bool = False) -> DataFrame:
     """Order rows with logical names and types; account filter at the source.
