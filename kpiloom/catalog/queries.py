@@ -8,6 +8,7 @@ supplement and campaign queries use the orders binding.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,14 +39,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 # report plans against the same (immutable) logical frames. Nothing is
 # cached at execution time.
 _MODELS: dict[tuple, Model] = {}
+_MODELS_LOCK = threading.RLock()
 
 
 def _model(spark: SparkSession, sf_dir: str, kind: str, params, **kw) -> Model:
     key = (app_id(spark), sf_dir, kind, tuple(sorted(kw.items())))
-    if key not in _MODELS:
-        kw.setdefault("snapshot", run_snapshot_base(spark, sf_dir, kind, params))
-        _MODELS[key] = Model(test_raw_tables(spark, sf_dir, kind), params, **kw)
-    return _MODELS[key]
+    with _MODELS_LOCK:
+        if key not in _MODELS:
+            kw.setdefault("snapshot", run_snapshot_base(spark, sf_dir, kind, params))
+            _MODELS[key] = Model(test_raw_tables(spark, sf_dir, kind), params, **kw)
+        return _MODELS[key]
 
 
 def kpi_model(spark: SparkSession, sf_dir: str, **kw) -> Model:

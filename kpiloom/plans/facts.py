@@ -7,6 +7,7 @@ written or collected.
 
 from __future__ import annotations
 
+import threading
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -29,6 +30,7 @@ from kpiloom.sources import ingest
 # snapshots written by this process (a run writes each dimension once) and
 # their read-back frames
 _WRITTEN: dict[str, DataFrame] = {}
+_SNAPSHOT_LOCK = threading.Lock()
 
 
 def run_snapshot_base(spark, *run_key) -> str:
@@ -78,11 +80,12 @@ class Model:
             spark = self.raw.order.sparkSession
             base = self._snapshot_base = f"{ensure_checkpoint_dir(spark)}/dims/{uuid.uuid4().hex}"
         path = f"{base}/{name}"
-        if path not in _WRITTEN:
-            df = build()
-            df.write.mode("overwrite").parquet(path)
-            _WRITTEN[path] = df.sparkSession.read.parquet(path)
-        return _WRITTEN[path]
+        with _SNAPSHOT_LOCK:          # concurrent callers write a snapshot once
+            if path not in _WRITTEN:
+                df = build()
+                df.write.mode("overwrite").parquet(path)
+                _WRITTEN[path] = df.sparkSession.read.parquet(path)
+            return _WRITTEN[path]
 
     # ---- dimensions -------------------------------------------------------
     @cached_property

@@ -35,6 +35,7 @@ campaign products      parts of brand 'Brand#1'
 from __future__ import annotations
 
 import datetime as dt
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +88,7 @@ def sales_params() -> ReportParams:
 
 
 _LOADED: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_LOADED_LOCK = threading.Lock()
 
 
 def load_test_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -94,9 +96,10 @@ def load_test_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     (DataFrames are immutable plans; re-reading only repeats the footer
     reads and schema resolution)."""
     key = (app_id(spark), sf_dir)
-    if key not in _LOADED:
-        _LOADED[key] = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TEST_TABLES}
-    return _LOADED[key]
+    with _LOADED_LOCK:
+        if key not in _LOADED:
+            _LOADED[key] = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TEST_TABLES}
+        return _LOADED[key]
 
 
 def _username(t: dict[str, DataFrame]) -> DataFrame:
