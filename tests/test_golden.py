@@ -118,3 +118,28 @@ def test_campaign_golden_t16(spark):
     assert (s.no_order_it, s.subtotal_it) == (2, 17.0)
     share = R.campaign_share(m).collect()[0]
     assert (share.no_order_tt, share.subtotal_tt) == (2, 20.0)
+
+
+def test_table4_golden_log_edge_cases(spark):
+    from rawfixture import ORDER, T
+
+    orders = ORDER + [  # shipped, no log rows at all: no duration, no bucket
+        (109, "S109", T(2024, 3, 10, 9), T(2024, 3, 10, 9), None, 2, 10, "u10", 2, 1.0, None, None, 1, 1)]
+    log = [
+        (T(2024, 3, 8, 9), 15, 100), (T(2024, 3, 9, 9), 15, 100),   # two shipped rows for one order
+        (T(2024, 3, 10, 9), 18, 100),
+        (T(2024, 3, 10, 9), 18, 101),                               # no ship date: complete - create
+        (T(2024, 3, 10, 9), 15, 107),                               # in transit, area outside the cities
+    ]
+    m = Model(raw_tables(spark, order=orders, order_log=log), PARAMS)
+    d = {r.id: r for r in m.delivery_orders.collect() if r.id != "100"}
+    assert (d["101"].duration, d["101"].delivery_effect, d["101"].ship_status_simple) == (1, "1天", "refused")
+    assert (d["107"].delivery_effect, d["107"].city) == ("在途", None)
+    assert d["109"].duration is None and d["109"].delivery_effect is None
+    assert sorted(r.duration for r in m.delivery_orders.collect() if r.id == "100") == [1, 2]
+    t4 = {(r.city, r.delivery_effect): r for r in R.report_delivery(m).collect()}
+    assert len(t4) == (3 + 1) * 5
+    one, two = t4[("C1", "1天")], t4[("C1", "2天")]
+    assert (one.normal, one.refused, one.returned, one.unified_alloc, one.self_alloc) == (1, 1, 0, 1, 0)
+    assert (two.normal, two.unified_alloc) == (1, 1)
+    assert t4[("各地汇总", "1天")].refused == 1 and t4[("各地汇总", "在途")].normal == 0
