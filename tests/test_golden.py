@@ -143,3 +143,38 @@ def test_table4_golden_log_edge_cases(spark):
     assert (one.normal, one.refused, one.returned, one.unified_alloc, one.self_alloc) == (1, 1, 0, 1, 0)
     assert (two.normal, two.unified_alloc) == (1, 1)
     assert t4[("各地汇总", "1天")].refused == 1 and t4[("各地汇总", "在途")].normal == 0
+
+
+def test_supplements_golden(spark):
+    from rawfixture import T
+
+    product = [  # id, sn, name, brand, category, factor, dealer, delivery_method
+        (601, 601, "soap", "B", None, 1.0, 2, 1),   # self-delivered by dealer 2: excluded from the map
+        (602, 602, "soap", "B", None, 1.0, 1, 0),   # same name, unified
+        (603, 603, "rice", "B", None, 1.0, 3, 1),   # self-delivered
+        (604, 604, "salt", "B", None, 1.0, 1, 2),   # self-operated
+    ]
+    dealer = [(1, "D1", "sup1"), (2, "D2", "sup2"), (3, "D3", "sup3")]
+    items = [
+        (T(2024, 3, 10, 10), 100, 601, 601, 2.0, 1.0, 0.0, False, 10.0),
+        (T(2024, 3, 10, 10), 100, 602, 602, 3.0, 1.0, 0.0, False, 10.0),
+        (T(2024, 3, 10, 10), 100, 603, 603, 4.0, 0.0, 0.0, False, 5.0),   # sale_factor 0: cases NULL
+        (T(2024, 3, 9, 10), 101, 604, 604, 6.0, 2.0, 0.0, False, 8.0),
+        (T(2024, 3, 10, 11), 102, 604, 604, 1.0, 1.0, 0.0, False, 1.0),   # status 4: not in the 30-day detail
+        (T(2024, 3, 10, 13), 107, 602, 602, 1.0, 1.0, 0.0, False, 2.0),   # area outside the cities
+    ]
+    contract = [(1, 601, 1), (1, 603, 1), (1, 604, 1), (3, 602, 1), (3, 603, 0)]
+    raw = raw_tables(spark, product=product, dealer=dealer, order_item=items, contract_product=contract)
+    m = Model(raw, PARAMS)
+    top = sorted(((r.city or ""), r.name, r.today_quantity, r.monthly_quantity) for r in R.top_products(m).collect())
+    assert top == [("", "soap", 1.0, 1.0), ("C1", "rice", None, None), ("C1", "soap", 5.0, 5.0)]
+    month = {(r.city, r.name): r.monthly_quantity for r in R.month_sold(m).collect()}
+    assert month[("C1", "salt")] == 3.0 and month[("C1", "rice")] is None
+    st = {(r.method, r.city): (r.marketable_sn_no, r.sold_sn_no, r.sales_rate) for r in R.sell_through(m).collect()}
+    # sell-through defaults an unmapped sn to unified; the sold flag is global per sn
+    assert st == {("统配", "C1"): (2, 1, 0.5), ("自配", "C1"): (1, 1, 1.0), ("统配", "C2"): (1, 1, 1.0)}
+    sku = {(r.city, r.method): r["count"] for r in R.sold_sku_count(m).collect()}
+    assert sku == {("C1", "自营"): 1, ("C1", "统配"): 1, ("C1", "自配"): 1, (None, "统配"): 1}
+    cc = {r.city: tuple(r[1:]) for r in R.channel_counts(m).collect()}
+    # orders: self-delivered, unified, self-operated; then buyers in the same order
+    assert cc["C1"] == (1, 1, 2, 1, 1, 1) and cc["C2"] == (0, 0, 1, 0, 0, 1) and cc["北京市"] == (0,) * 6
