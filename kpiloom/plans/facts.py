@@ -1,8 +1,9 @@
 """Logical model and cleaned facts.
 
 ``Model`` wires raw tables + parameters into the logical frames the reports
-share. Every attribute is a lazy DataFrame; nothing runs until a report is
-written or collected.
+share. Every attribute is a lazy DataFrame; the only work done while plans
+are built is the one-time write of the small dimension snapshots (see
+``Model``); facts run when a report is written or collected.
 """
 
 from __future__ import annotations
