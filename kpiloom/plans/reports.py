@@ -142,12 +142,14 @@ def orders_day_and_week(m: Model) -> DataFrame:
 
 def repeat_visit_rate(m: Model) -> DataFrame:
     return repeat_rate(m.logins_window, LEVELS, "username", "login_date",
-                       count_name="login_count", repeat_name="dup_login_count", rate_name="dup_login_rate")
+                       count_name="login_count", repeat_name="dup_login_count", rate_name="dup_login_rate",
+                       window=(m.p.week_start, m.p.week_days))
 
 
 def repeat_order_rate(m: Model) -> DataFrame:
     return repeat_rate(m.orders_window, LEVELS, "username", "create_date",
-                       count_name="order_count", repeat_name="dup_order_count", rate_name="dup_order_rate")
+                       count_name="order_count", repeat_name="dup_order_count", rate_name="dup_order_rate",
+                       window=(m.p.week_start, m.p.week_days))
 
 
 TABLE2_COLUMNS = ["city", "district", "total_visitors", "unique_visitors", "people_count", "total_quant",

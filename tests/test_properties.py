@@ -88,3 +88,13 @@ def test_top_n_matches_brute_force(spark, data, n):
         for negq, _, u in sorted(lst)[:n]:
             exp.append(((c or ""), (u or "~"), -negq))
     assert got == sorted(exp)
+
+
+@SET
+@given(st.lists(row, max_size=40))
+def test_repeat_rate_window_bitmask_equals_distinct(spark, data):
+    df = _df(spark, data).withColumn("d", F.date_add(F.lit(dt.date(2024, 1, 1)), F.col("day")))
+    a = repeat_rate(df, ["city", "district"], "user", "d")
+    b = repeat_rate(df, ["city", "district"], "user", "d", window=(dt.date(2023, 12, 31), 7))
+    order = lambda t: (t[0], t[1] or "", t[2] or "")
+    assert sorted(map(tuple, a.collect()), key=order) == sorted(map(tuple, b.collect()), key=order)
