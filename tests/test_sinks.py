@@ -71,3 +71,19 @@ def test_scale_conf_sizes_partitions():
     assert c["spark.sql.shuffle.partitions"] == "4096"
     assert scale_conf(10)["spark.sql.shuffle.partitions"] == "1"
     assert scale_conf(1 << 50)["spark.sql.shuffle.partitions"] == "100000"
+
+
+def test_parquet_source_roundtrip(spark, tmp_path):
+    from kpiloom.plans import reports as R
+    from kpiloom.plans.facts import Model
+    from kpiloom.sources.raw import RAW_SCHEMAS, read_parquet_tables
+    from rawfixture import PARAMS, raw_tables
+
+    raw = raw_tables(spark)
+    for name in RAW_SCHEMAS:
+        getattr(raw, name).write.parquet(str(tmp_path / f"{name}.parquet"))
+    back = read_parquet_tables(spark, str(tmp_path), test_accounts=raw.test_accounts,
+                               campaign_products=raw.campaign_products)
+    a = sorted(map(tuple, R.report_visits_orders(Model(raw, PARAMS, snapshot=False)).collect()))
+    b = sorted(map(tuple, R.report_visits_orders(Model(back, PARAMS, snapshot=False)).collect()))
+    assert a == b
