@@ -73,3 +73,17 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert "conv_rate" in df.columns
+
+
+def test_no_cartesian_or_nested_loop_joins(spark):
+    """No registered query plans a cartesian product or a nested-loop join
+    (grids are generated with explode, totals folded by aggregation)."""
+    import __spark_entry__ as E
+
+    bad = []
+    for key, q in E.queries().items():
+        if key.startswith("sink_"):
+            continue
+        plan = q(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        bad += [(key, op) for op in ("CartesianProduct", "BroadcastNestedLoopJoin") if op in plan]
+    assert bad == []
