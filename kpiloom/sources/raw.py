@@ -101,7 +101,8 @@ def read_jdbc_tables(spark: SparkSession, url: str, tables: dict[str, str], prop
     part = partitioning or {}
 
     def rd(name: str) -> DataFrame:
-        opts = dict(properties)
+        opts = {"fetchsize": "10000"}       # rows per round trip (driver defaults are tiny)
+        opts.update(properties)
         opts.update({k: str(v) for k, v in part.get(name, {}).items()})
         r = spark.read.format("jdbc").option("url", url).option("dbtable", tables[name])
         for k, v in opts.items():
