@@ -2,7 +2,8 @@
 
 Runs each report query on ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1)
 with ``local[$BENCH_CPUS]`` and prints one JSON line:
-``{"metric": "reports_total_sec", "value": N, "unit": "sec", "queries": {...}, "sf": ...}``.
+``{"metric": "reports_total_sec", "value": N, "unit": "sec", "queries": {...}, "sf": ...}``
+(plus ``cpus`` and ``spark_jobs``: Spark jobs per report, from the status tracker).
 
 Each query is executed in full with the ``noop`` sink (every row computed,
 nothing collected to the driver). One untimed warm-up pass runs first (JIT,
@@ -48,19 +49,24 @@ def main() -> None:
                           extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "8g")})
     for name in HEADLINE:                        # warm-up
         run(QUERIES[name](spark, sf_dir))
-    times = {}
+    sc = spark.sparkContext
+    tracker = sc.statusTracker()
+    times, jobs = {}, {}
     for name in HEADLINE:
         best = None
-        for _ in range(repeat):
+        for i in range(repeat):
+            group = f"bench-{name}-{i}"
+            sc.setJobGroup(group, name)
             t0 = time.perf_counter()
             run(QUERIES[name](spark, sf_dir))
             dt = time.perf_counter() - t0
             best = dt if best is None else min(best, dt)
+            jobs[name] = len(tracker.getJobIdsForGroup(group))
         times[name] = round(best, 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     sf = float(m.group(1)) if m else None
     print(json.dumps({"metric": "reports_total_sec", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": sf, "cpus": cpus}))
+                      "queries": times, "sf": sf, "cpus": cpus, "spark_jobs": jobs}))
     spark.stop()
 
 
