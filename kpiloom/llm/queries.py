@@ -35,6 +35,46 @@ def op3_imatch(spark, sf_dir):
                       "edited_fingerprint", "near_edited", "near_next")
 
 
+def op6_perspectives(spark, sf_dir):
+    from .chat import rotate
+
+    return rotate(table(spark, sf_dir, "conversations"))
+
+
+def captures(spark, sf_dir):
+    """The pages as captures; the day of a fetch is derived from the page's id."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 365).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched"))
+
+
+def list_events(spark, sf_dir):
+    """Dated list entries for about half of the pages' hosts and parent domains, derived from their names' hashes."""
+    from .urlfilter import host, lookup_keys
+
+    keys = captures(spark, sf_dir).select(F.explode(lookup_keys(host(F.col("url")))).alias("key")).distinct()
+    keys = keys.where(F.length("key") - F.length(F.translate("key", ".", "")) > 1)  # no public suffix
+    h = F.conv(F.substring(F.md5(F.col("key").cast("binary")), 1, 6), 16, 10).cast("int")
+    start = F.lit("2024-01-01").cast("date")
+    event = lambda action, day: F.struct(F.lit(action).alias("action"), F.date_add(start, day.cast("int")).alias("day"))
+    add, gone, back = h % 200, h % 200 + 30 + h % 97, h % 200 + 80 + h % 97
+    category = F.element_at(F.array(*map(F.lit, ("adult", "malware", "spam"))), (h % 3 + 1).cast("int"))
+    dated = F.concat(F.array(event("add", add)), F.when(h % 4 < 2, F.array(event("remove", gone))).otherwise(F.array()),
+                     F.when(h % 8 == 0, F.array(event("add", back))).otherwise(F.array()))
+    return keys.where(F.floor(h / 1000) % 2 == 0).select("key", category.alias("category"), F.inline(dated))
+
+
+def op7_url_filter(spark, sf_dir):
+    from .urlfilter import judge
+
+    return judge(captures(spark, sf_dir), list_events(spark, sf_dir))
+
+
+def op8_pii(spark, sf_dir):
+    from .pii import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op9_token_count(spark, sf_dir):
     from .tokencount import count_tokens
 
@@ -42,4 +82,11 @@ def op9_token_count(spark, sf_dir):
     return out.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_imatch, op9_token_count)}
+def op10_mixing(spark, sf_dir):
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_imatch, op6_perspectives, op7_url_filter, op8_pii,
+                                   op9_token_count, op10_mixing)}
