@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session: they may start in another folder."""
+    sc = spark.sparkContext
+    if getattr(sc, "_kpiloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="kpiloom-")) / "kpiloom.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    sc.addPyFile(str(target))
+    sc._kpiloom_shipped = True
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small in this session, since rows hold whole texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -56,6 +73,7 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterable[tuple]], s
     ``rows`` gets an iterator of one tuple per row (the frame's column order)
     and yields output tuples; at most ``flush`` of them are held at a time.
     """
+    ship_package(df.sparkSession)
     small_batches(df.sparkSession)
     out_schema = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
