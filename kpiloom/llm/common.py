@@ -97,6 +97,29 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterable[tuple]], s
     return df.mapInArrow(run, out_schema)
 
 
+def map_groups(df: DataFrame, n_keys: int, group: Callable[[tuple, list[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+    """``group(key, rows)`` for each set of rows that agree in the first ``n_keys`` columns.
+
+    For many groups of bounded size: rows are dealt by the key, sorted, and
+    streamed, so that a task holds one group at a time.
+    """
+    keys = df.columns[:n_keys]
+
+    def rows(source):
+        at, held = None, []
+        for row in source:
+            key = row[:n_keys]
+            if key != at:
+                if held:
+                    yield from group(at, held)
+                at, held = key, []
+            held.append(row[n_keys:])
+        if held:
+            yield from group(at, held)
+
+    return map_rows(df.repartition(*keys).sortWithinPartitions(*keys), rows, schema)
+
+
 def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)],
                                       schema=arrow)

@@ -35,6 +35,12 @@ def op3_imatch(spark, sf_dir):
                       "edited_fingerprint", "near_edited", "near_next")
 
 
+def op4_jaccard_join(spark, sf_dir):
+    from .jaccard import join
+
+    return join(table(spark, sf_dir, "documents"))
+
+
 def op5_embedding_dedup(spark, sf_dir):
     from .embeddings import near_duplicates
 
@@ -94,5 +100,5 @@ def op10_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_imatch, op5_embedding_dedup, op6_perspectives, op7_url_filter, op8_pii,
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_imatch, op4_jaccard_join, op5_embedding_dedup, op6_perspectives, op7_url_filter, op8_pii,
                                    op9_token_count, op10_mixing)}

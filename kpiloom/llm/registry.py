@@ -1,6 +1,11 @@
-"""The subpackage's queries and their DuckDB SQL, as ``__spark_entry__`` adds them."""
+"""The subpackage's queries and their DuckDB SQL, as ``__spark_entry__`` adds them.
 
-from .oracle import ORACLE
-from .queries import QUERIES
+``corpus_pipeline`` at the top of the repository counts as part of this subpackage.
+"""
 
-__all__ = ["ORACLE", "QUERIES"]
+import corpus_pipeline
+
+from . import oracle, queries
+
+QUERIES = {**queries.QUERIES, "pipeline": corpus_pipeline.run}
+ORACLE = {k: v for k, v in {**oracle.ORACLE, "pipeline": corpus_pipeline.ORACLE_SQL}.items() if v}
