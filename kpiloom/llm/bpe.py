@@ -49,7 +49,8 @@ class WordBpe:
     def __init__(self, spec: dict):
         self.spec = spec
         model = spec["model"]
-        kinds = [x["type"] for x in spec["normalizer"]["normalizers"]] + [x["type"] for x in spec["pre_tokenizer"]["pretokenizers"]]
+        kinds = [x["type"] for part, steps in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))
+                 for x in (spec[part] or {}).get(steps, [])]
         if (model["type"], *kinds) != ("BPE", "NFC", "Replace", "Lowercase", "Split", "ByteLevel") or spec["decoder"] or model["unk_token"]:
             raise ValueError("not a lower-cased word BPE file")
         vocab, self.suffix = model["vocab"], model["end_of_word_suffix"]
