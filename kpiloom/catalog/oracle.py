@@ -18,10 +18,11 @@ from kpiloom.params import (
     CHANNEL_SELF_DELIVERED as SD, CHANNEL_SELF_OPERATED as SO, CHANNEL_UNIFIED as UN, SELL_THROUGH_HEADERS,
     TOP_PRODUCTS_HEADERS, TOTAL_CITY_LABEL,
 )
-from kpiloom.sources.bindings import kpi_params, sales_params
+from kpiloom.sources.bindings import early_params, kpi_params, sales_params
 
 KP = kpi_params()
 SP = sales_params()
+EP = early_params()
 
 
 def q(v) -> str:
@@ -363,6 +364,10 @@ def K(final: str) -> str:
     return build(KP, "events", final)
 
 
+def E(final: str) -> str:
+    return build(EP, "events", final)
+
+
 def S(final: str) -> str:
     return build(SP, "orders", final)
 
@@ -479,7 +484,7 @@ HAVING first_login_date > {q(p.week_start)} AND first_login_date <= {q(p.report_
 def _buyer_cohort(p) -> str:
     return f"""
 SELECT city, first_paid AS date, count(*) AS count FROM (
-  SELECT a.city, o.username, arg_min_null(o.paid_date, (o.create_date, o.id)) AS first_paid
+  SELECT a.city, o.username, arg_min_null(o.paid_date, (o.create_date, CAST(o.id AS HUGEINT))) AS first_paid
   FROM orders_clean o LEFT JOIN area_k a ON o.area_id = a.area_id
   WHERE o.order_status IN (1, 2) AND a.city IS NOT NULL GROUP BY a.city, o.username)
 GROUP BY city, first_paid
@@ -736,7 +741,7 @@ GROUP BY username""")
     o["repeat_visit_rate"] = K(_dup_visit())
     o["repeat_order_rate"] = K(_dup_order())
     o["first_per_key_min"] = K("SELECT member_id, min(login_date) AS first_login_date FROM app GROUP BY member_id")
-    o["first_per_key_ordered"] = K("SELECT username, arg_min_null(paid_date, (create_date, id)) AS first_paid_date "
+    o["first_per_key_ordered"] = K("SELECT username, arg_min_null(paid_date, (create_date, CAST(id AS HUGEINT))) AS first_paid_date "
                                    "FROM orders_clean GROUP BY username")
     o["avg_ticket"] = S(f"""
 SELECT city, amount, n_orders, amount / n_orders AS avg_ticket FROM (
@@ -752,8 +757,8 @@ SELECT city, delivery_effect, returned, refused, normal FROM st
 UNION ALL SELECT {q(ALL_CITIES_LABEL)}, delivery_effect, CAST(sum(returned) AS BIGINT), CAST(sum(refused) AS BIGINT),
   CAST(sum(normal) AS BIGINT) FROM st GROUP BY delivery_effect""")
     o["distinct_rows"] = S("SELECT DISTINCT city, method FROM sales_detail")
-    o["new_login_cohort"] = K(_login_cohort(kp))
-    o["new_buyer_cohort"] = K(_buyer_cohort(kp))
+    o["new_login_cohort"] = E(_login_cohort(EP))
+    o["new_buyer_cohort"] = E(_buyer_cohort(EP))
     # windows, sorts, sets, reshape
     o["peak_flags"] = K(f"""
 SELECT city, date, visits,
@@ -814,7 +819,7 @@ FROM (SELECT DISTINCT create_date FROM orders_clean)""")
     o["items_clean"] = S("SELECT * FROM items_clean")
     o["orders_window"] = K("SELECT * FROM orders_window")
     o["logins_window"] = K("SELECT * FROM logins_window")
-    o["report_new_users"] = K(_table1(kp))
+    o["report_new_users"] = E(_table1(EP))
     o["report_visits_orders"] = K(_table2(kp))
     o["sales_detail"] = S("SELECT * FROM sales_detail")
     o["channel_daily"] = S(_channel_daily(sp))
@@ -847,4 +852,7 @@ FROM (SELECT
   (SELECT {money(ssum('sub_total'))} FROM camp_sales WHERE campaign_prod = 1) AS subtotal_it,
   (SELECT {nd('order_id')} FROM camp_sales) AS no_order_tt,
   (SELECT {money(ssum('sub_total'))} FROM camp_sales) AS subtotal_tt)""")
+    # the sinks return what they wrote, read back
+    o["sink_csv_report"] = o["report_delivery"]
+    o["sink_bundle"] = S(f"SELECT *, {q(sp.report_date)} AS report_date FROM ({_top(sp)})")
     return o

@@ -30,7 +30,7 @@ from kpiloom.plans.dims import area_levels, city_districts
 from kpiloom.plans.facts import Model, run_snapshot_base
 from kpiloom.session import app_id
 from kpiloom.sources import ingest
-from kpiloom.sources.bindings import kpi_params, sales_params, test_raw_tables
+from kpiloom.sources.bindings import early_params, kpi_params, sales_params, test_raw_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,9 +43,10 @@ _MODELS_LOCK = threading.RLock()
 
 
 def _model(spark: SparkSession, sf_dir: str, kind: str, params, **kw) -> Model:
-    key = (app_id(spark), sf_dir, kind, tuple(sorted(kw.items())))
+    key = (app_id(spark), sf_dir, kind, repr(params), tuple(sorted(kw.items())))
     with _MODELS_LOCK:
         if key not in _MODELS:
+            kw.setdefault("use_account_table", False)   # the binding's accounts are literals
             kw.setdefault("snapshot", run_snapshot_base(spark, sf_dir, kind, params))
             _MODELS[key] = Model(test_raw_tables(spark, sf_dir, kind), params, **kw)
         return _MODELS[key]
@@ -55,6 +56,10 @@ def kpi_model(spark: SparkSession, sf_dir: str, **kw) -> Model:
     return _model(spark, sf_dir, "events", kpi_params(), **kw)
 
 
+def early_model(spark: SparkSession, sf_dir: str, **kw) -> Model:
+    return _model(spark, sf_dir, "events", early_params(), **kw)
+
+
 def sales_model(spark: SparkSession, sf_dir: str, **kw) -> Model:
     return _model(spark, sf_dir, "orders", sales_params(), **kw)
 
@@ -63,6 +68,10 @@ def _k(fn) -> Query:
     return lambda spark, sf: fn(kpi_model(spark, sf))
 
 
+def _e(fn) -> Query:
+    return lambda spark, sf: fn(early_model(spark, sf))
+
+
 def _s(fn) -> Query:
     return lambda spark, sf: fn(sales_model(spark, sf))
 
@@ -279,7 +288,7 @@ def q_first_per_key_min(m: Model) -> DataFrame:
 
 
 def q_first_per_key_ordered(m: Model) -> DataFrame:
-    return first_by(m.orders, ["username"], "paid_date", order=["create_date", "id"], out="first_paid_date")
+    return first_by(m.orders, ["username"], "paid_date", order=R.ARRIVAL, out="first_paid_date")
 
 
 def q_avg_ticket(m: Model) -> DataFrame:
@@ -326,7 +335,7 @@ def q_sort_asc(m: Model) -> DataFrame:
 
 def q_sort_desc(m: Model) -> DataFrame:
     return m.campaign_sales.select("order_id", "sn", "campaign_prod", "sub_total").orderBy(
-        F.col("campaign_prod").desc())
+        F.col("campaign_prod").desc(), "order_id", "sn")
 
 
 def _first_logins(m: Model) -> tuple[DataFrame, DataFrame]:
@@ -435,8 +444,9 @@ def q_sink_csv_report(spark: SparkSession, sf: str) -> DataFrame:
     from kpiloom.sources.sinks import csv_report
 
     path = _sink_dir(spark, "table4")
-    csv_report(R.report_delivery(sales_model(spark, sf)), path)
-    return spark.read.option("header", True).option("nullValue", "NA").csv(path)
+    report = R.report_delivery(sales_model(spark, sf))
+    csv_report(report, path, single_file=True)
+    return spark.read.schema(report.schema).option("header", True).option("nullValue", "NA").csv(path)
 
 
 def q_sink_bundle(spark: SparkSession, sf: str) -> DataFrame:
@@ -517,8 +527,8 @@ QUERIES: dict[str, Query] = {
     "rollup_weekly": _k(R.rollup_weekly),
     "total_row_append": _s(q_total_row_append),
     "distinct_rows": _s(q_distinct_rows),
-    "new_login_cohort": _k(R.new_login_cohort),
-    "new_buyer_cohort": _k(R.new_buyer_cohort),
+    "new_login_cohort": _e(R.new_login_cohort),
+    "new_buyer_cohort": _e(R.new_buyer_cohort),
     # windows, sorts, sets, reshape
     "peak_flags": _k(q_peak_flags),
     "partition_mean": _k(q_partition_mean),
@@ -547,7 +557,7 @@ QUERIES: dict[str, Query] = {
     "items_clean": _s(lambda m: m.items),
     "orders_window": _k(q_orders_window),
     "logins_window": _k(q_logins_window),
-    "report_new_users": _k(R.report_new_users),
+    "report_new_users": _e(R.report_new_users),
     "repeat_visit_rate": _k(R.repeat_visit_rate),
     "repeat_order_rate": _k(R.repeat_order_rate),
     "report_visits_orders": _k(q_report_visits_orders),

@@ -23,14 +23,14 @@ def first_by(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str
 
     ``order=None``: first after an ascending sort of ``value`` itself with
     NULLs last, i.e. ``min(value)``. With ``order``: the value on the row with
-    the smallest ``order`` tuple, NULL included (``min_by``); this pins the
+    the smallest ``order`` tuple (SQL expressions), NULL included (``min_by``); this pins the
     otherwise arrival-order dependent ``first``.
     """
     out = out or value
     if order is None:
         agg = F.min(value)
     else:
-        key = F.struct(*order) if len(order) > 1 else F.col(order[0])
+        key = F.struct(*map(F.expr, order))
         agg = F.min_by(F.col(value), key)
     return df.groupBy(*keys).agg(agg.alias(out))
 
@@ -84,32 +84,22 @@ def level_sets(df: DataFrame, levels: Sequence[str], aggs: Sequence[Column],
 
 def repeat_rate(df: DataFrame, levels: Sequence[str], user: str, day: str, min_days: int = 2,
                 count_name: str = "user_count", repeat_name: str = "repeat_count",
-                rate_name: str = "repeat_rate", window=None) -> DataFrame:
+                rate_name: str = "repeat_rate") -> DataFrame:
     """Users and users active on >= ``min_days`` distinct days, per level.
 
-    Two aggregates: distinct days per (level keys, user) -- computed for all
-    prefixes in one grouping-sets pass -- then counts per level. A user seen
-    in two cities counts once in the total and once per city, exactly as the
-    per-level computation; counts are never summed across levels.
-
-    ``window=(start, n_days)`` promises every ``day`` lies in
-    ``(start, start + n_days]`` with ``n_days <= 63``: the distinct days of a
-    user are then the set bits of ``bit_or(1 << day_index)``, an ordinary
-    (partial) aggregate, instead of a distinct count (no extra Expand and
-    shuffle). Without it a distinct count is used.
+    Rows are first reduced to distinct (levels, user, day), an ordinary
+    partial aggregate; only those are expanded to the grouping sets that give
+    distinct days per (level keys, user), and then counts per level. A user
+    seen in two cities counts once in the total and once per city, exactly as
+    the per-level computation; counts are never summed across levels. Days
+    may be any number and lie anywhere; a NULL day is no day.
     """
     levels = list(levels)
     n = len(levels)
     sets = [[user]] + [levels[: i + 1] + [user] for i in range(n)]
-    gid = F.grouping_id(*levels, user)
-    if window is not None and window[1] <= 63:
-        idx = F.datediff(F.col(day), F.lit(window[0])) - 1
-        bit = F.pow(F.lit(2.0), idx).cast("long")      # exact for idx <= 62
-        days = F.bit_count(F.bit_or(bit))
-    else:
-        days = F.count_distinct(day)
-    per_user = (df.groupingSets(sets, *levels, user)
-                .agg(days.alias("__days"), gid.alias("__gid"))
+    days = df.select(*levels, user, day).distinct()
+    per_user = (days.groupingSets(sets, *levels, user)
+                .agg(F.count_distinct(day).alias("__days"), F.grouping_id(*levels, user).alias("__gid"))
                 .withColumn(LEVEL_COL, _level_of("__gid", n)))
     out = (per_user.groupBy(LEVEL_COL, *levels)
            .agg(F.count(F.lit(1)).alias(count_name),

@@ -13,6 +13,8 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,12 +46,23 @@ def in_window(df: DataFrame, col: str, start: dt.date, end: dt.date,
     return df.filter(lower & (c <= hi))
 
 
+class Accounts(NamedTuple):
+    """Accounts to exclude: a one-column frame (or None) and literals added to it."""
+
+    frame: DataFrame | None
+    literals: list
+
+
 def exclude_accounts(df: DataFrame, accounts, key: str = "username") -> DataFrame:
     """SQL ``key NOT IN (accounts)``: drops listed accounts and NULL keys.
 
-    ``accounts`` is a literal list (pushed into the scan) or a one-column
-    DataFrame (anti-join; the list grows with the business, so no collect).
+    ``accounts`` is a literal list (pushed into the scan), a one-column
+    DataFrame (anti-join; the list grows with the business, so no collect),
+    or ``Accounts`` with both.
     """
+    if isinstance(accounts, Accounts):
+        df = exclude_accounts(df, accounts.literals, key)
+        return df if accounts.frame is None else exclude_accounts(df, accounts.frame, key)
     if isinstance(accounts, DataFrame):
         first = accounts.columns[0]
         acc = accounts.select(F.col(first).alias("__acc")).filter(F.col("__acc").isNotNull())

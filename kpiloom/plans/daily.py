@@ -14,6 +14,8 @@ detail). Each is computed once, written as Parquet under the session's
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 from kpiloom.params import ReportParams
@@ -27,7 +29,7 @@ SHARED_FACTS = ("orders_window", "logins_window", "sales_detail", "delivery_orde
 def materialize_facts(m: Model, names=SHARED_FACTS) -> Model:
     """Write the shared facts of ``m`` once and make the model read them back."""
     base = m._snapshot_base if isinstance(m._snapshot_base, str) else \
-        run_snapshot_base(m.raw.order.sparkSession, "facts", id(m))
+        run_snapshot_base(m.raw.order.sparkSession, "facts", uuid.uuid4().hex)
     for name in names:
         if name == "campaign_sales" and m.p.campaign_start is None:
             continue
@@ -69,4 +71,9 @@ def run_daily(raw, p: ReportParams, out_base: str, fmt: str = "parquet", localiz
     m = Model(raw, p)
     if materialize:
         materialize_facts(m)
-    return write_bundle(daily_reports(m, localized), out_base, p.report_date, fmt=fmt, small=SMALL_REPORTS)
+    reports = daily_reports(m, localized)
+    campaign = {k: reports.pop(k) for k in list(reports) if k.startswith("campaign_")}
+    paths = write_bundle(reports, out_base, p.report_date, fmt=fmt, small=SMALL_REPORTS)
+    if campaign:   # stamped with the campaign's own last day
+        paths |= write_bundle(campaign, out_base, p.campaign_end or p.report_date, fmt=fmt, small=SMALL_REPORTS)
+    return paths

@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from kpiloom.functions.semantics import (
     bucket, channel_of_delivery_method, if_else, in_set, not_in_set, ship_status_simple,
+    strict_sum,
 )
 from kpiloom.operators.relational import (
-    drop_suffix_users, in_window, keep_matching, left_join_renamed, mark,
+    Accounts, drop_suffix_users, in_window, keep_matching, left_join_renamed, mark,
 )
 from kpiloom.params import (
     CHANNEL_SELF_OPERATED, LOG_TYPE_COMPLETED, LOG_TYPE_SHIPPED, SHIPPING_AWAITING, SHIPPING_NOT_SHIPPED,
@@ -60,12 +61,13 @@ class Model:
     re-reads the snapshot instead of recomputing it.
     """
 
-    def __init__(self, raw, p: ReportParams, use_account_table: bool = False,
+    def __init__(self, raw, p: ReportParams, use_account_table: bool = True,
                  snapshot: bool | str = True):
         self.raw = raw
         self.p = p
-        # accounts: the lookup frame (anti-join) or the literal list (pushed filter)
-        self.accounts = raw.test_accounts if use_account_table else list(p.test_accounts)
+        # accounts: the lookup frame (anti-join) and the literal list (pushed filter)
+        frame = raw.test_accounts if use_account_table else None
+        self.accounts = Accounts(frame, list(p.test_accounts))
         self._snapshot_base = snapshot
 
     def _snapshot(self, name: str, build) -> DataFrame:
@@ -197,6 +199,20 @@ class Model:
         lg = lg.select("member_id", "username", "area_id", "login_ip", "login_date")
         return self._drop_x_district(lg.join(self.area, "area_id", "left"))
 
+    @cached_property
+    def order_days(self) -> DataFrame:
+        """Orders of the 7-day window once per (city, district, buyer, day):
+        rows n and amount (NULL if one of them is). All table2 order measures
+        come from this frame, so the grouping sets expand it, not the orders."""
+        return self.orders_window.groupBy("city", "district", "username", "create_date").agg(
+            F.count(F.lit(1)).alias("n"), strict_sum("original_amount").alias("amount"))
+
+    @cached_property
+    def login_days(self) -> DataFrame:
+        """Logins of the 7-day window once per (city, district, member, user, day), with rows n."""
+        return self.logins_window.groupBy("city", "district", "member_id", "username", "login_date").agg(
+            F.count(F.lit(1)).alias("n"))
+
     # ---- sales detail (Q16) ------------------------------------------------
     @cached_property
     def sales_detail(self) -> DataFrame:

@@ -37,6 +37,10 @@ def _grid_city_date(m: Model, date: str = "date") -> DataFrame:
 # ---------------------------------------------------------------------------
 # table1: new logins and new buyers per city and day (Q6-Q8)
 # ---------------------------------------------------------------------------
+#: Order of arrival: the day, then the id as a number ("9" before "10").
+ARRIVAL = ("create_date", "try_cast(id as decimal(38, 0))", "id")
+
+
 def new_login_cohort(m: Model) -> DataFrame:
     """First login per (city, member) from app logins and the recorded first
     login; members per (city, first day) inside the week window."""
@@ -52,13 +56,13 @@ def new_login_cohort(m: Model) -> DataFrame:
 def new_buyer_cohort(m: Model) -> DataFrame:
     """First paid date per (city, buyer) over the whole order history (status
     1, 2); buyers per (city, first paid day) inside the week window. The
-    first row is the earliest (create_date, id); its paid date may be NULL,
+    first row is the earliest by (day, numeric id); its paid date may be NULL,
     and such buyers are not counted."""
     p = m.p
     o = (m.orders.filter(in_set("order_status", (1, 2)))
          .select("id", "area_id", "username", "create_date", "paid_date")
          .join(m.area, "area_id", "left").filter(F.col("city").isNotNull()))
-    out = cohort_counts(o, ["city"], "username", "paid_date", order=["create_date", "id"], out_date="date")
+    out = cohort_counts(o, ["city"], "username", "paid_date", order=ARRIVAL, out_date="date")
     return out.filter((F.col("date") > F.lit(p.week_start)) & (F.col("date") <= F.lit(p.report_date)))
 
 
@@ -90,27 +94,27 @@ LEVELS = ["city", "district"]
 
 def rollup_visits(m: Model) -> DataFrame:
     """Report-day visits (rows) and unique visitors per level."""
-    lg = m.logins_window.filter(F.col("login_date") == F.lit(m.p.report_date))
-    return level_sets(lg, LEVELS, [F.count(F.lit(1)).alias("total_visitors"),
+    lg = m.login_days.filter(F.col("login_date") == F.lit(m.p.report_date))
+    return level_sets(lg, LEVELS, [F.sum("n").alias("total_visitors"),
                                    n_distinct("member_id").alias("unique_visitors")],
                       empty={"total_visitors": 0, "unique_visitors": 0})
 
 
 def rollup_orders(m: Model) -> DataFrame:
     """Report-day buyers, orders, amount and average ticket per level."""
-    o = m.orders_window.filter(F.col("create_date") == F.lit(m.p.report_date))
+    o = m.order_days.filter(F.col("create_date") == F.lit(m.p.report_date))
     out = level_sets(o, LEVELS, [n_distinct("username").alias("people_count"),
-                                 F.count(F.lit(1)).alias("total_quant"),
-                                 money(strict_sum("original_amount"), m.p.money_scale).alias("total_amount")],
+                                 F.sum("n").alias("total_quant"),
+                                 money(strict_sum("amount"), m.p.money_scale).alias("total_amount")],
                      empty={"people_count": 0, "total_quant": 0, "total_amount": 0.0})
     return out.withColumn("daily_pct", ratio(F.col("total_amount"), F.col("total_quant")))
 
 
 def rollup_weekly(m: Model) -> DataFrame:
     """7-day amount, average ticket and orders per day per level."""
-    o = m.orders_window
-    out = level_sets(o, LEVELS, [money(strict_sum("original_amount"), m.p.money_scale).alias("wkly_total_amount"),
-                                 F.count(F.lit(1)).alias("__n")],
+    o = m.order_days
+    out = level_sets(o, LEVELS, [money(strict_sum("amount"), m.p.money_scale).alias("wkly_total_amount"),
+                                 F.sum("n").alias("__n")],
                      empty={"wkly_total_amount": 0.0, "__n": 0})
     return (out.withColumn("wkly_pct", ratio(F.col("wkly_total_amount"), F.col("__n")))
             .withColumn("wkly_avg_quant", F.col("__n") / F.lit(float(m.p.week_days))).drop("__n"))
@@ -125,31 +129,29 @@ def orders_day_and_week(m: Model) -> DataFrame:
     day = F.col("create_date") == F.lit(m.p.report_date)
     user = F.when(day, F.col("username"))
     scale = m.p.money_scale
-    amount_day = F.when(day, F.col("original_amount"))
+    amount_day = F.when(day, F.col("amount"))
     aggs = [
         (F.count_distinct(user) + F.coalesce(F.max(F.when(day, F.col("username").isNull().cast("int"))), F.lit(0)))
         .alias("people_count"),
-        F.count_if(day).alias("total_quant"),
+        F.coalesce(F.sum(F.when(day, F.col("n"))), F.lit(0)).alias("total_quant"),
         money(F.when(F.count_if(day) == F.count(amount_day), F.sum(amount_day)), scale).alias("total_amount"),
-        money(strict_sum("original_amount"), scale).alias("wkly_total_amount"),
-        F.count(F.lit(1)).alias("__n"),
+        money(strict_sum("amount"), scale).alias("wkly_total_amount"),
+        F.sum("n").alias("__n"),
     ]
-    out = level_sets(m.orders_window, LEVELS, aggs)
+    out = level_sets(m.order_days, LEVELS, aggs)
     return (out.withColumn("daily_pct", ratio(F.col("total_amount"), F.col("total_quant")))
             .withColumn("wkly_pct", ratio(F.col("wkly_total_amount"), F.col("__n")))
             .withColumn("wkly_avg_quant", F.col("__n") / F.lit(float(m.p.week_days))).drop("__n"))
 
 
 def repeat_visit_rate(m: Model) -> DataFrame:
-    return repeat_rate(m.logins_window, LEVELS, "username", "login_date",
-                       count_name="login_count", repeat_name="dup_login_count", rate_name="dup_login_rate",
-                       window=(m.p.week_start, m.p.week_days))
+    return repeat_rate(m.login_days, LEVELS, "username", "login_date",
+                       count_name="login_count", repeat_name="dup_login_count", rate_name="dup_login_rate")
 
 
 def repeat_order_rate(m: Model) -> DataFrame:
-    return repeat_rate(m.orders_window, LEVELS, "username", "create_date",
-                       count_name="order_count", repeat_name="dup_order_count", rate_name="dup_order_rate",
-                       window=(m.p.week_start, m.p.week_days))
+    return repeat_rate(m.order_days, LEVELS, "username", "create_date",
+                       count_name="order_count", repeat_name="dup_order_count", rate_name="dup_order_rate")
 
 
 TABLE2_COLUMNS = ["city", "district", "total_visitors", "unique_visitors", "people_count", "total_quant",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -61,7 +62,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint directory the cluster configured.
 
     Reads ``spark.checkpoint.dir`` from the session; only when it is unset
-    (local tests) a fresh scratch directory is created and registered.
+    (local tests) a fresh scratch directory is created and registered. On a
+    cluster an unset folder is an error: executors would each write to their
+    own disk.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     sc = None
@@ -72,6 +75,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not path and sc is not None:
         path = sc.getCheckpointDir()
     if not path:
+        master = sc.master if sc is not None else (spark.conf.get("spark.master", None) or "local")
+        if not re.match(r"local(\[[^\]]*\])?$", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="kpiloom-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", path)
@@ -82,8 +88,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def scale_conf(shuffle_bytes: int, partition_bytes: int = 256 << 20, broadcast_bytes: int = 64 << 20,
-               max_partitions: int = 100_000) -> dict[str, str]:
+def scale_conf(shuffle_bytes: int, partition_bytes: int = 256 << 20, broadcast_bytes: int = 64 << 20) -> dict[str, str]:
     """Settings for a cluster run, sized from the largest expected shuffle.
 
     ``spark.sql.shuffle.partitions`` is the initial number of shuffle
@@ -93,7 +98,7 @@ def scale_conf(shuffle_bytes: int, partition_bytes: int = 256 << 20, broadcast_b
     broadcast threshold bounds what Spark broadcasts by its size check (the
     dimension snapshots); anything larger is sort-merge joined.
     """
-    n = max(1, min(max_partitions, -(-shuffle_bytes // partition_bytes)))
+    n = max(1, -(-shuffle_bytes // partition_bytes))
     return {
         "spark.sql.shuffle.partitions": str(n),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),

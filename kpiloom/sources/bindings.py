@@ -35,6 +35,7 @@ campaign products      parts of brand 'Brand#1'
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +73,11 @@ def kpi_params() -> ReportParams:
     )
 
 
+def early_params() -> ReportParams:
+    """Parameters for table 1: an early report date, so that buyers are first seen inside its week."""
+    return replace(kpi_params(), report_date=dt.date(2024, 1, 7))
+
+
 def sales_params() -> ReportParams:
     """Parameters for tables 3-4, supplements and the campaign report
     (orders span 1995-01-01 .. 2001-08-01). Log dates are far apart on the

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def csv_report(df: DataFrame, path: str, single_file: bool = True, null_value: str = "NA",
+def csv_report(df: DataFrame, path: str, single_file: bool = False, null_value: str = "NA",
                mode: str = "overwrite") -> None:
     """Write a report as CSV with a header; NULL is written as ``NA``.
 
-    ``single_file`` coalesces to one partition -- only for the small final
-    reports (grid-sized tables), never for detail tables.
+    ``single_file`` moves the finished rows to one partition (the stages
+    before stay parallel) -- only for grid-sized reports, never for detail tables.
     """
-    out = df.coalesce(1) if single_file else df
+    out = df.repartition(1) if single_file else df
     (out.write.mode(mode).option("header", True).option("nullValue", null_value)
      .option("emptyValue", "").csv(path))
 
@@ -27,26 +27,29 @@ def write_bundle(frames: dict[str, DataFrame], base: str, report_date: dt.date,
 
     Replaces the spreadsheet with several blocks: every block is a dataset
     readable by Spark or any Parquet/CSV tool. ``small`` names reports that
-    are coalesced to a single file.
+    are written as a single file (their finished rows are moved, the stages
+    before stay parallel).
     """
     paths = {}
     for name, df in frames.items():
         path = f"{base}/{name}/report_date={report_date.isoformat()}"
-        out = df.coalesce(1) if name in small else df
+        out = df.repartition(1) if name in small else df
         w = out.write.mode("overwrite")
         if fmt == "csv":
-            w.option("header", True).option("nullValue", "NA").csv(path)
+            w.option("header", True).option("nullValue", "NA").csv(path)   # empty text is quoted, so it reads back
         else:
             w.parquet(path)
         paths[name] = path
     return paths
 
 
-def read_bundle(spark, base: str, name: str, fmt: str = "parquet") -> DataFrame:
+def read_bundle(spark, base: str, name: str, fmt: str = "parquet", schema=None) -> DataFrame:
     """Read back one report of a bundle (all days; ``report_date`` is a
-    partition column, so a filter on it prunes directories)."""
+    partition column, so a filter on it prunes directories). CSV needs the
+    report's ``schema`` for its types; ``NA`` is read as NULL."""
     if fmt == "csv":
-        return spark.read.option("header", True).csv(f"{base}/{name}")
+        reader = spark.read.option("header", True).option("nullValue", "NA")
+        return (reader.schema(schema) if schema is not None else reader).csv(f"{base}/{name}")
     return spark.read.parquet(f"{base}/{name}")
 
 

@@ -92,9 +92,21 @@ def test_top_n_matches_brute_force(spark, data, n):
 
 @SET
 @given(st.lists(row, max_size=40))
-def test_repeat_rate_window_bitmask_equals_distinct(spark, data):
+def test_repeat_rate_equals_plain_counts(spark, data):
     df = _df(spark, data).withColumn("d", F.date_add(F.lit(dt.date(2024, 1, 1)), F.col("day")))
     a = repeat_rate(df, ["city", "district"], "user", "d")
-    b = repeat_rate(df, ["city", "district"], "user", "d", window=(dt.date(2023, 12, 31), 7))
-    order = lambda t: (t[0], t[1] or "", t[2] or "")
-    assert sorted(map(tuple, a.collect()), key=order) == sorted(map(tuple, b.collect()), key=order)
+    days = {}
+    for r in df.collect():
+        for key in ((0, None, None), (1, r.city, None), (2, r.city, r.district)):
+            days.setdefault((key, r.user), set()).add(r.d)
+    want = {}
+    for (key, _), seen in days.items():
+        n, again = want.get(key, (0, 0))
+        want[key] = (n + 1, again + (len(seen - {None}) >= 2))
+    assert {(r.level, r.city, r.district): (r.user_count, r.repeat_count) for r in a.collect()} == want
+
+
+def test_repeat_rate_over_any_days(spark):
+    d = dt.date
+    df = spark.createDataFrame([("u", d(2024, 1, 1)), ("u", d(2024, 1, 1)), ("u", d(2024, 3, 31)), ("v", d(2024, 1, 2))], "u string, d date")
+    assert [(r.user_count, r.repeat_count) for r in repeat_rate(df, [], "u", "d").collect()] == [(2, 1)]

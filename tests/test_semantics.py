@@ -68,12 +68,13 @@ def test_t7_n_distinct_counts_null(spark):
 
 def test_t8_first_by_order_keeps_null_value(spark):
     from kpiloom.operators.aggregates import first_by
+    from kpiloom.plans.reports import ARRIVAL
 
     d = dt.date
-    df = spark.createDataFrame([("u", d(2024, 1, 1), "2", None), ("u", d(2024, 1, 1), "3", d(2024, 1, 2)),
+    df = spark.createDataFrame([("u", d(2024, 1, 1), "9", None), ("u", d(2024, 1, 1), "10", d(2024, 1, 2)),
                                 ("v", d(2024, 1, 5), "9", d(2024, 1, 6))],
                                "u string, create_date date, id string, paid date")
-    out = first_by(df, ["u"], "paid", order=["create_date", "id"], out="first_paid")
+    out = first_by(df, ["u"], "paid", order=ARRIVAL, out="first_paid")
     assert rows(out) == [("u", None), ("v", d(2024, 1, 6))]
     out_min = first_by(df, ["u"], "paid", out="first_paid")
     assert rows(out_min) == [("u", d(2024, 1, 2)), ("v", d(2024, 1, 6))]

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from conftest import rows
 from kpiloom.session import ensure_checkpoint_dir
 from kpiloom.sources.sinks import csv_report, read_bundle, stamp, write_bundle
@@ -70,7 +71,48 @@ def test_scale_conf_sizes_partitions():
     c = scale_conf(1 << 40)     # 1 TiB largest shuffle at 256 MiB per partition
     assert c["spark.sql.shuffle.partitions"] == "4096"
     assert scale_conf(10)["spark.sql.shuffle.partitions"] == "1"
-    assert scale_conf(1 << 50)["spark.sql.shuffle.partitions"] == "100000"
+    assert scale_conf(1 << 50)["spark.sql.shuffle.partitions"] == str(1 << 22)   # no cap
+
+
+def test_a_cluster_needs_a_shared_checkpoint_dir():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
+
+
+def test_run_daily_excludes_the_account_frame(spark, tmp_path):
+    from dataclasses import replace
+
+    from kpiloom.plans.facts import Model
+    from rawfixture import PARAMS, raw_tables
+
+    m = Model(raw_tables(spark), replace(PARAMS, test_accounts=()), snapshot=False)
+    assert "105" not in {r.id for r in m.orders.collect()}
+    assert "test1" not in {r.username for r in m.logins.collect()}
+    more = Model(raw_tables(spark), replace(PARAMS, test_accounts=("u10",)), snapshot=False)   # literals are added
+    assert not {"100", "101", "105"} & {r.id for r in more.orders.collect()}
+
+
+def test_csv_bundle_read_back_keeps_nulls_and_types(spark, tmp_path):
+    import datetime as dt
+
+    from kpiloom.sources.sinks import read_bundle, write_bundle
+
+    df = spark.createDataFrame([("a", 1.5), (None, None), ("", 2.0)], "name string, v double")
+    write_bundle({"r": df}, str(tmp_path / "b"), dt.date(2024, 1, 1), fmt="csv", small=("r",))
+    back = read_bundle(spark, str(tmp_path / "b"), "r", fmt="csv", schema=df.schema)
+    assert sorted(map(str, back.select("name", "v").collect())) == sorted(map(str, df.collect()))
 
 
 def test_parquet_source_roundtrip(spark, tmp_path):
