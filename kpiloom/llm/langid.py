@@ -220,12 +220,17 @@ def identify(docs: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def accept(docs: DataFrame, min_score: float = 0.5, per_class: int = PER_CLASS) -> DataFrame:
-    """Rows of ``docs``, all columns, whose language is told with at least ``min_score``; the others go.
+def accept(docs: DataFrame, over_chance: float = 1.05, per_class: int = PER_CLASS) -> DataFrame:
+    """Rows of ``docs``, all columns, whose language is told; the others go.
 
     Rejected are texts without letters (null and empty ones too) and those
-    that no language fits better than even.
+    whose score is below ``over_chance`` times that of a blind guess among the
+    learned languages. With one language or none learned, only the first rule holds.
     """
     model = fit(docs, per_class)
-    keep = docs.columns
-    return predict(docs, model, keep).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*keep)
+    keep, kinds = docs.columns, len(model.langs)
+    told = predict(docs, model, keep)
+    if not kinds:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    least = over_chance / kinds if kinds > 1 else 0.0
+    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*keep)
