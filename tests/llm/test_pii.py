@@ -52,8 +52,12 @@ def test_base_spans_equal_brute_force(spark):
 
 
 def test_long_runs_stay_linear(spark):
-    check(spark, [(0, "a" * 200_000, 0), (1, "1" * 200_000, 0), (2, "1 " * 100_000, 0), (3, "a." * 100_000 + "@b" + ".c" * 50_000, 0),
-                  (4, "1." * 50_000, 0), (5, "+1" + "-" * 200_000, 0), (6, "A1" * 50_000, 0)])
+    """Counts are known here: the plain patterns themselves are quadratic on such runs."""
+    rows = [(0, "a" * 200_000), (1, "1" * 200_000), (2, "1 " * 100_000), (3, "a." * 50_000 + "@b" + ".c" * 20_000),
+            (4, "1." * 20_000), (5, "+1" + "-" * 200_000), (6, "A1" * 50_000)]
+    got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone)
+           for r in pii.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (int(i == 3), 5000 * (i == 4), 0, 0) for i in range(7)}
 
 
 def test_added_spans_and_scores(spark):
