@@ -165,7 +165,7 @@ def ctes(p, order_flavor: str) -> dict[str, tuple[str, tuple[str, ...]]]:
          coalesce(array_to_string(string_split(name_path, ',')[3:], ','), '') AS p3
   FROM r_area""", ("r_area",))
     c["area_k"] = (_area_sql(p, True), ("area_parts",))
-    c["area_m"] = (_area_sql(p, False), ("area_parts",))
+    c["area_m"] = (_area_sql(p.for_campaign(), False), ("area_parts",))
     c["orders_scan"] = (f"""
   SELECT CAST(id AS VARCHAR) AS id, sn, create_date AS create_ts, CAST(create_date AS DATE) AS create_date,
          CAST(paid_date AS DATE) AS paid_date, CAST(returns_date AS DATE) AS returns_date, order_status,

@@ -9,6 +9,7 @@ supplement and campaign queries use the orders binding.
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,11 +48,17 @@ def _model(spark: SparkSession, sf_dir: str, kind: str, params, **kw) -> Model:
     with _MODELS_LOCK:
         if key not in _MODELS:
             kw.setdefault("use_account_table", False)   # the binding's accounts are literals
-            kw.setdefault("snapshot", run_snapshot_base(spark, sf_dir, kind, params))
+            kw.setdefault("snapshot", run_snapshot_base(spark, sf_dir, kind, uuid.uuid4().hex))
             _MODELS[key] = Model(test_raw_tables(spark, sf_dir, kind), params, **kw)
         return _MODELS[key]
 
 
+def fresh_run() -> None:
+    """Forget the models: the next query is the first of a new run and writes its dimensions anew."""
+    with _MODELS_LOCK:
+        _MODELS.clear()
+
+
 def kpi_model(spark: SparkSession, sf_dir: str, **kw) -> Model:
     return _model(spark, sf_dir, "events", kpi_params(), **kw)
 
@@ -432,8 +439,6 @@ def q_log_events(m: Model) -> DataFrame:
 
 
 def _sink_dir(spark: SparkSession, name: str) -> str:
-    import uuid
-
     from kpiloom.session import ensure_checkpoint_dir
 
     return f"{ensure_checkpoint_dir(spark)}/sinks/{name}-{uuid.uuid4().hex}"

@@ -58,11 +58,6 @@ def ratio(a, b) -> Column:
     return F.try_divide(_col(a), _col(b))
 
 
-def count_if(pred: Column) -> Column:
-    """Number of rows where ``pred`` is TRUE (``sum(pred)`` on a logical)."""
-    return F.count_if(pred)
-
-
 def fill_missing(c, default, is_float: bool = False) -> Column:
     """NULL (and NaN for floating columns) -> default."""
     c = _col(c)
@@ -99,11 +94,6 @@ def blank_to_null(c, min_len: int = 2) -> Column:
     return F.when(F.length(c) >= min_len, c)
 
 
-def suffix_match(c, pattern: str) -> Column:
-    """Regular-expression search (``X$`` style); NULL input stays NULL."""
-    return _col(c).rlike(pattern)
-
-
 def bucket(c, thresholds: Sequence, labels: Sequence[str]) -> Column:
     """Label by ``c <= t_i``; above the last threshold gets the last label.
 

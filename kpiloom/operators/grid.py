@@ -63,11 +63,6 @@ def param_grid(spark: SparkSession, **dims) -> DataFrame:
     return expand(base, **dims)
 
 
-def city_date_grid(spark: SparkSession, cities: Sequence[str], start: dt.date, end: dt.date,
-                   city: str = "city", date: str = "date") -> DataFrame:
-    return param_grid(spark, **{city: list(cities), date: DateRange(start, end)})
-
-
 def densify(agg: DataFrame, grid: DataFrame, keys: Sequence[str], fill_cols: Sequence[str] = (),
             fill_value=0, unique: bool = True) -> DataFrame:
     """Every grid cell once; measures from ``agg`` where present.

@@ -11,14 +11,12 @@ keys are split by AQE skew handling.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
-
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiloom.functions.semantics import in_set, sql_not_in
+from kpiloom.functions.semantics import sql_not_in
 
 
 def _as_list(on) -> list[str]:
@@ -108,11 +106,6 @@ def mark(df: DataFrame, members: DataFrame, on: str, name: str, members_on: str
     return out.withColumn(name, F.coalesce(F.col(name), F.lit(0)))
 
 
-def filter_in(df: DataFrame, col: str, values: Sequence) -> DataFrame:
-    """Total membership filter (NULL never passes)."""
-    return df.filter(in_set(col, values))
-
-
 def drop_suffix_users(df: DataFrame, cond_col: str, cond_values, user_col: str, pattern: str) -> DataFrame:
     """Drop rows where ``cond_col`` equals one of ``cond_values`` and the user
     matches ``pattern``. Three-valued, as in ``filter(!(a == v & regex))``:

@@ -31,11 +31,23 @@ CATEGORY_COLUMNS = {
     "家庭清洁": "house_care", "进口商品": "imports", "酒水饮料": "drinks", "粮油副食": "grain_oil",
     "美容洗护": "hair_care", "日用百货": "general_merch", "乳品冲调": "dairy", "休闲零食": "snacks",
 }
-ORDER_STATUS_CONFIRMED, ORDER_STATUS_COMPLETED, ORDER_STATUS_CANCELLED = 1, 2, 3
+# order status 1 confirmed, 2 completed, 4 (counted with them in the sales windows)
+PAID_STATUSES = (1, 2)
+SOLD_STATUSES = (1, 2, 4)
 LOG_TYPE_SHIPPED, LOG_TYPE_COMPLETED = 15, 18
 SHIPPING_NOT_SHIPPED, SHIPPING_AWAITING = 0, 6
 SHIPPING_RETURNED, SHIPPING_REFUSED = (4, 7), 8
 EXCLUDED_DEALERS = ("2",)
+DAILY_PROVINCES = ("浙江省", "江苏省")
+DAILY_CITIES = ("苏州市", "杭州市", "南京市", "嘉兴市")
+DAILY_EXCLUDED_DISTRICTS = ("木渎A", "海盐A", "海宁A")
+CAMPAIGN_PROVINCES = ("江苏省",)
+CAMPAIGN_CITIES = ("苏州市",)
+CAMPAIGN_EXCLUDED_DISTRICTS = ("木渎A",)
+X_AREA_IDS = ("970",)
+DROPPED_AREA_IDS = ("3325", "3329", "3313")
+X_DISTRICT = "海宁市"
+NOT_AVAILABLE = "#N/A"                 # conversion rate of a level without visitors, in exports
 APP_LOGIN_METHOD = "userLogin"
 APP_SUCCESS_PREFIX = '{"code":1,'
 TOP_PRODUCTS_HEADERS = ("市", "商品名称", "当日销售件数", "最近30日销售件数")
@@ -93,6 +105,10 @@ class ReportParams:
     # campaign report window (inclusive) -- see campaign_window()
     campaign_start: dt.date | None = None
     campaign_end: dt.date | None = None
+    # geography of the campaign report (None: the daily lists)
+    campaign_provinces: tuple | None = None
+    campaign_cities: tuple | None = None
+    campaign_excluded_districts: tuple | None = None
 
     @property
     def week_start(self) -> dt.date:
@@ -121,6 +137,25 @@ class ReportParams:
             raise ValueError(f"unknown mode {mode!r}")
         return cls(report_date=rd, **kw)
 
+    @classmethod
+    def preset(cls, today: dt.date, mode: str = "afternoon", **kw) -> "ReportParams":
+        """``for_run`` with the usual geography and cleaning rules switched on:
+        the daily and campaign city lists, area 970 without users ending in
+        ``X``, the three dropped areas and the district without such users.
+        ``kw`` replaces any of them."""
+        usual = {"provinces": DAILY_PROVINCES, "cities": DAILY_CITIES,
+                 "excluded_districts": DAILY_EXCLUDED_DISTRICTS, "x_area_ids": X_AREA_IDS,
+                 "dropped_area_ids": DROPPED_AREA_IDS, "x_district": X_DISTRICT,
+                 "campaign_provinces": CAMPAIGN_PROVINCES, "campaign_cities": CAMPAIGN_CITIES,
+                 "campaign_excluded_districts": CAMPAIGN_EXCLUDED_DISTRICTS}
+        return cls.for_run(today, mode, **{**usual, **kw})
+
+    def for_campaign(self) -> "ReportParams":
+        """These parameters with the campaign's geography in place of the daily one."""
+        own = {"provinces": self.campaign_provinces, "cities": self.campaign_cities,
+               "excluded_districts": self.campaign_excluded_districts}
+        return replace(self, **{k: v for k, v in own.items() if v is not None})
+
     def with_campaign_window(self, today: dt.date) -> "ReportParams":
         """Campaign window: yesterday, or Saturday+Sunday when run on a Monday."""
         start, end = campaign_window(today)

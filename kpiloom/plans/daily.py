@@ -17,8 +17,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from kpiloom.params import ReportParams
+from kpiloom.params import ALL_CITIES_LABEL, NOT_AVAILABLE, TOTAL_CITY_LABEL, ReportParams
 from kpiloom.plans import reports as R
 from kpiloom.plans.facts import Model, run_snapshot_base
 
@@ -37,6 +38,8 @@ def materialize_facts(m: Model, names=SHARED_FACTS) -> Model:
         path = f"{base}/facts/{name}"
         df.write.mode("overwrite").parquet(path)
         m.__dict__[name] = df.sparkSession.read.parquet(path)
+        if name == "sales_detail":   # orders of the window always have a day, missing orders none
+            m.__dict__["sales_in_window"] = m.sales_detail.filter(F.col("create_date").isNotNull())
     return m
 
 
@@ -62,18 +65,57 @@ SMALL_REPORTS = ("table1_new_users", "table2_visits_orders", "table3_sales", "ta
                  "channel_counts", "sell_through", "campaign_summary")
 
 
+def _totals_first(label: str):
+    return F.when(F.col("city") == label, 0).otherwise(1)
+
+
+#: Row order of the small reports in their files: all-city rows before the cities where the report stacks them so.
+REPORT_ORDER = {
+    "table1_new_users": ["city", "date"],
+    "table2_visits_orders": [_totals_first, "city", "district"],
+    "table3_sales": [_totals_first, "city", "date"],
+    "table4_delivery": [_totals_first, "city", "delivery_effect"],
+    "top_products": ["city", "today_quantity desc nulls last", "name nulls last"],
+    "channel_counts": ["city"],
+    "sell_through": ["method", "city"],
+}
+
+
+def report_order(name: str, df: DataFrame) -> list:
+    """Sort expressions of report ``name``; localized reports are sorted by the same columns by position."""
+    label = TOTAL_CITY_LABEL if name == "table2_visits_orders" else ALL_CITIES_LABEL
+    plain = {"top_products": ("city", "name", "today_quantity", "monthly_quantity"),
+             "sell_through": ("method", "city", "marketable_sn_no", "sold_sn_no", "sales_rate")}.get(name, df.columns)
+    column = dict(zip(plain, df.columns))
+    out = []
+    for key in REPORT_ORDER.get(name, []):
+        if callable(key):
+            out.append(key(label))
+            continue
+        c, _, how = key.partition(" ")
+        c = F.col(f"`{column[c]}`")
+        out.append(c.desc_nulls_last() if how.startswith("desc") else c.asc_nulls_last())
+    return out
+
+
 def run_daily(raw, p: ReportParams, out_base: str, fmt: str = "parquet", localized: bool = False,
               materialize: bool = True) -> dict[str, str]:
     """Compute and write every report of ``p.report_date`` under
     ``out_base/<report>/report_date=<day>``; returns the written paths."""
     from kpiloom.sources.sinks import write_bundle
 
+    if not p.provinces or not p.cities:
+        raise ValueError("set provinces and cities: without them every report is empty")
+    if p.campaign_start is not None and not (p.for_campaign().provinces and p.for_campaign().cities):
+        raise ValueError("set the campaign's provinces and cities: without them its reports are empty")
     m = Model(raw, p)
     if materialize:
         materialize_facts(m)
     reports = daily_reports(m, localized)
     campaign = {k: reports.pop(k) for k in list(reports) if k.startswith("campaign_")}
-    paths = write_bundle(reports, out_base, p.report_date, fmt=fmt, small=SMALL_REPORTS)
+    paths = write_bundle(reports, out_base, p.report_date, fmt=fmt, small=SMALL_REPORTS,
+                         order={k: report_order(k, df) for k, df in reports.items()},
+                         null_text={"table2_visits_orders": {"conv_rate": NOT_AVAILABLE}})
     if campaign:   # stamped with the campaign's own last day
         paths |= write_bundle(campaign, out_base, p.campaign_end or p.report_date, fmt=fmt, small=SMALL_REPORTS)
     return paths

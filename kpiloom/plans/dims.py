@@ -83,12 +83,8 @@ def channel_map(product: DataFrame, dealer: DataFrame, p: ReportParams) -> DataF
     dealer is dropped as well). Any other sn is absent here and is labelled
     self-operated by the reports.
     """
-    d = dealer.select("dealer_id", "supplier")
-    unified = (product.filter(F.col("delivery_method") == 0).select("sn", "dealer_id")
-               .join(d, "dealer_id", "left")
-               .select("sn", "supplier", F.lit(CHANNEL_UNIFIED).alias("method")))
-    self_del = (product.filter(F.col("delivery_method") == 1).select("sn", "dealer_id")
-                .join(d, "dealer_id", "left")
-                .filter(F.col("dealer_id").isNotNull() & ~F.col("dealer_id").isin(list(p.excluded_dealers)))
-                .select("sn", "supplier", F.lit(CHANNEL_SELF_DELIVERED).alias("method")))
-    return unified.unionByName(self_del)
+    method, dealer_id = F.col("delivery_method"), F.col("dealer_id")
+    mapped = (method == 0) | ((method == 1) & dealer_id.isNotNull() & ~dealer_id.isin(list(p.excluded_dealers)))
+    return (product.filter(mapped).join(dealer.select("dealer_id", "supplier"), "dealer_id", "left")
+            .select("sn", "supplier",
+                    F.when(method == 0, CHANNEL_UNIFIED).otherwise(CHANNEL_SELF_DELIVERED).alias("method")))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kpiloom.functions.semantics import (
-    bucket, channel_of_delivery_method, if_else, in_set, not_in_set, ship_status_simple,
+    bucket, if_else, in_set, not_in_set, ship_status_simple,
     strict_sum,
 )
 from kpiloom.operators.relational import (
@@ -23,18 +23,12 @@ from kpiloom.operators.relational import (
 )
 from kpiloom.params import (
     CHANNEL_SELF_OPERATED, LOG_TYPE_COMPLETED, LOG_TYPE_SHIPPED, SHIPPING_AWAITING, SHIPPING_NOT_SHIPPED,
-    ReportParams,
+    PAID_STATUSES, SOLD_STATUSES, ReportParams,
 )
 from kpiloom.plans.dims import area_dim, category_tree, channel_map
 from kpiloom.sources import ingest
 
 
-# snapshots written by this process (a run writes each dimension once) and
-# their read-back frames
-_WRITTEN: dict[str, DataFrame] = {}
-_SNAPSHOT_LOCK = threading.Lock()
-
-
 def run_snapshot_base(spark, *run_key) -> str:
     """Snapshot folder of one run under the session's checkpoint directory,
     keyed by the application and ``run_key`` (e.g. source path, report date)."""
@@ -69,6 +63,8 @@ class Model:
         frame = raw.test_accounts if use_account_table else None
         self.accounts = Accounts(frame, list(p.test_accounts))
         self._snapshot_base = snapshot
+        self._written: dict[str, DataFrame] = {}     # dimensions of this run, read back
+        self._lock = threading.Lock()
 
     def _snapshot(self, name: str, build) -> DataFrame:
         """``build()`` once per run, written and read back (see class doc)."""
@@ -83,12 +79,12 @@ class Model:
             spark = self.raw.order.sparkSession
             base = self._snapshot_base = f"{ensure_checkpoint_dir(spark)}/dims/{uuid.uuid4().hex}"
         path = f"{base}/{name}"
-        with _SNAPSHOT_LOCK:          # concurrent callers write a snapshot once
-            if path not in _WRITTEN:
+        with self._lock:              # concurrent callers write a snapshot once
+            if name not in self._written:
                 df = build()
                 df.write.mode("overwrite").parquet(path)
-                _WRITTEN[path] = df.sparkSession.read.parquet(path)
-            return _WRITTEN[path]
+                self._written[name] = df.sparkSession.read.parquet(path)
+            return self._written[name]
 
     # ---- dimensions -------------------------------------------------------
     @cached_property
@@ -99,9 +95,9 @@ class Model:
 
     @cached_property
     def area_campaign(self) -> DataFrame:
-        """Area dimension of the campaign report (areas need a district)."""
-        return self._snapshot("area_campaign", lambda: area_dim(ingest.scan_area(self.raw.area), self.p,
-                                                                keep_null_district=False))
+        """Area dimension of the campaign report: its own geography, areas need a district."""
+        return self._snapshot("area_campaign", lambda: area_dim(ingest.scan_area(self.raw.area),
+                                                                self.p.for_campaign(), keep_null_district=False))
 
     @cached_property
     def products(self) -> DataFrame:
@@ -186,7 +182,7 @@ class Model:
         """order_extracted: statuses 1, 2, 4 of the 7-day window with area."""
         p = self.p
         o = in_window(self.orders, "create_date", p.week_start, p.report_date)
-        o = o.filter(in_set("order_status", (1, 2, 4))).select(
+        o = o.filter(in_set("order_status", SOLD_STATUSES)).select(
             "id", "member_id", "create_date", "username", "area_id", "returns_date", "original_amount",
             "order_status")
         return self._drop_x_district(o.join(self.area, "area_id", "left"))
@@ -214,45 +210,39 @@ class Model:
             F.count(F.lit(1)).alias("n"))
 
     # ---- sales detail (Q16) ------------------------------------------------
-    @cached_property
-    def sales_detail(self) -> DataFrame:
-        """7-day item detail with category, channel and order attributes.
-        Items whose order is outside ``orders_window`` keep NULL order
-        columns (left join)."""
+    def _detail(self, items: DataFrame, how: str) -> DataFrame:
+        """7-day rows of ``items`` with category, channel and the attributes of
+        their order in ``orders_window`` (``how``: left or inner)."""
         p = self.p
-        it = in_window(self.items, "create_date", p.week_start, p.report_date)
+        it = in_window(items, "create_date", p.week_start, p.report_date)
         it = it.filter(F.col("is_gift") != 1).select("order_id", "sn", "sale_quantity", "sub_total", "is_gift")
         out = (it.join(self.products.select("sn", "cate_id"), "sn", "left")
                .join(self.prod_cate, "cate_id", "left")
                .join(self.channel, "sn", "left")
                .withColumn("supplier", F.coalesce("supplier", F.lit(CHANNEL_SELF_OPERATED)))
                .withColumn("method", F.coalesce("method", F.lit(CHANNEL_SELF_OPERATED))))
-        out = left_join_renamed(out, self.orders_window, "order_id", "id")
-        return out.drop("member_id", "returns_date").select(
+        out = left_join_renamed(out, self.orders_window, "order_id", "id", how=how)
+        return out.select(
             "order_id", "sn", "sale_quantity", "sub_total", "is_gift", "cate_id", "cate1", "cate2", "cate3",
             "supplier", "method", "create_date", "username", "area_id", "original_amount", "order_status",
             "province", "city", "district")
 
+    @cached_property
+    def sales_detail(self) -> DataFrame:
+        """7-day item detail with category, channel and order attributes.
+        Items whose order is outside ``orders_window`` keep NULL order
+        columns (left join)."""
+        return self._detail(self.items, "left")
+
     @cached_property
     def sales_in_window(self) -> DataFrame:
         """The rows of ``sales_detail`` whose order is in ``orders_window``
         (the only rows the city x day reports keep). Because
         ``orders_window`` holds cleaned orders only, an inner join from the
         unchecked items gives exactly these rows without the semi-join of the
-        items with the whole order history."""
-        p = self.p
-        it = in_window(self.items_all, "create_date", p.week_start, p.report_date)
-        it = it.filter(F.col("is_gift") != 1).select("order_id", "sn", "sale_quantity", "sub_total", "is_gift")
-        out = (it.join(self.products.select("sn", "cate_id"), "sn", "left")
-               .join(self.prod_cate, "cate_id", "left")
-               .join(self.channel, "sn", "left")
-               .withColumn("supplier", F.coalesce("supplier", F.lit(CHANNEL_SELF_OPERATED)))
-               .withColumn("method", F.coalesce("method", F.lit(CHANNEL_SELF_OPERATED))))
-        out = left_join_renamed(out, self.orders_window, "order_id", "id", how="inner")
-        return out.drop("member_id", "returns_date").select(
-            "order_id", "sn", "sale_quantity", "sub_total", "is_gift", "cate_id", "cate1", "cate2", "cate3",
-            "supplier", "method", "create_date", "username", "area_id", "original_amount", "order_status",
-            "province", "city", "district")
+        items with the whole order history. A run that has stored the detail
+        takes them from there (``materialize_facts``)."""
+        return self._detail(self.items_all, "inner")
 
     # ---- logistics (Q21, Q22) ----------------------------------------------
     @cached_property
@@ -273,7 +263,7 @@ class Model:
         o = self.orders.select("id", "create_date", "username", "order_status", "shipping_status", "area_id",
                                "delivery_method")
         o = in_window(o, "create_date", p.week_start, p.report_date).filter(
-            in_set("order_status", (1, 2))
+            in_set("order_status", PAID_STATUSES)
             & (F.col("shipping_status") != SHIPPING_NOT_SHIPPED) & (F.col("shipping_status") != SHIPPING_AWAITING))
         # the orders are cleaned orders, so joining the log before its own
         # check against the (whole-history) cleaned orders gives the same rows
@@ -296,11 +286,6 @@ class Model:
              .withColumn("ship_status_simple", ship_status_simple("shipping_status")))
         return o.join(self.area, "area_id", "left")
 
-    @cached_property
-    def delivery_channel_orders(self) -> DataFrame:
-        return (self.delivery_orders.filter(F.col("ship_status_simple") == "normal")
-                .withColumn("method", channel_of_delivery_method("delivery_method")))
-
     # ---- 30-day item detail (Q26) ------------------------------------------
     @cached_property
     def items_month(self) -> DataFrame:
@@ -314,7 +299,7 @@ class Model:
         it = it.join(self.products.select("sn", "name"), "sn", "left")
         it = in_window(it, "create_date", p.month_start, p.report_date)
         it = left_join_renamed(it, self.orders.select("id", "order_status", "username", "area_id"), "order_id", "id")
-        it = it.filter(in_set("order_status", (1, 2)))
+        it = it.filter(in_set("order_status", PAID_STATUSES))
         it = it.join(self.channel.select("sn", "method"), "sn", "left")
         it = it.join(self.area.drop("province"), "area_id", "left")
         it = it.drop("product_id", "area_id", "order_status") \
@@ -350,7 +335,7 @@ class Model:
     def campaign_sales(self) -> DataFrame:
         """Campaign sales detail: every non-gift item of the window with
         product, category, channel, campaign flag, order and customer."""
-        o = (self.campaign_orders.filter(in_set("order_status", (1, 2, 4)))
+        o = (self.campaign_orders.filter(in_set("order_status", SOLD_STATUSES))
              .select("id", "order_sn", "member_id", "create_date", "username", "area_id", "original_amount",
                      "order_status")
              .join(self.area_campaign, "area_id", "left")

@@ -19,7 +19,7 @@ from kpiloom.operators.windows import peaks, top_n
 from kpiloom.params import (
     ALL_CITIES_LABEL, CAMPAIGN_DETAIL_HEADERS, CAMPAIGN_SUMMARY_HEADERS, CHANNEL_COLUMNS,
     CHANNEL_SELF_DELIVERED, CHANNEL_SELF_OPERATED, CHANNEL_UNIFIED, CHANNELS, DELIVERY_METHOD_LABELS,
-    SELL_THROUGH_HEADERS, SHIP_STATUS_LABELS, TOP_PRODUCTS_HEADERS, TOTAL_CITY_LABEL,
+    PAID_STATUSES, SELL_THROUGH_HEADERS, SHIP_STATUS_LABELS, TOP_PRODUCTS_HEADERS, TOTAL_CITY_LABEL,
 )
 from kpiloom.plans.facts import Model
 
@@ -59,7 +59,7 @@ def new_buyer_cohort(m: Model) -> DataFrame:
     first row is the earliest by (day, numeric id); its paid date may be NULL,
     and such buyers are not counted."""
     p = m.p
-    o = (m.orders.filter(in_set("order_status", (1, 2)))
+    o = (m.orders.filter(in_set("order_status", PAID_STATUSES))
          .select("id", "area_id", "username", "create_date", "paid_date")
          .join(m.area, "area_id", "left").filter(F.col("city").isNotNull()))
     out = cohort_counts(o, ["city"], "username", "paid_date", order=ARRIVAL, out_date="date")

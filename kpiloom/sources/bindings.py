@@ -52,6 +52,8 @@ TEST_PROVINCES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 TEST_CITIES = ("NATION_0", "NATION_1", "NATION_2", "NATION_3", "MIDDLE EAST")
 TEST_MUNICIPALITIES = ("MIDDLE EAST",)
 TEST_EXCLUDED_DISTRICTS = ("FURNITURE",)
+TEST_CAMPAIGN_CITIES = ("NATION_1", "NATION_2", "NATION_6", "NATION_7")
+TEST_CAMPAIGN_EXCLUDED_DISTRICTS = ("BUILDING",)
 TEST_ACCOUNTS = ("Customer#000000003", "Customer#000000005", "Customer#000000008")
 TEST_X_AREAS = ("977",)
 TEST_DROPPED_AREAS = ("13", "29", "41")
@@ -90,6 +92,8 @@ def sales_params() -> ReportParams:
         delivery_thresholds=(30, 180, 365), delivery_labels=("d30", "d180", "d365", "d365+"),
         in_transit_label="in_transit", money_scale=2, quantity_scale=6,
         campaign_start=dt.date(2001, 6, 1), campaign_end=dt.date(2001, 7, 31),
+        campaign_provinces=TEST_PROVINCES, campaign_cities=TEST_CAMPAIGN_CITIES,
+        campaign_excluded_districts=TEST_CAMPAIGN_EXCLUDED_DISTRICTS,
     )
 
 

@@ -8,32 +8,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _one_file(df: DataFrame, order=()) -> DataFrame:
+    """The finished rows in one partition, sorted by ``order`` (the stages before stay parallel)."""
+    out = df.repartition(1)
+    return out.sortWithinPartitions(*order) if order else out
+
+
+def _null_texts(df: DataFrame, texts: dict[str, str] | None) -> DataFrame:
+    """Columns of ``texts`` as text, their NULLs as the given text (for CSV only)."""
+    return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(t)) for c, t in (texts or {}).items()})
+
+
 def csv_report(df: DataFrame, path: str, single_file: bool = False, null_value: str = "NA",
-               mode: str = "overwrite") -> None:
-    """Write a report as CSV with a header; NULL is written as ``NA``.
+               mode: str = "overwrite", order=(), null_text: dict[str, str] | None = None) -> None:
+    """Write a report as CSV with a header; NULL is written as ``NA``, in the
+    columns of ``null_text`` as the text given there.
 
-    ``single_file`` moves the finished rows to one partition (the stages
-    before stay parallel) -- only for grid-sized reports, never for detail tables.
+    ``single_file`` moves the finished rows to one partition, sorted by
+    ``order`` -- only for grid-sized reports, never for detail tables.
     """
-    out = df.repartition(1) if single_file else df
+    df = _null_texts(df, null_text)
+    out = _one_file(df, order) if single_file else df
     (out.write.mode(mode).option("header", True).option("nullValue", null_value)
      .option("emptyValue", "").csv(path))
 
 
 def write_bundle(frames: dict[str, DataFrame], base: str, report_date: dt.date, fmt: str = "parquet",
-                 small: tuple[str, ...] = ()) -> dict[str, str]:
+                 small: tuple[str, ...] = (), order: dict | None = None,
+                 null_text: dict[str, dict[str, str]] | None = None) -> dict[str, str]:
     """Write each report as its own dataset under
     ``{base}/{name}/report_date=YYYY-MM-DD`` (overwrite of that day only).
 
     Replaces the spreadsheet with several blocks: every block is a dataset
     readable by Spark or any Parquet/CSV tool. ``small`` names reports that
     are written as a single file (their finished rows are moved, the stages
-    before stay parallel).
+    before stay parallel), sorted by their expressions in ``order``.
+    ``null_text`` names, per report, the CSV text of NULL in a column.
     """
     paths = {}
     for name, df in frames.items():
         path = f"{base}/{name}/report_date={report_date.isoformat()}"
-        out = df.repartition(1) if name in small else df
+        if fmt == "csv":
+            df = _null_texts(df, (null_text or {}).get(name))
+        out = _one_file(df, (order or {}).get(name, ())) if name in small else df
         w = out.write.mode("overwrite")
         if fmt == "csv":
             w.option("header", True).option("nullValue", "NA").csv(path)   # empty text is quoted, so it reads back
@@ -56,7 +73,3 @@ def read_bundle(spark, base: str, name: str, fmt: str = "parquet", schema=None)
 def stamp(prefix: str, day: dt.date, ext: str = "") -> str:
     """Date-stamped output name, e.g. ``report_2024-01-30.xlsx``."""
     return f"{prefix}{day.isoformat()}{ext}"
-
-
-def with_report_date(df: DataFrame, day: dt.date) -> DataFrame:
-    return df.withColumn("report_date", F.lit(day))

@@ -118,6 +118,12 @@ def test_campaign_golden_t16(spark):
     assert (s.no_order_it, s.subtotal_it) == (2, 17.0)
     share = R.campaign_share(m).collect()[0]
     assert (share.no_order_tt, share.subtotal_tt) == (2, 20.0)
+    # a geography of its own: the daily lists stay as they are
+    from dataclasses import replace
+
+    own = Model(raw, replace(PARAMS, campaign_cities=("C2",), campaign_provinces=("P1",), campaign_excluded_districts=()))
+    assert {(r.order_id, r.sn) for r in R.campaign_detail(own).collect()} == {("103", "501")}
+    assert own.area.count() == m.area.count() and rows(own.area_campaign, "area_id") == [("3",), ("970",)]
 
 
 def test_table4_golden_log_edge_cases(spark):

@@ -129,3 +129,59 @@ def test_parquet_source_roundtrip(spark, tmp_path):
     a = sorted(map(tuple, R.report_visits_orders(Model(raw, PARAMS, snapshot=False)).collect()))
     b = sorted(map(tuple, R.report_visits_orders(Model(back, PARAMS, snapshot=False)).collect()))
     assert a == b
+
+
+def test_run_daily_needs_a_geography_and_the_preset_has_one(spark, tmp_path):
+    from dataclasses import replace
+
+    from kpiloom.params import ReportParams
+    from kpiloom.plans.daily import run_daily
+    from rawfixture import PARAMS, raw_tables
+
+    for empty in ({"cities": ()}, {"provinces": ()}, {"campaign_cities": ()}):
+        with pytest.raises(ValueError, match="provinces and cities"):
+            run_daily(raw_tables(spark), replace(PARAMS, **empty), str(tmp_path))
+    p = ReportParams.preset(dt.date(2024, 3, 10), dropped_area_ids=("1",))
+    assert p.cities and p.provinces and p.x_area_ids == ("970",) and p.x_district and p.dropped_area_ids == ("1",)
+    c = p.for_campaign()
+    assert set(c.cities) < set(p.cities) and c.report_date == p.report_date
+
+
+def test_run_daily_csv_files_are_sorted_and_name_missing_rates(spark, tmp_path):
+    from kpiloom.plans.daily import run_daily
+    from rawfixture import PARAMS, raw_tables
+
+    paths = run_daily(raw_tables(spark), PARAMS, str(tmp_path / "out"), fmt="csv", localized=True)
+
+    def lines(name):
+        (part,) = (tmp_path / "out" / name / "report_date=2024-03-10").glob("part-*.csv")
+        return [x.split(",") for x in part.read_text().splitlines()[1:]]
+
+    t1, t3, t4 = (lines(n) for n in ("table1_new_users", "table3_sales", "table4_delivery"))
+    assert [x[:2] for x in t1] == sorted(x[:2] for x in t1)
+    assert [x[0] for x in t3[:7]] == ["各地汇总"] * 7 and [x[:2] for x in t3[7:]] == sorted(x[:2] for x in t3[7:])
+    assert [x[0] for x in t4[:5]] == ["各地汇总"] * 5
+    assert lines("table2_visits_orders")[0][0] == "汇总" and paths["campaign_summary"].endswith("2024-03-10")
+    rate = spark.createDataFrame([("C1", None), ("C2", 0.5)], "city string, conv_rate double")
+    csv_report(rate, str(tmp_path / "rate"), single_file=True, order=["city"], null_text={"conv_rate": "#N/A"})
+    (part,) = (tmp_path / "rate").glob("part-*.csv")
+    assert part.read_text().splitlines() == ["city,conv_rate", "C1,#N/A", "C2,0.5"]
+
+
+def test_reports_of_a_run_read_the_stored_detail_only(spark):
+    from kpiloom.plans import reports as R
+    from kpiloom.plans.daily import materialize_facts
+    from kpiloom.plans.facts import Model
+    from rawfixture import ORDER, PARAMS, T, raw_tables
+
+    item = [(T(2024, 3, 10, 10), 100, 501, 501, 2.0, 1.0, 2.0, False, 10.0),
+            (T(2024, 3, 10, 12), 103, 501, 501, 1.0, 1.0, 1.0, False, 7.0)]    # cancelled order: not in the window
+    lazy, stored = (Model(raw_tables(spark, order_item=item), PARAMS) for _ in range(2))
+    materialize_facts(stored)
+    for report in (R.report_sales, R.channel_counts):
+        assert sorted(map(str, report(lazy).collect())) == sorted(map(str, report(stored).collect()))
+        files = [f for f in report(stored).inputFiles()]
+        assert files and all("/facts/sales_detail/" in f for f in files)
+    # a later run over other rows sees them: nothing of the earlier run is kept
+    other = Model(raw_tables(spark, area=[(1, "a1", "P1,C2,D9")], order=ORDER), PARAMS)
+    assert [tuple(r)[1:] for r in other.area.collect()] == [("P1", "C2", "D9")]
