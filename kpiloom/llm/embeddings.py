@@ -2,10 +2,13 @@
 
 Vectors of one label are compared. A coarse codebook deals them to inverted
 lists; each is stored with product-quantised residual codes and the error of
-its code. A query visits every list that can hold a vector within the radius
-of the threshold (half-space and radius bounds), compares by table look-ups,
-keeps what the error bound cannot rule out, and is decided by the exact cosine
-in double precision. The bounds lose nothing, so recall is that of brute force.
+its code. A query visits the lists whose bisector it is near to, compares by table
+look-ups, keeps what the error bound cannot rule out, and is decided by the
+exact cosine in double precision. Of two linked vectors one at least is within
+half of their distance, measured across the bisector, so half of it is looked
+beyond, and a pair that one side alone finds counts for both. In ``PROBE_Z``
+squared dimensions or fewer this loses nothing; in more, it loses pairs that
+differ by over ``PROBE_Z`` standard deviations in the one direction across.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ THRESHOLD = 0.93
 #: Most vectors that the codebooks are fitted on (all vectors are indexed), and most inverted lists.
 SAMPLE, MAX_LISTS = 20_000, 4096
 SUBSPACES, CODES = 8, 64
+#: Standard deviations, in one direction, of the difference of two vectors at the threshold that the probes allow for.
+PROBE_Z = 2.5
 #: Members and queries of one tile: larger lists are split into blocks that meet block by block.
 BLOCK = 256
 SLACK = 1e-9
@@ -78,17 +83,20 @@ class Index:
     def _parts(self):
         return zip(self.cuts, self.cuts[1:], self.books, strict=False)
 
-    def probes(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs of all lists that can hold a vector within ``radius`` of a row.
+    def beyond(self, x: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """How far each row is from the bisector of its own and another centroid; row by row, so always the same."""
+        a, b = self.coarse[own], self.coarse[other]
+        return (((x - b) ** 2).sum(1) - ((x - a) ** 2).sum(1)) / (2 * np.sqrt(((a - b) ** 2).sum(1)))
 
-        A vector lies on its own centroid's side of every bisector, so a row
-        farther than ``radius`` beyond the bisector needs no look.
-        """
+    def probes(self, x: np.ndarray, own: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) pairs of the other lists whose bisector is within ``margin`` of a row."""
         d = sq_dist(x, self.coarse)
-        own = d.argmin(1)
         between = np.sqrt(sq_dist(self.coarse, self.coarse))[own]
-        beyond = d - d[np.arange(len(x)), own][:, None]
-        return np.nonzero(beyond <= 2 * radius * between + 1e-6)
+        near = d - d[np.arange(len(x)), own][:, None] <= 2 * margin * between + 1e-6
+        near[np.arange(len(x)), own] = False
+        rows, lists = np.nonzero(near)
+        sure = self.beyond(x[rows], own[rows], lists) <= margin
+        return rows[sure], lists[sure]
 
     def adc(self, x: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Distances of rows to coded members of a list, by sums of table entries."""
@@ -103,8 +111,24 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
+def margin_of(dim: int, threshold: float) -> float:
+    """How far beyond a bisector a query looks."""
+    return float(np.sqrt(2 - 2 * threshold)) / 2 * min(1.0, PROBE_Z / np.sqrt(dim)) + SLACK
+
+
+def pack(v: np.ndarray) -> bytes:
+    """The numbers in single precision where that is exact, else in double."""
+    with np.errstate(over="ignore"):
+        single = v.astype(np.float32)
+    return (single if (single == v).all() else v).tobytes()
+
+
+def unpack(raw: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, np.float32 if len(raw) == 4 * dim else np.float64).astype(np.float64)
+
+
 def prepare(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, dim, key and vec (doubles as bytes) of each row; key and vec are null where nothing can link."""
+    """vec_id, label, dim, key and vec (packed) of each row; key and vec are null where nothing can link."""
     def rows(source):
         for vec_id, label, x in source:
             v = None
@@ -117,7 +141,7 @@ def prepare(vectors: DataFrame) -> DataFrame:
                 yield vec_id, label, None, None, None
             else:
                 raw = v.tobytes()
-                yield vec_id, label, len(v), hashlib.blake2b(raw + str(label).encode(), digest_size=16).digest(), raw
+                yield vec_id, label, len(v), hashlib.blake2b(raw + str(label).encode(), digest_size=16).digest(), pack(v)
 
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
     return map_rows(vectors.select("vec_id", "label", "embedding"), rows,
@@ -132,8 +156,8 @@ def fit_indexes(reps: DataFrame, sample: int = SAMPLE) -> dict[int, Index]:
     picked = reps.where(near).select("dim", "vec").limit(2 * sample).toPandas()
     out = {}
     for dim, part in picked.groupby("dim"):
-        x = unit(np.stack([np.frombuffer(v, np.float64) for v in part["vec"]]))
-        out[int(dim)] = Index.fit(x, max(1, min(MAX_LISTS, int(np.ceil(np.sqrt(n))), len(x))))
+        x = unit(np.stack([unpack(v, int(dim)) for v in part["vec"]]))
+        out[int(dim)] = Index.fit(x, max(1, min(MAX_LISTS, int(np.ceil(np.sqrt(n) / 2)), len(x))))
     return out
 
 
@@ -154,6 +178,18 @@ def linked_tile(members: dict, queries: dict, index: Index, at: int, threshold:
     return out
 
 
+def unseen(linked: np.ndarray, members: dict, home: np.ndarray, n: np.ndarray, index: Index, at: int, threshold: float) -> np.ndarray:
+    """Links of each member of list ``at`` to queries whose own list it does not visit itself."""
+    rows, cols = np.nonzero(linked & (home != at)[:, None])
+    out = np.zeros(linked.shape[1], np.int64)
+    x = unit(members["x"])
+    for i in range(0, len(rows), 65536):
+        r, c = rows[i:i + 65536], cols[i:i + 65536]
+        far = index.beyond(x[c], np.full(len(c), at), home[r]) > margin_of(x.shape[1], threshold)
+        np.add.at(out, c[far], n[r[far]])
+    return out
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, label, embedding).
 
@@ -172,7 +208,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
         F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"),
         F.first("dim").alias("dim"), F.first("vec").alias("vec")), "reps")
     held = spark.sparkContext.broadcast(fit_indexes(reps))
-    radius = float(np.sqrt(2 - 2 * threshold))
     label_kind = rows.schema["label"].dataType.simpleString()
 
     def deal(source):
@@ -180,41 +215,51 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
             for dim in {p[2] for p in part}:
                 mine = [p for p in part if p[2] == dim]
                 index = held.value.get(dim) or Index.flat(dim)
-                x = unit(np.stack([np.frombuffer(p[3], np.float64) for p in mine]))
+                x = unit(np.stack([unpack(p[3], dim) for p in mine]))
                 at, codes, err = index.encode(x)
                 for p, a, c, e in zip(mine, at.tolist(), codes, err.tolist(), strict=True):
-                    yield p[1], dim, a, True, p[0], p[4], p[3], c.tobytes(), e
-                for i, a in zip(*(z.tolist() for z in index.probes(x, radius)), strict=True):
+                    yield p[1], dim, a, a, p[0], p[4], p[3], c.tobytes(), e
+                for i, a in zip(*(z.tolist() for z in index.probes(x, at, margin_of(dim, threshold))), strict=True):
                     p = mine[i]
-                    yield p[1], dim, a, False, p[0], p[4], p[3], None, 0.0
+                    yield p[1], dim, a, int(at[i]), p[0], p[4], p[3], None, 0.0
 
+    # a row whose list is its home is a member and a query there, else a query alone
     dealt = scratch.put(map_rows(reps.select("rep", "label", "dim", "vec", "n"), deal,
-                                 f"label {label_kind}, dim int, list int, member boolean, rep long, n long, vec binary, "
+                                 f"label {label_kind}, dim int, list int, home int, rep long, n long, vec binary, "
                                  "codes binary, err double"), "dealt")
+    member = F.col("list") == F.col("home")
     cell = ["label", "dim", "list"]
-    sizes = dealt.groupBy(*cell).agg(F.count(F.when(F.col("member"), 1)).alias("m"), F.count(F.when(~F.col("member"), 1)).alias("q"))
+    sizes = dealt.groupBy(*cell).agg(F.count(F.when(member, 1)).alias("m"), F.count("*").alias("q"))
     blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
-    sizes = sizes.where("m > 1 or q > 1").select(*[F.col(c).alias(f"__{c}") for c in cell], blocks("m").alias("mb"), blocks("q").alias("qb"))
+    sizes = sizes.where("m > 0 and q > 1").select(*[F.col(c).alias(f"__{c}") for c in cell], blocks("m").alias("mb"), blocks("q").alias("qb"))
     own = lambda n: F.pmod(F.xxhash64("rep", F.lit(5)), F.col(n)).cast("int")
     all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    tiles = dealt.join(sizes, [F.col(c) == F.col(f"__{c}") for c in cell]).where("mb > 0 and qb > 0") \
-        .withColumn("i", F.explode(F.when(F.col("member"), F.array(own("mb"))).otherwise(all_of("mb")))) \
-        .withColumn("j", F.explode(F.when(F.col("member"), all_of("qb")).otherwise(F.array(own("qb")))))
+    tile = lambda i, j, as_member, as_query: F.struct(
+        i.alias("i"), j.alias("j"), as_member.alias("as_member"), as_query.alias("as_query"))
+    # members of block i meet queries of block j; a member is one row in the tile where it is both
+    as_member = F.when(member, F.transform(all_of("qb"), lambda j: tile(own("mb"), j, F.lit(True), j == own("qb")))) \
+        .otherwise(F.array())
+    as_query = F.transform(F.filter(all_of("mb"), lambda i: ~member | (i != own("mb"))),
+                           lambda i: tile(i, own("qb"), F.lit(False), F.lit(True)))
+    tiles = dealt.join(sizes, [F.col(c) == F.col(f"__{c}") for c in cell]) \
+        .withColumn("tile", F.explode(F.concat(as_member, as_query))) \
+        .select(*cell, "home", "rep", "n", "vec", "codes", "err", "tile.*")
 
     def compare(table: pa.Table) -> pa.Table:
-        is_member = np.array(table["member"].to_pylist(), bool)
-        rep, n = table["rep"].to_numpy(), table["n"].to_numpy()
-        x = np.stack([np.frombuffer(v, np.float64) for v in table["vec"].to_pylist()])
+        is_member, is_query = (np.array(table[c].to_pylist(), bool) for c in ("as_member", "as_query"))
+        rep, n, home = (table[c].to_numpy() for c in ("rep", "n", "home"))
         dim, at = table["dim"][0].as_py(), table["list"][0].as_py()
+        x = np.stack([unpack(v, dim) for v in table["vec"].to_pylist()])
         found: list[tuple] = []
-        if is_member.any() and not is_member.all():
+        if is_member.any() and is_query.any():
+            index = held.value.get(dim) or Index.flat(dim)
             members = {"x": x[is_member], "rep": rep[is_member], "err": table["err"].to_numpy()[is_member],
                        "codes": np.stack([np.frombuffer(c, np.uint8) for c, m in zip(table["codes"].to_pylist(), is_member, strict=True) if m])}
-            queries = {"x": x[~is_member], "rep": rep[~is_member]}
-            linked = linked_tile(members, queries, held.value.get(dim) or Index.flat(dim), at, threshold)
-            links = linked @ n[is_member]
+            queries = {"x": x[is_query], "rep": rep[is_query]}
+            linked = linked_tile(members, queries, index, at, threshold)
+            found = [(int(r), None, int(c)) for r, c in zip(queries["rep"], linked @ n[is_member], strict=True) if c]
+            found += [(int(r), None, int(c)) for r, c in zip(members["rep"], unseen(linked, members, home[is_query], n[is_query], index, at, threshold), strict=True) if c]
             names = np.concatenate([queries["rep"], members["rep"]])
-            found = [(int(r), None, int(c)) for r, c in zip(queries["rep"], links, strict=True) if c]
             found += [(int(names[a]), int(names[b]), 0) for a, b in forest(linked)]
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64()),
                          "links": pa.array([f[2] for f in found], pa.int64())})
