@@ -6,9 +6,10 @@ its code. A query visits the lists whose bisector it is near to, compares by tab
 look-ups, keeps what the error bound cannot rule out, and is decided by the
 exact cosine in double precision. Of two linked vectors one at least is within
 half of their distance, measured across the bisector, so half of it is looked
-beyond, and a pair that one side alone finds counts for both. In ``PROBE_Z``
-squared dimensions or fewer this loses nothing; in more, it loses pairs that
-differ by over ``PROBE_Z`` standard deviations in the one direction across.
+beyond, a pair that one side alone finds counts for both, and no link is lost.
+Where vectors spread in many directions most lists are near; so lists that lie
+together share a cell, as many as a label's size asks for, and a vector moves
+once to each cell, however many of its lists it visits.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ THRESHOLD = 0.93
 #: Most vectors that the codebooks are fitted on (all vectors are indexed), and most inverted lists.
 SAMPLE, MAX_LISTS = 20_000, 4096
 SUBSPACES, CODES = 8, 64
-#: Standard deviations, in one direction, of the difference of two vectors at the threshold that the probes allow for.
-PROBE_Z = 2.5
-#: Members and queries of one tile: larger lists are split into blocks that meet block by block.
-BLOCK = 256
+#: Members of one cell of neighbouring lists, about, and most times that the lists are halved into cells.
+GROUP, LEVELS = 1024, 12
+#: Members and queries of one tile: larger cells are split into blocks that meet block by block.
+BLOCK = 1024
 SLACK = 1e-9
 
 
@@ -51,26 +52,48 @@ def sq_dist(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * x @ y.T, 0.0)
 
 
+def halve(centers: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A number of ``LEVELS`` bits for each centroid: bit by bit, the side of its set cut across the widest direction."""
+    out = np.zeros(len(centers), np.int64)
+
+    def cut(at, level):
+        if len(at) < 2 or level == LEVELS:
+            return
+        rest = centers[at] - centers[at].mean(axis=0)
+        order = at[np.argsort(rest @ np.linalg.svd(rest, full_matrices=False)[2][0], kind="stable")]
+        total = np.cumsum(weight[order])
+        k = min(max(int(np.searchsorted(total, total[-1] / 2)) + 1, 1), len(at) - 1)
+        out[order[k:]] |= 1 << (LEVELS - 1 - level)
+        cut(order[:k], level + 1)
+        cut(order[k:], level + 1)
+
+    cut(np.arange(len(centers)), 0)
+    return out
+
+
 @dataclass
 class Index:
-    """Coarse centroids, and the centroids of each residual subspace."""
+    """Coarse centroids, the centroids of each residual subspace, and the centroids' order by halves."""
 
     coarse: np.ndarray
     books: list[np.ndarray]
     cuts: np.ndarray
+    halves: np.ndarray
 
     @classmethod
     def fit(cls, sample: np.ndarray, n_lists: int) -> Index:
         dim = sample.shape[1]
         cuts = np.linspace(0, dim, min(SUBSPACES, dim) + 1).astype(int)
         coarse = kmeans(sample, n_lists, 1)
-        rest = sample - coarse[sq_dist(sample, coarse).argmin(1)]
-        return cls(coarse, [kmeans(rest[:, a:b], CODES, 2) for a, b in zip(cuts, cuts[1:])], cuts)
+        at = sq_dist(sample, coarse).argmin(1)
+        rest = sample - coarse[at]
+        return cls(coarse, [kmeans(rest[:, a:b], CODES, 2) for a, b in zip(cuts, cuts[1:])], cuts,
+                   halve(coarse, np.bincount(at, minlength=len(coarse)) + 1.0))
 
     @classmethod
     def flat(cls, dim: int) -> Index:
         """One list, codes that say nothing: for a dimension that the sample lacks."""
-        return cls(np.zeros((1, dim)), [np.zeros((1, dim))], np.array([0, dim]))
+        return cls(np.zeros((1, dim)), [np.zeros((1, dim))], np.array([0, dim]), np.zeros(1, np.int64))
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """List, codes and code error of each row."""
@@ -83,20 +106,24 @@ class Index:
     def _parts(self):
         return zip(self.cuts, self.cuts[1:], self.books, strict=False)
 
-    def beyond(self, x: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
-        """How far each row is from the bisector of its own and another centroid; row by row, so always the same."""
-        a, b = self.coarse[own], self.coarse[other]
-        return (((x - b) ** 2).sum(1) - ((x - a) ** 2).sum(1)) / (2 * np.sqrt(((a - b) ** 2).sum(1)))
-
-    def probes(self, x: np.ndarray, own: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs of the other lists whose bisector is within ``margin`` of a row."""
-        d = sq_dist(x, self.coarse)
-        between = np.sqrt(sq_dist(self.coarse, self.coarse))[own]
-        near = d - d[np.arange(len(x)), own][:, None] <= 2 * margin * between + 1e-6
-        near[np.arange(len(x)), own] = False
-        rows, lists = np.nonzero(near)
-        sure = self.beyond(x[rows], own[rows], lists) <= margin
-        return rows[sure], lists[sure]
+    def within(self, x: np.ndarray, own: np.ndarray, other: np.ndarray, margin: float) -> np.ndarray:
+        """Is each row within ``margin`` of the bisector of its own and another centroid; row by row, so always the same."""
+        out = np.empty(len(x), bool)
+        for i in range(0, len(x), 65536):
+            y, a, b = x[i:i + 65536], self.coarse[own[i:i + 65536]], self.coarse[other[i:i + 65536]]
+            gap = ((y - b) ** 2).sum(1) - ((y - a) ** 2).sum(1)
+            out[i:i + 65536] = gap <= 2 * margin * np.sqrt(((a - b) ** 2).sum(1))
+        return out
+
+    def visits(self, x: np.ndarray, own: np.ndarray, lists: np.ndarray, margin: float) -> np.ndarray:
+        """Boolean matrix (rows x lists): the row's own list, and others whose bisector is ``within`` the margin."""
+        home = self.coarse[own]
+        over = sq_dist(x, self.coarse[lists]) - ((x - home) ** 2).sum(1)[:, None] \
+            - 2 * margin * np.sqrt(sq_dist(home, self.coarse[lists]))
+        out = over <= -1e-6
+        rows, cols = np.nonzero(np.abs(over) < 1e-6)
+        out[rows, cols] = self.within(x[rows], own[rows], lists[cols], margin)
+        return out | (own[:, None] == lists[None, :])
 
     def adc(self, x: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Distances of rows to coded members of a list, by sums of table entries."""
@@ -111,9 +138,9 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def margin_of(dim: int, threshold: float) -> float:
-    """How far beyond a bisector a query looks."""
-    return float(np.sqrt(2 - 2 * threshold)) / 2 * min(1.0, PROBE_Z / np.sqrt(dim)) + SLACK
+def margin_of(threshold: float) -> float:
+    """How far beyond a bisector a query looks: half of the distance of two vectors at the threshold."""
+    return float(np.sqrt(2 - 2 * threshold)) / 2 + SLACK
 
 
 def pack(v: np.ndarray) -> bytes:
@@ -178,19 +205,33 @@ def linked_tile(members: dict, queries: dict, index: Index, at: int, threshold:
     return out
 
 
-def unseen(linked: np.ndarray, members: dict, home: np.ndarray, n: np.ndarray, index: Index, at: int, threshold: float) -> np.ndarray:
-    """Links of each member of list ``at`` to queries whose own list it does not visit itself."""
-    rows, cols = np.nonzero(linked & (home != at)[:, None])
+def linked_cell(members: dict, queries: dict, index: Index, threshold: float) -> np.ndarray:
+    """Boolean matrix (queries x members): links to the members of the lists that a query visits."""
+    lists = np.unique(members["list"])
+    seen = index.visits(unit(queries["x"]), queries["list"], lists, margin_of(threshold))
+    out = np.zeros((len(queries["x"]), len(members["x"])), bool)
+    for k, at in enumerate(lists.tolist()):
+        r, c = np.flatnonzero(seen[:, k]), np.flatnonzero(members["list"] == at)
+        if len(r):
+            out[np.ix_(r, c)] = linked_tile({name: v[c] for name, v in members.items()}, {name: v[r] for name, v in queries.items()},
+                                            index, at, threshold)
+    return out
+
+
+def unseen(linked: np.ndarray, members: dict, queries: dict, index: Index, threshold: float) -> np.ndarray:
+    """Links of each member to queries whose own list it does not visit itself."""
+    rows, cols = np.nonzero(linked & (queries["list"][:, None] != members["list"][None, :]))
     out = np.zeros(linked.shape[1], np.int64)
     x = unit(members["x"])
     for i in range(0, len(rows), 65536):
         r, c = rows[i:i + 65536], cols[i:i + 65536]
-        far = index.beyond(x[c], np.full(len(c), at), home[r]) > margin_of(x.shape[1], threshold)
-        np.add.at(out, c[far], n[r[far]])
+        far = ~index.within(x[c], members["list"][c], queries["list"][r], margin_of(threshold))
+        np.add.at(out, c[far], queries["n"][r[far]])
     return out
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK,
+                    group: int = GROUP) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, label, embedding).
 
     Links are between vectors of one non-null label and one length whose
@@ -210,6 +251,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     held = spark.sparkContext.broadcast(fit_indexes(reps))
     label_kind = rows.schema["label"].dataType.simpleString()
 
+    # a label is dealt to as many cells as its size asks for, a power of two
+    kinds = scratch.put(reps.groupBy(F.col("label").alias("__label"), F.col("dim").alias("__dim")).agg(
+        F.least(F.lit(LEVELS), F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / group)))).cast("int").alias("level")), "levels")
+    sized = reps.join(kinds, [F.col(c) == F.col(f"__{c}") for c in ("label", "dim")])
+
     def deal(source):
         for part in _chunks(source, 1000):
             for dim in {p[2] for p in part}:
@@ -217,18 +263,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
                 index = held.value.get(dim) or Index.flat(dim)
                 x = unit(np.stack([unpack(p[3], dim) for p in mine]))
                 at, codes, err = index.encode(x)
-                for p, a, c, e in zip(mine, at.tolist(), codes, err.tolist(), strict=True):
-                    yield p[1], dim, a, a, p[0], p[4], p[3], c.tobytes(), e
-                for i, a in zip(*(z.tolist() for z in index.probes(x, at, margin_of(dim, threshold))), strict=True):
-                    p = mine[i]
-                    yield p[1], dim, a, int(at[i]), p[0], p[4], p[3], None, 0.0
-
-    # a row whose list is its home is a member and a query there, else a query alone
-    dealt = scratch.put(map_rows(reps.select("rep", "label", "dim", "vec", "n"), deal,
-                                 f"label {label_kind}, dim int, list int, home int, rep long, n long, vec binary, "
+                seen = index.visits(x, at, np.arange(len(index.coarse)), margin_of(threshold))
+                for p, a, c, e, to in zip(mine, at.tolist(), codes, err.tolist(), seen, strict=True):
+                    cells = index.halves >> (LEVELS - p[5])
+                    yield p[1], dim, int(cells[a]), a, p[0], p[4], p[3], c.tobytes(), e
+                    for other in np.unique(cells[to & (cells != cells[a])]).tolist():
+                        yield p[1], dim, other, a, p[0], p[4], p[3], None, 0.0
+
+    # a row with codes is a member and a query in its cell, else a query alone
+    dealt = scratch.put(map_rows(sized.select("rep", "label", "dim", "vec", "n", "level"), deal,
+                                 f"label {label_kind}, dim int, cell int, list int, rep long, n long, vec binary, "
                                  "codes binary, err double"), "dealt")
-    member = F.col("list") == F.col("home")
-    cell = ["label", "dim", "list"]
+    member = F.col("codes").isNotNull()
+    cell = ["label", "dim", "cell"]
     sizes = dealt.groupBy(*cell).agg(F.count(F.when(member, 1)).alias("m"), F.count("*").alias("q"))
     blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
     sizes = sizes.where("m > 0 and q > 1").select(*[F.col(c).alias(f"__{c}") for c in cell], blocks("m").alias("mb"), blocks("q").alias("qb"))
@@ -243,22 +290,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
                            lambda i: tile(i, own("qb"), F.lit(False), F.lit(True)))
     tiles = dealt.join(sizes, [F.col(c) == F.col(f"__{c}") for c in cell]) \
         .withColumn("tile", F.explode(F.concat(as_member, as_query))) \
-        .select(*cell, "home", "rep", "n", "vec", "codes", "err", "tile.*")
+        .select(*cell, "list", "rep", "n", "vec", "codes", "err", "tile.*")
 
     def compare(table: pa.Table) -> pa.Table:
         is_member, is_query = (np.array(table[c].to_pylist(), bool) for c in ("as_member", "as_query"))
-        rep, n, home = (table[c].to_numpy() for c in ("rep", "n", "home"))
-        dim, at = table["dim"][0].as_py(), table["list"][0].as_py()
+        rep, n, home = (table[c].to_numpy() for c in ("rep", "n", "list"))
+        dim = table["dim"][0].as_py()
         x = np.stack([unpack(v, dim) for v in table["vec"].to_pylist()])
         found: list[tuple] = []
         if is_member.any() and is_query.any():
             index = held.value.get(dim) or Index.flat(dim)
-            members = {"x": x[is_member], "rep": rep[is_member], "err": table["err"].to_numpy()[is_member],
+            members = {"x": x[is_member], "rep": rep[is_member], "list": home[is_member], "err": table["err"].to_numpy()[is_member],
                        "codes": np.stack([np.frombuffer(c, np.uint8) for c, m in zip(table["codes"].to_pylist(), is_member, strict=True) if m])}
-            queries = {"x": x[is_query], "rep": rep[is_query]}
-            linked = linked_tile(members, queries, index, at, threshold)
+            queries = {"x": x[is_query], "rep": rep[is_query], "list": home[is_query], "n": n[is_query]}
+            linked = linked_cell(members, queries, index, threshold)
             found = [(int(r), None, int(c)) for r, c in zip(queries["rep"], linked @ n[is_member], strict=True) if c]
-            found += [(int(r), None, int(c)) for r, c in zip(members["rep"], unseen(linked, members, home[is_query], n[is_query], index, at, threshold), strict=True) if c]
+            found += [(int(r), None, int(c)) for r, c in zip(members["rep"], unseen(linked, members, queries, index, threshold), strict=True) if c]
             names = np.concatenate([queries["rep"], members["rep"]])
             found += [(int(names[a]), int(names[b]), 0) for a, b in forest(linked)]
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64()),

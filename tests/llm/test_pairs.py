@@ -93,6 +93,35 @@ def test_embedding_links_equal_brute_force(spark):
     assert embeddings.near_duplicates(df.where("false")).count() == 0
 
 
+def low_rank(n, rank, seed=6):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, rank)) @ rng.normal(size=(rank, 64))
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def test_one_side_of_each_link_visits_the_other_list():
+    for rank in (3, 5, 8):
+        x = low_rank(2500, rank)
+        a, b = np.nonzero(np.triu(x @ x.T >= 0.93, 1))
+        assert len(a) > 100
+        for n_lists in (7, 71, 300):
+            index = embeddings.Index.fit(x, n_lists)
+            at = index.encode(x)[0]
+            seen = index.visits(x, at, np.arange(len(index.coarse)), embeddings.margin_of(0.93))
+            assert (seen[a, at[b]] | seen[b, at[a]]).all(), (rank, n_lists)
+
+
+def test_links_of_low_rank_vectors_equal_brute_force(spark):
+    x = np.concatenate([low_rank(1500, 3), low_rank(1500, 5)])
+    label = np.repeat([1, 2], 1500)
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))],
+                               "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df, block=100, group=200).collect()}
+    near = (x @ x.T >= 0.93) & (label[:, None] == label[None, :]) & ~np.eye(len(x), dtype=bool)
+    assert [got[i].n_links for i in range(len(x))] == near.sum(1).tolist()
+    assert [got[i].component_id for i in range(len(x))] == classes(len(x), zip(*np.nonzero(near), strict=True))
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 80)] + [(7, 7), (160, 499), (499, 500)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
