@@ -27,7 +27,7 @@ WORDS, THRESHOLD = 5, 0.8
 SKETCH, PASS = 64, 36
 #: Buckets of at most LEAF nodes are compared; larger ones are split, at most DEPTH times in all, and then dealt in blocks.
 LEAF, DEPTH = 256, 4
-#: Share of the pairs at the threshold that some run must bring together, even in a bucket of the third level.
+#: Share of the pairs at the threshold that some run must bring together, even in a bucket of the last level.
 RECALL = 0.9998
 #: Least and most nodes of a block of the exact comparison; a large class has about BLOCKS of them.
 LEAST_BLOCK, MOST_BLOCK, BLOCKS = 64, 4096, 32
@@ -39,7 +39,7 @@ _ADD = _rng.integers(0, 2 ** 63, SKETCH, dtype=np.uint64)
 
 def n_runs(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
     """Runs after which a pair at the threshold is missed with at most ``1 - recall``."""
-    return min(SKETCH, math.ceil(math.log(1 - recall) / math.log(1 - threshold ** 3)))
+    return min(SKETCH, math.ceil(math.log(1 - recall) / math.log(1 - threshold ** DEPTH)))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

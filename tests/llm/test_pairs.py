@@ -93,6 +93,22 @@ def test_embedding_links_equal_brute_force(spark):
     assert embeddings.near_duplicates(df.where("false")).count() == 0
 
 
+def test_jaccard_runs_keep_the_recall_on_the_last_level():
+    for threshold in (0.8, 0.9):
+        assert (1 - threshold ** jaccard.DEPTH) ** jaccard.n_runs(threshold) <= 1 - jaccard.RECALL
+    together = lambda low: {p for p in jaccard.first_paths(low, jaccard.n_runs())}
+    rng = np.random.default_rng(5)
+    missed = 0
+    for _ in range(4000):  # sketches that agree in each place with probability 0.8, in buckets split to the last level
+        a = rng.integers(0, 2 ** 32, jaccard.SKETCH, dtype=np.uint32)
+        b = np.where(rng.random(jaccard.SKETCH) < 0.8, a, rng.integers(0, 2 ** 32, jaccard.SKETCH, dtype=np.uint32))
+        paths = together(a) & together(b)
+        for _ in range(jaccard.DEPTH - 1):
+            paths = {jaccard.next_path(p, a) for p in paths} & {jaccard.next_path(p, b) for p in paths}
+        missed += not paths
+    assert missed <= 4
+
+
 def low_rank(n, rank, seed=6):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, rank)) @ rng.normal(size=(rank, 64))
