@@ -78,6 +78,11 @@ def set_key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest()
 
 
+def node_of(key: bytes) -> int:
+    """The id of a set's node: the first 64 bits of its key."""
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
 def first_paths(low: np.ndarray, runs: int) -> list[int]:
     """The bucket of each run: its token is the run's own min-hash."""
     at = np.arange(runs, dtype=np.uint64)
@@ -93,7 +98,7 @@ def next_path(path: int, low: np.ndarray) -> int:
 
 def leaf_edges(rows: list[tuple], threshold: float) -> list[tuple[int, int]]:
     """Star edges between nodes of a bucket (block pair) that pass the sketch and size tests."""
-    rep = [r[0] for r in rows]
+    node = [r[0] for r in rows]
     low = np.stack([np.frombuffer(r[2], "<u4") for r in rows])
     size = np.array([r[1] for r in rows], np.float64)
     together = np.zeros((len(rows), len(rows)), bool)
@@ -105,7 +110,7 @@ def leaf_edges(rows: list[tuple], threshold: float) -> list[tuple[int, int]]:
     if not together.any():
         return []
     n = len(rows)
-    return [(rep[a % n], rep[b % n]) for a, b in forest(together | together.T) if rep[a % n] != rep[b % n]]
+    return [(node[a % n], node[b % n]) for a, b in forest(together | together.T) if node[a % n] != node[b % n]]
 
 
 def exact_links(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
@@ -142,40 +147,53 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, reca
 
     ``n_links`` counts the other rows whose shingle set has a Jaccard
     similarity of at least ``threshold`` with the row's; ``class_id`` is the
-    smallest doc_id reachable by links, and a row is kept if it is its own.
+    smallest doc_id reachable by links, and a row is kept if it is its own and,
+    where several sets of the class have that id, its set has the least key.
     Equal sets are one node with a multiplicity, so copies are not paired.
     Null and empty texts have no shingles and link with nothing; nor do rows
     without an id (class null, kept). Repeated rows link with each other; rows
-    of one id share their links. An empty table gives an empty result; other
-    columns are ignored. Links are exact; pairs are missed only where all runs
-    and all chains of similar documents miss them.
+    of one id with unlike texts do not. An empty table gives an empty result;
+    other columns are ignored. Links are exact; pairs are missed only where all
+    runs and all chains of similar documents miss them.
     """
+    return _told(docs, threshold, words, recall).drop("key", "mark")
+
+
+def mark(text: str = "text"):
+    """Tells apart the texts of one id."""
+    return F.xxhash64(text)
+
+
+def _told(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL) -> DataFrame:
+    """``join`` with each row's set key and the mark of its text."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     runs = n_runs(threshold, recall)
 
     def summarise(source):
         cache = WordCache(xxhash.xxh64_intdigest)
-        for doc_id, text in source:
+        for doc_id, mark, text in source:
             s = shingles(text or "", cache, words) if doc_id is not None else ()
             if len(s):
                 low = sketch(s)
-                yield doc_id, len(s), set_key(s), low.tobytes(), first_paths(low, runs)
+                key = set_key(s)
+                yield doc_id, mark, len(s), key, node_of(key), low.tobytes(), first_paths(low, runs)
             else:
-                yield doc_id, 0, None, None, None
+                yield doc_id, mark, 0, None, None, None, None
 
-    rows = scratch.put(map_rows(docs.select("doc_id", "text"), summarise,
-                                "doc_id long, n_shingles int, key binary, low binary, paths array<long>"), "rows")
+    rows = scratch.put(map_rows(docs.select("doc_id", mark().alias("mark"), "text"), summarise,
+                                "doc_id long, mark long, n_shingles int, key binary, node long, low binary, paths array<long>"), "rows")
+    first = F.min(F.struct("doc_id", "mark"))
     nodes = scratch.put(rows.where("key is not null").groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_shingles").alias("size"),
-        F.first("low").alias("low"), F.first("paths").alias("paths")), "nodes")
+        F.first("node").alias("node"), first.alias("first"), F.count("*").alias("n"), F.first("n_shingles").alias("size"),
+        F.first("low").alias("low"), F.first("paths").alias("paths")).select("*", F.col("first.doc_id").alias("rep")), "nodes")
 
-    # chosen paths: rows (path, rep); buckets of one node are done
-    level = nodes.select("rep", F.explode("paths").alias("path"))
+    # chosen paths: rows (path, node); buckets of one node are done
+    level = nodes.select("node", F.explode("paths").alias("path"))
     edges = None
     for depth in range(1, DEPTH + 1):
         n = level.groupBy(F.col("path").alias("p")).agg(F.count("*").alias("count")).where("count > 1")
-        level = scratch.put(level.join(n, F.col("path") == F.col("p")).select("path", "rep", "count"), f"level{depth}")
+        level = scratch.put(level.join(n, F.col("path") == F.col("p")).select("path", "node", "count"), f"level{depth}")
         last = depth == DEPTH
         leaf = level if last else level.where(F.col("count") <= LEAF)
         found = _compare_leaves(leaf, nodes, threshold)
@@ -187,69 +205,75 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, reca
             break
 
         def descend(source):
-            for path, rep, low in source:
-                yield next_path(path, np.frombuffer(low, "<u4")), rep
+            for path, node, low in source:
+                yield next_path(path, np.frombuffer(low, "<u4")), node
 
-        below = nodes.select(F.col("rep").alias("r"), "low")
-        level = map_rows(deeper.join(below, F.col("rep") == F.col("r")).select("path", "rep", "low"), descend, "path long, rep long")
+        below = nodes.select(F.col("node").alias("r"), "low")
+        level = map_rows(deeper.join(below, F.col("node") == F.col("r")).select("path", "node", "low"), descend, "path long, node long")
     edges = scratch.put(edges, "edges")
     near = scratch.put(components(edges, scratch, "near"), "near-classes")
 
     links, pairs = _verify(docs, nodes, near, threshold, words, scratch)
-    classes = components(pairs, scratch, "class")
-    done = nodes.select("key", "rep", "n").join(links, "rep", "left") \
-        .join(classes.select(F.col("id").alias("rep"), "component"), "rep", "left") \
+    classes = scratch.put(components(pairs, scratch, "class"), "classes")
+    member = classes.join(nodes.select("node", "rep", "key"), F.col("id") == F.col("node"))
+    heads = member.groupBy(F.col("component").alias("__component")).agg(F.min(F.struct("rep", "key")).alias("head"))
+    headed = classes.join(heads, F.col("component") == F.col("__component")).select("id", "head")
+    done = nodes.select("key", "rep", "node", "n").join(links, "node", "left").join(headed, F.col("node") == F.col("id"), "left") \
         .select(F.col("key").alias("__key"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-                F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "key").join(done, F.col("key") == F.col("__key"), "left")
-    class_id = F.coalesce("component", "doc_id")
+                F.coalesce("head.rep", "rep").alias("class"), F.coalesce("head.key", "key").alias("head_key"))
+    out = rows.select("doc_id", "mark", "n_shingles", "key").join(done, F.col("key") == F.col("__key"), "left")
+    class_id = F.coalesce("class", "doc_id")
+    kept = (F.col("doc_id") == class_id) & F.coalesce(F.col("key") == F.col("head_key"), F.lit(True))
     return out.select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                      class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
+                      class_id.alias("class_id"), F.coalesce(kept, F.lit(True)).alias("kept"), "key", "mark")
 
 
 def _compare_leaves(leaf: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """Edges (a, b) inside buckets; a bucket beyond LEAF meets block by block."""
-    own = F.pmod(F.xxhash64("rep", F.lit(11)), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     pair = F.transform(every, lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
     dealt = leaf.withColumn("blocks", F.ceil(F.col("count") / LEAF).cast("int")).withColumn("t", F.explode(pair))
-    low = nodes.select(F.col("rep").alias("r"), "size", "low")
-    dealt = dealt.join(low, F.col("rep") == F.col("r")).select("path", "t.i", "t.j", "rep", "size", "low")
+    low = nodes.select(F.col("node").alias("r"), "size", "low")
+    dealt = dealt.join(low, F.col("node") == F.col("r")).select("path", "t.i", "t.j", "node", "size", "low")
     return map_groups(dealt, 3, lambda key, rows: leaf_edges(rows, threshold) if len(rows) > 1 else (), "a long, b long")
 
 
 def _verify(docs: DataFrame, nodes: DataFrame, near: DataFrame, threshold: float, words: int,
             scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Links (rep, links) and star edges (a, b) among the nodes of each near class, by their whole sets.
+    """Links (node, links) and star edges (a, b) among the nodes of each near class, by their whole sets.
 
     The sets are made again from the texts of the nodes' first documents. A
     class is dealt in blocks, and each pair of blocks is one group of bounded size.
     """
     sizes = near.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("m"))
     block = F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(MOST_BLOCK), F.ceil(F.col("m") / BLOCKS)))
-    active = near.join(sizes, F.col("component") == F.col("c")).join(nodes.select("rep", "n", "key"), F.col("id") == F.col("rep")) \
-        .select("component", F.ceil(F.col("m") / block).cast("int").alias("blocks"), "rep", "n", F.col("key").alias("want"))
-    texts = docs.select(F.col("doc_id").alias("d"), "text").join(active, F.col("d") == F.col("rep"))
+    firsts = nodes.select("node", "n", F.col("key").alias("want"), "first")
+    active = near.join(sizes, F.col("component") == F.col("c")).join(firsts, F.col("id") == F.col("node")) \
+        .select("component", F.ceil(F.col("m") / block).cast("int").alias("blocks"), "node", "n", "want",
+                F.col("first.doc_id").alias("__doc_id"), F.col("first.mark").alias("__mark"))
+    texts = docs.select("doc_id", mark().alias("mark"), "text") \
+        .join(active, [F.col(c) == F.col(f"__{c}") for c in ("doc_id", "mark")])
 
     def sets(source):
         cache = WordCache(xxhash.xxh64_intdigest)
-        for component, blocks, rep, n, want, text in source:
+        for component, blocks, node, n, want, text in source:
             s = shingles(text or "", cache, words)
             if len(s) and set_key(s) == bytes(want):
-                yield component, blocks, rep, n, s.tobytes()
+                yield component, blocks, node, n, s.tobytes()
 
-    made = map_rows(texts.select("component", "blocks", "rep", "n", "want", "text"), sets,
-                    "component long, blocks int, rep long, n long, items binary", flush=100)
-    own = F.pmod(F.xxhash64("rep", F.lit(13)), F.col("blocks")).cast("int")
+    made = map_rows(texts.select("component", "blocks", "node", "n", "want", "text"), sets,
+                    "component long, blocks int, node long, n long, items binary", flush=100)
+    own = F.pmod(F.xxhash64("node", F.lit(13)), F.col("blocks")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1),
                        lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j"), own.alias("own")))
-    tiles = made.withColumn("t", F.explode(pair)).select("component", "t.i", "t.j", "t.own", "rep", "n", "items")
+    tiles = made.withColumn("t", F.explode(pair)).select("component", "t.i", "t.j", "t.own", "node", "n", "items")
 
     def compare(key, rows):
         _, i, j = key
         rows = list({r[1]: r for r in rows}.values())  # repeated rows of the first document
         items = [np.frombuffer(r[3], np.uint64) for r in rows]
-        rep, n = [r[1] for r in rows], np.array([r[2] for r in rows])
+        node, n = [r[1] for r in rows], np.array([r[2] for r in rows])
         side = np.array([r[0] for r in rows])
         a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
         if not len(a) or not len(b):
@@ -261,19 +285,26 @@ def _verify(docs: DataFrame, nodes: DataFrame, near: DataFrame, threshold: float
         for index, links in counts:
             for k, c in zip(index.tolist(), links.tolist(), strict=True):
                 if c:
-                    yield rep[k], None, int(c)
-        names = [rep[k] for k in (*a.tolist(), *b.tolist())]
+                    yield node[k], None, int(c)
+        names = [node[k] for k in (*a.tolist(), *b.tolist())]
         for x, y in forest(linked):
             if names[x] != names[y]:
                 yield names[x], names[y], 0
 
     found = scratch.put(map_groups(tiles, 3, compare, "a long, b long, links long"), "found")
-    links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     return links, found.where("b is not null").select("a", "b")
 
 
 def keep_first(docs: DataFrame, **settings) -> DataFrame:
-    """``docs``, all columns, with one document of each class: that of the smallest id. Rows without an id stay."""
-    kept = join(docs, **settings).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    known = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """``docs``, all columns, with one document of each class: that of the smallest id.
+
+    Unlike texts under one id are told apart and stay each; of texts of one id
+    and one set, that of the least mark stays. Rows without an id stay.
+    """
+    kept = _told(docs, **settings).where("kept and doc_id is not null") \
+        .groupBy(F.col("doc_id").alias("__kept"), "key").agg(F.min("mark").alias("__kept_mark")).drop("key").distinct()
+    known = docs.withColumn("__mark", mark()) \
+        .join(kept, (F.col("doc_id") == F.col("__kept")) & (F.col("__mark") == F.col("__kept_mark")), "left_semi") \
+        .dropDuplicates(["doc_id", "__mark"])
+    return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))

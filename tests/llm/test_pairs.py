@@ -109,6 +109,18 @@ def test_jaccard_runs_keep_the_recall_on_the_last_level():
     assert missed <= 4
 
 
+def test_unlike_texts_of_one_id_both_stay(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a), (5, b), (5, a), (7, b + " more"), (7, a + " more"), (7, "c d e f g h"), (8, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, jaccard.join(docs).collect()))
+    assert got == sorted([(5, 36, 2, 5, True), (5, 36, 2, 5, True), (5, 36, 1, 5, True), (7, 37, 1, 5, False), (7, 37, 2, 5, False),
+                          (7, 2, 0, 7, True), (8, 0, 0, 8, True), (8, 0, 0, 8, True)])
+    kept = sorted(map(tuple, jaccard.keep_first(docs).collect()), key=str)
+    assert [k for k in kept if k[0] != 8] == sorted([(5, a), (5, b), (7, "c d e f g h")], key=str)
+    assert sum(k[0] == 8 for k in kept) == 1
+
+
 def low_rank(n, rank, seed=6):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, rank)) @ rng.normal(size=(rank, 64))
