@@ -25,9 +25,11 @@ from .common import WordCache, map_rows
 SLOT_BITS = 24
 #: Document frequencies of the band: at least so many documents, and at most this share of them.
 MIN_DOCS, MAX_SHARE = 2, 0.05
-#: Rates at which the subsets keep terms, and subsets of each rate below 1.
-RATES, OF_EACH = (1.0, *(2.0 ** -k for k in range(1, 12))), 8
+#: Rates at which the subsets keep terms, and subsets of each rate below 1. Rates after the first ``DRAWN`` halve
+#: the subsets of the last drawn one further, for texts so long that those hold many terms.
+RATES, OF_EACH, DRAWN = (1.0, *(2.0 ** -k for k in range(1, 21))), 8, 12
 DIGITS = 6
+NONE = "0" * DIGITS
 
 find_terms = re.compile(r"\w+").findall
 
@@ -51,7 +53,7 @@ class Lexicon:
     limits: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        rates = [RATES[0], *(r for r in RATES[1:] for _ in range(OF_EACH))]
+        rates = [RATES[0], *(r for r in RATES[1:DRAWN] for _ in range(OF_EACH))]
         self.seeds = np.array([term_hash(f"subset {i}") | 1 for i in range(len(rates))], np.uint64)[:, None]
         self.limits = np.array([min(int(r * 2 ** 32), 2 ** 32 - 1) for r in rates], np.uint64)[:, None]
 
@@ -65,17 +67,26 @@ class Lexicon:
 
     def fingerprint(self, text: str, terms: np.ndarray) -> str:
         h = self.basis(text, terms)
-        kept = (((h ^ self.seeds) * self.seeds >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) <= self.limits
+        value = ((h ^ self.seeds) * self.seeds >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+        kept = value <= self.limits
         kept[0] = True
         ends = (kept.sum(axis=1).cumsum() * 8).tolist()
         picked = h[np.nonzero(kept)[1]].tobytes()
         out, start = [], 0
         for end in ends:
-            out.append(f"{xxhash.xxh32_intdigest(picked[start:end]) % 0xFFFFFF + 1:06x}" if end > start else "000000")
+            out.append(digest(picked[start:end]) if end > start else NONE)
             start = end
+        rest = [(h[k], v[k]) for k, v in zip(kept[-OF_EACH:], value[-OF_EACH:], strict=True)]
+        for rate in RATES[DRAWN:]:
+            rest = [(t[v <= int(rate * 2 ** 32)], v[v <= int(rate * 2 ** 32)]) if len(t) else (t, v) for t, v in rest]
+            out += [digest(t.tobytes()) if len(t) else NONE for t, _ in rest]
         return "".join(out)
 
 
+def digest(terms: bytes) -> str:
+    return f"{xxhash.xxh32_intdigest(terms) % 0xFFFFFF + 1:06x}"
+
+
 def likeness(a: str, b: str) -> float:
     """Share of equal hashes, 0 to 1; 1 for equal fingerprints.
 
@@ -91,7 +102,7 @@ def likeness(a: str, b: str) -> float:
         filled = 0
         for i in range(first, first + OF_EACH * DIGITS, DIGITS):
             x, y = a[i:i + DIGITS], b[i:i + DIGITS]
-            if x != "000000" or y != "000000":
+            if x != NONE or y != NONE:
                 filled += 1
                 same += x == y
         told += filled

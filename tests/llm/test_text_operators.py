@@ -122,6 +122,21 @@ def test_fingerprints(spark):
     assert fingerprint.fingerprints(docs.where("false")).count() == 0
 
 
+def test_likeness_does_not_fall_with_length():
+    lexicon = fingerprint.Lexicon(np.full(1 << fingerprint.SLOT_BITS - 3, 255, np.uint8))
+    rng = np.random.default_rng(8)
+    like = {}
+    for n in (100, 50_000):
+        of_n = []
+        for _ in range(8):
+            a = np.unique(rng.integers(0, 2 ** 63, n, dtype=np.uint64) * np.uint64(2))
+            b = a.copy()
+            b[rng.permutation(n)[:n // 20]] += np.uint64(1)
+            of_n.append(fingerprint.likeness(lexicon.fingerprint("", a), lexicon.fingerprint("", b)))
+        like[n] = np.mean(of_n)
+    assert like[50_000] > 0.6 and abs(like[50_000] - like[100]) < 0.25
+
+
 def test_fingerprints_of_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a b c")] * 3 + [(2, "d e f")], "doc_id long, text string")
     got = sorted((r.doc_id, r.edited) for r in fingerprint.fingerprints(docs).collect())
