@@ -44,7 +44,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("language ID", language), ("n-gram Jaccard join", near_duplicates), ("PII", personal_data),
           ("mixing", mixture), ("BPE", encode)]
 
-#: Min-hash buckets, trained weights and merges have no SQL form; tests hold the stages against brute force.
+#: Min-hash buckets, trained weights and merges have no SQL form. The stages' operators have tests of their own; no test runs the pipeline as a whole yet.
 ORACLE_SQL = None
 
 
