@@ -5,9 +5,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF_SMALL = "/root/testdata/sf0.001"
-SF_ORACLE = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -15,10 +12,3 @@ def spark():
 
     s = build_session("local[4]", shuffle_partitions=4, app_name="kpiloom-tests")
     yield s
-
-
-def rows(df, *cols):
-    """Sorted list of tuples (None sorts first)."""
-    cols = cols or df.columns
-    out = [tuple(r[c] for c in cols) for r in df.collect()]
-    return sorted(out, key=lambda t: tuple((x is not None, x) for x in t))

@@ -1,6 +1,6 @@
 """Dimension operators."""
 
-from conftest import rows
+from helpers import rows
 from kpiloom.params import CHANNEL_SELF_DELIVERED, CHANNEL_UNIFIED, ReportParams
 from kpiloom.plans.dims import area_levels, category_tree, channel_map
 import datetime as dt

@@ -1,6 +1,6 @@
 """Hand-computed golden results on the tiny raw fixture."""
 
-from conftest import rows
+from helpers import rows
 from kpiloom.plans import reports as R
 from kpiloom.plans.facts import Model
 from rawfixture import PARAMS, raw_tables

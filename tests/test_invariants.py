@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from kpiloom.catalog.queries import kpi_model, sales_model
 from kpiloom.params import ALL_CITIES_LABEL
 from kpiloom.plans import reports as R

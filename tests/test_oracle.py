@@ -12,7 +12,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 
 SUBSET = ["scan_range_open", "exclude_accounts", "category_tree", "channel_map", "path_split", "rollup_visits",
           "repeat_visit_rate", "new_login_cohort", "report_visits_orders", "report_new_users", "report_sales",
@@ -41,9 +41,9 @@ def duck():
 
 
 def _keys():
-    import __spark_entry__ as E
+    from kpiloom.catalog.oracle import oracle_queries
 
-    keys = list(E.oracle_sql())
+    keys = list(oracle_queries())
     return keys if os.environ.get("KPILOOM_ORACLE_ALL") else SUBSET
 
 

@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from conftest import rows
+from helpers import rows
 from kpiloom.session import ensure_checkpoint_dir
 from kpiloom.sources.sinks import csv_report, read_bundle, stamp, write_bundle
 
