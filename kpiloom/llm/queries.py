@@ -100,5 +100,14 @@ def op10_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op12_sentencepiece(spark, sf_dir):
+    from .sentencepieces import encode_decode
+
+    out = encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_imatch, op4_jaccard_join, op5_embedding_dedup, op6_perspectives, op7_url_filter, op8_pii,
-                                   op9_token_count, op10_mixing)}
+                                   op9_token_count, op10_mixing, op12_sentencepiece)}
