@@ -109,5 +109,12 @@ def op12_sentencepiece(spark, sf_dir):
                       F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
 
 
+def op13_whitening(spark, sf_dir):
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_imatch, op4_jaccard_join, op5_embedding_dedup, op6_perspectives, op7_url_filter, op8_pii,
-                                   op9_token_count, op10_mixing, op12_sentencepiece)}
+                                   op9_token_count, op10_mixing, op12_sentencepiece,
+                                   op13_whitening)}
