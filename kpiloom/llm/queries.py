@@ -100,6 +100,12 @@ def op10_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark, sf_dir):
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_sentencepiece(spark, sf_dir):
     from .sentencepieces import encode_decode
 
@@ -116,5 +122,5 @@ def op13_whitening(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_imatch, op4_jaccard_join, op5_embedding_dedup, op6_perspectives, op7_url_filter, op8_pii,
-                                   op9_token_count, op10_mixing, op12_sentencepiece,
+                                   op9_token_count, op10_mixing, op11_collocations, op12_sentencepiece,
                                    op13_whitening)}
