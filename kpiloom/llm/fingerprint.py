@@ -21,13 +21,16 @@ from pyspark.sql.types import IntegerType
 
 from .common import WordCache, map_rows
 
-#: Lexicon slots that terms are hashed to; bounds the counts of a task and the lexicon that is broadcast (2 MB).
-SLOT_BITS = 24
 #: Document frequencies of the band: at least so many documents, and at most this share of them.
 MIN_DOCS, MAX_SHARE = 2, 0.05
-#: Rates at which the subsets keep terms, and subsets of each rate below 1. Rates after the first ``DRAWN`` halve
-#: the subsets of the last drawn one further, for texts so long that those hold many terms.
-RATES, OF_EACH, DRAWN = (1.0, *(2.0 ** -k for k in range(1, 21))), 8, 12
+#: Lexicon slots that terms are hashed to: one for so many characters of text, which is some four times the distinct
+#: terms, but between these powers of two. The bits of the band that are broadcast take 32 MB at most.
+CHARS_PER_SLOT, LEAST_SLOTS, MOST_SLOTS = 40, 24, 28
+#: Slots that a task collects before it adds equal ones up.
+HELD_SLOTS = 4_000_000
+#: Rates at which the subsets keep terms, and subsets of each rate below 1. A seed's subsets are nested: each rate
+#: keeps half of the terms of the rate before. Rates go on to 2^-20, so that even very long texts have sparse subsets.
+RATES, OF_EACH = (1.0, *(2.0 ** -k for k in range(1, 21))), 8
 DIGITS = 6
 NONE = "0" * DIGITS
 
@@ -35,15 +38,23 @@ find_terms = re.compile(r"\w+").findall
 
 
 def term_hash(term: str) -> int:
-    return xxhash.xxh64_intdigest(term)
+    """Hash of a lower-cased term."""
+    return xxhash.xxh64_intdigest(term.lower())
 
 
 def distinct_terms(text: str, cache: WordCache) -> np.ndarray:
-    """Sorted distinct 64-bit term hashes of a text's lower-cased words."""
-    words = set(find_terms(text.lower()))
+    """Sorted distinct 64-bit term hashes of a text's words."""
+    words = set(find_terms(text))
     return np.unique(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
 
 
+def word_start(text: str, at: int) -> int:
+    """The start of the word that ``at`` lies in or ends; ``at`` itself between words."""
+    while at and (text[at - 1].isalnum() or text[at - 1] == "_"):
+        at -= 1
+    return at
+
+
 @dataclass
 class Lexicon:
     """Bits of the slots whose terms are in the band, and the subsets' seeds."""
@@ -51,40 +62,45 @@ class Lexicon:
     bits: np.ndarray
     seeds: np.ndarray = field(init=False)
     limits: np.ndarray = field(init=False)
+    shift: np.uint64 = field(init=False)
 
     def __post_init__(self):
-        rates = [RATES[0], *(r for r in RATES[1:DRAWN] for _ in range(OF_EACH))]
-        self.seeds = np.array([term_hash(f"subset {i}") | 1 for i in range(len(rates))], np.uint64)[:, None]
-        self.limits = np.array([min(int(r * 2 ** 32), 2 ** 32 - 1) for r in rates], np.uint64)[:, None]
+        self.seeds = np.array([term_hash(f"subset {i}") | 1 for i in range(OF_EACH)], np.uint64)[:, None]
+        self.limits = np.array([int(r * 2 ** 32) for r in RATES[:0:-1]], np.uint64)  # sparsest first
+        self.shift = np.uint64(64 - (8 * len(self.bits) - 1).bit_length())
 
     def basis(self, text: str, terms: np.ndarray) -> np.ndarray:
         """Terms in the band; without any, all terms; without terms, the text itself as one."""
-        slots = (terms >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        slots = (terms >> self.shift).astype(np.int64)
         inside = terms[(self.bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)]
         if len(inside):
             return inside
         return terms if len(terms) else np.array([term_hash("text " + text)], np.uint64)
 
     def fingerprint(self, text: str, terms: np.ndarray) -> str:
+        """Hash of all terms of the basis, then for each rate those of the seeds' subsets.
+
+        A seed draws one value a term. In the order of these values every
+        subset is a prefix, so one running hash gives a seed's subsets of all rates.
+        """
         h = self.basis(text, terms)
         value = ((h ^ self.seeds) * self.seeds >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
-        kept = value <= self.limits
-        kept[0] = True
-        ends = (kept.sum(axis=1).cumsum() * 8).tolist()
-        picked = h[np.nonzero(kept)[1]].tobytes()
-        out, start = [], 0
-        for end in ends:
-            out.append(digest(picked[start:end]) if end > start else NONE)
-            start = end
-        rest = [(h[k], v[k]) for k, v in zip(kept[-OF_EACH:], value[-OF_EACH:], strict=True)]
-        for rate in RATES[DRAWN:]:
-            rest = [(t[v <= int(rate * 2 ** 32)], v[v <= int(rate * 2 ** 32)]) if len(t) else (t, v) for t, v in rest]
-            out += [digest(t.tobytes()) if len(t) else NONE for t, _ in rest]
-        return "".join(out)
+        order = np.argsort(value, axis=1, kind="stable")
+        columns = []
+        for v, o in zip(value, order, strict=True):
+            picked = h[o]
+            running, start, column = xxhash.xxh32(), 0, []
+            for end in np.searchsorted(v[o], self.limits, "right").tolist():
+                if end > start:
+                    running.update(picked[start:end])
+                    start = end
+                column.append(shown(running.intdigest()) if end else NONE)
+            columns.append(column[::-1])
+        return shown(xxhash.xxh32_intdigest(h.tobytes())) + "".join(["".join(rate) for rate in zip(*columns, strict=True)])
 
 
-def digest(terms: bytes) -> str:
-    return f"{xxhash.xxh32_intdigest(terms) % 0xFFFFFF + 1:06x}"
+def shown(digest: int) -> str:
+    return f"{digest % 0xFFFFFF + 1:06x}"
 
 
 def likeness(a: str, b: str) -> float:
@@ -116,27 +132,41 @@ def build_lexicon(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float =
 
     Each task sums its own rows by slot before the shuffle; the driver gets
     one bit a slot. With fewer than ``min_docs / max_share`` documents the
-    upper end is ``min_docs``.
+    upper end is ``min_docs``. Beyond 2 ** MOST_SLOTS * CHARS_PER_SLOT
+    characters several rare terms share a slot, so that terms of one document
+    count as more frequent and stay in the band; frequent terms go as before.
     """
+    size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("chars")).first()
+    power = min(max((size["chars"] // CHARS_PER_SLOT).bit_length(), LEAST_SLOTS), MOST_SLOTS)
+
     def count(source):
-        cache, df = WordCache(term_hash), np.zeros(1 << SLOT_BITS, np.int32)
-        n = 0
+        cache, held, waiting = WordCache(term_hash), [], 0
+        slots, times = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def add_up():
+            found, place = np.unique(np.concatenate([slots, *held]), return_inverse=True)
+            total = np.zeros(len(found), np.int64)
+            np.add.at(total, place[:len(slots)], times)
+            total += np.bincount(place[len(slots):], minlength=len(found))
+            return found, total
+
         for (text,) in source:
-            n += 1
             terms = distinct_terms(text or "", cache)
-            df[np.unique(terms >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] += 1
-        yield -1, n
-        for s in np.flatnonzero(df):
-            yield int(s), int(df[s])
+            held.append(np.unique((terms >> np.uint64(64 - power)).astype(np.int64)))
+            waiting += len(terms)
+            if waiting >= HELD_SLOTS:
+                slots, times = add_up()
+                held, waiting = [], 0
+        slots, times = add_up()
+        yield from zip(slots.tolist(), times.tolist(), strict=True)
 
     counts = map_rows(docs.select("text"), count, "slot int, n int", flush=50_000)
-    n_docs = docs.count()
-    high = max(min_docs, int(max_share * n_docs))
-    band = (counts.where("slot >= 0").groupBy("slot").agg(F.sum("n").alias("n"))
+    high = max(min_docs, int(max_share * size["n"]))
+    band = (counts.groupBy("slot").agg(F.sum("n").alias("n"))
             .where(F.col("n").between(min_docs, high))
             .groupBy(F.shiftright("slot", 5).alias("word"))
             .agg(F.expr("bit_or(shiftleft(1L, slot & 31))").alias("bits")).toPandas())
-    bits = np.zeros(1 << SLOT_BITS - 5, "<u4")
+    bits = np.zeros(1 << power - 5, "<u4")
     bits[band["word"].to_numpy(np.int64)] = band["bits"].to_numpy(np.int64).astype("<u4")
     return Lexicon(bits.view(np.uint8))
 
@@ -201,13 +231,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         cache, lex = WordCache(term_hash), lexicon.value
 
         def told(key, text):
-            return key, text, lex.fingerprint(text, distinct_terms(text, cache))
+            """The text with its fingerprint and the terms of what an edit keeps; its words are looked up once."""
+            cut = len(text) - len(text) // 2
+            start = word_start(text, cut)
+            head = distinct_terms(text[:start], cache)
+            own = np.union1d(head, distinct_terms(text[start:], cache))
+            return key, text, lex.fingerprint(text, own), (cut, start, head)
 
         def out(one, following):
-            key, text, own = one
-            _, next_text, next_own = following
+            key, text, own, (cut, start, head) = one
+            _, next_text, next_own, _ = following
             new = edited(text, next_text)
-            changed = own if new == text else lex.fingerprint(new, distinct_terms(new, cache))
+            if new == text:
+                changed = own
+            else:
+                changed = lex.fingerprint(new, np.union1d(head, distinct_terms(new[start:], cache)))
             return key, len(text), new, own, changed, likeness(own, changed), likeness(own, next_own)
 
         held, at = None, None

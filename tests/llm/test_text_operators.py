@@ -1,12 +1,15 @@
 """Operators 1, 2, 3 and 9: edge cases and comparison with libraries and plain code."""
 
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
 from tokenizers import Tokenizer
 
 from kpiloom.llm import fingerprint, langid
@@ -102,6 +105,65 @@ def test_temperature_flattens_overconfident_scores():
     assert langid.fit_temperature(logits, np.array([0] * 60 + [1] * 40)) > 3
 
 
+def plain_imatch(texts, n_slots=2 ** 24, min_docs=2, max_share=0.05):
+    """Fingerprint by text, from sets of words and a loop over every seed and rate."""
+    words = lambda t: {w.lower() for w in re.findall(r"\w+", t)}
+    hashed = lambda t: {xxhash.xxh64_intdigest(w) for w in words(t)}
+    slot = lambda h: h * n_slots >> 64
+    df = Counter(s for t in texts for s in {slot(h) for h in hashed(t)})
+    band = {s for s, n in df.items() if min_docs <= n <= max(min_docs, int(max_share * len(texts)))}
+    seeds = [xxhash.xxh64_intdigest(f"subset {i}") | 1 for i in range(8)]
+    full = 2 ** 64 - 1
+
+    def shown(hashes):
+        if not hashes:
+            return "000000"
+        return f"{xxhash.xxh32_intdigest(b''.join(h.to_bytes(8, 'little') for h in hashes)) % 0xFFFFFF + 1:06x}"
+
+    def fingerprint(text):
+        terms = hashed(text)
+        basis = sorted(h for h in terms if slot(h) in band) or sorted(terms) or [xxhash.xxh64_intdigest("text " + text.lower())]
+        value = [{h: (((((h ^ s) * s) & full) >> 29) * 0x9E3779B97F4A7C15 & full) >> 32 for h in basis} for s in seeds]
+        out = [shown(basis)]
+        for k in range(1, 21):
+            out += [shown(sorted((h for h in basis if v[h] <= 2 ** (32 - k)), key=lambda h: (v[h], h))) for v in value]
+        return "".join(out)
+
+    return fingerprint
+
+
+def test_fingerprints_equal_plain_imatch(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)] + ["Été", "ΣΑΣ", "İx", "日本", "a_b"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "  ", ". ", "'", "-"]) for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    texts += [None, "", "...", texts[3], "only once here", "w1" * 4000, " ".join(f"v{i}" for i in range(6000)) + " w1 w2"]
+    rows = [(i, t, "en", 0.5) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, edited string, near_next double").repartition(4)
+    got = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
+    texts = [t or "" for t in texts]
+    plain = plain_imatch(texts)
+
+    def like(a, b):
+        if a == b:
+            return 1.0
+        same = told = 0
+        for k in range(20, 0, -1):
+            x, y = ([f[6 * (1 + 8 * (k - 1) + i):][:6] for i in range(8)] for f in (a, b))
+            pairs = [(p, q) for p, q in zip(x, y, strict=True) if (p, q) != ("000000", "000000")]
+            same, told = same + sum(p == q for p, q in pairs), told + len(pairs)
+            if len(pairs) >= 7.2:
+                break
+        return same / told if told else 0.0
+
+    for i, t in enumerate(texts):
+        following, half = texts[(i + 1) % len(texts)], len(t) // 2
+        new = t[:len(t) - half] + following[:half]
+        own, changed, nxt = plain(t), plain(new), plain(following)
+        r = got[i]
+        assert (r.n_chars, r.edited, r.fingerprint, r.edited_fingerprint) == (len(t), new, own, changed), i
+        assert (r.near_edited, r.near_next) == (like(own, changed), like(own, nxt))
+
+
 def test_fingerprints(spark):
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(400)]
