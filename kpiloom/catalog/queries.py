@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kpiloom.functions.keys import text_ids
 from kpiloom.functions.semantics import (
     flag_decode, if_else, in_set, money, n_distinct, not_in_set, ratio, strict_sum, to_day,
     weekend_window_start, zero_fill,
@@ -22,7 +23,7 @@ from kpiloom.functions.semantics import (
 from kpiloom.operators.aggregates import LEVEL_COL, append_total, first_by
 from kpiloom.operators.grid import DateRange, date_span, densify, expand, param_grid, pivot_fixed
 from kpiloom.operators.relational import (
-    drop_suffix_users, in_window, join_with_suffix, left_join_renamed, mark, null_safe_left_join,
+    drop_suffix_users, in_window, join_with_suffix, left_join_renamed, lookup, mark, null_safe_left_join,
 )
 from kpiloom.operators.windows import peaks
 from kpiloom.params import ALL_CITIES_LABEL, CHANNEL_COLUMNS, CHANNELS
@@ -72,15 +73,15 @@ def sales_model(spark: SparkSession, sf_dir: str, **kw) -> Model:
 
 
 def _k(fn) -> Query:
-    return lambda spark, sf: fn(kpi_model(spark, sf))
+    return lambda spark, sf: text_ids(fn(kpi_model(spark, sf)))
 
 
 def _e(fn) -> Query:
-    return lambda spark, sf: fn(early_model(spark, sf))
+    return lambda spark, sf: text_ids(fn(early_model(spark, sf)))
 
 
 def _s(fn) -> Query:
-    return lambda spark, sf: fn(sales_model(spark, sf))
+    return lambda spark, sf: text_ids(fn(sales_model(spark, sf)))
 
 
 # ---- sources and ingest (S1-S13) ------------------------------------------
@@ -157,8 +158,8 @@ def q_localized_headers(m: Model) -> DataFrame:
 
 
 def q_join_suffix(m: Model) -> DataFrame:
-    prod = m.products.filter(F.col("delivery_method") == 1).select("sn", "dealer_id", "name")
-    return join_with_suffix(prod, m.dealers, "dealer_id")
+    prod = m.keyed.products.filter(F.col("delivery_method") == 1).select("sn", "dealer_id", "name")
+    return join_with_suffix(prod, m.keyed.dealers, "dealer_id")
 
 
 # ---- filters (F1-F7) ------------------------------------------------------
@@ -199,12 +200,12 @@ def q_tree_levels(m: Model) -> DataFrame:
 
 # ---- joins (J1-J11) -------------------------------------------------------
 def q_left_join_dim(m: Model) -> DataFrame:
-    return m.logins.select("member_id", "area_id", "login_date").join(m.area, "area_id", "left")
+    return lookup(m.keyed.logins.select("member_id", "area_id", "login_date"), m.keyed.area, "area_id")
 
 
 def q_left_join_renamed(m: Model) -> DataFrame:
-    it = m.items.select("order_id", "sn", "sub_total")
-    return left_join_renamed(it, m.orders.select("id", "order_status", "create_date"), "order_id", "id")
+    it = m.keyed.items.select("order_id", "sn", "sub_total")
+    return left_join_renamed(it, m.keyed.orders.select("id", "order_status", "create_date"), "order_id", "id")
 
 
 def q_left_join_multi(m: Model) -> DataFrame:
@@ -224,12 +225,12 @@ def q_densify_grid(m: Model) -> DataFrame:
 
 
 def q_mark_join(m: Model) -> DataFrame:
-    return mark(m.products.select("sn", "name"), m.raw.campaign_products, "sn", "campaign_prod")
+    return mark(m.keyed.products.select("sn", "name"), m.keyed.campaign_products, "sn", "campaign_prod")
 
 
 def q_fanout_join(m: Model) -> DataFrame:
-    o = in_window(m.orders, "create_date", m.p.week_start, m.p.report_date).filter(in_set("order_status", (1, 2)))
-    return left_join_renamed(o.select("id"), m.order_log, "id", "order_id")
+    o = in_window(m.keyed.orders, "create_date", m.p.week_start, m.p.report_date).filter(in_set("order_status", (1, 2)))
+    return left_join_renamed(o.select("id"), m.keyed.order_log, "id", "order_id")
 
 
 def q_null_safe_join(m: Model) -> DataFrame:
@@ -280,7 +281,7 @@ def q_strict_sum(m: Model) -> DataFrame:
 
 
 def q_distinct_count(m: Model) -> DataFrame:
-    o = m.orders.join(m.area, "area_id", "left")
+    o = lookup(m.keyed.orders, m.keyed.area, "area_id")
     return o.groupBy("city").agg(n_distinct("paid_date").alias("paid_days"))
 
 
@@ -299,7 +300,7 @@ def q_first_per_key_ordered(m: Model) -> DataFrame:
 
 
 def q_avg_ticket(m: Model) -> DataFrame:
-    o = in_window(m.orders, "create_date", m.p.month_start, m.p.report_date).join(m.area, "area_id", "left")
+    o = lookup(in_window(m.keyed.orders, "create_date", m.p.month_start, m.p.report_date), m.keyed.area, "area_id")
     out = o.groupBy("city").agg(money(strict_sum("original_amount"), m.p.money_scale).alias("amount"),
                                 F.count(F.lit(1)).alias("n_orders"))
     return out.withColumn("avg_ticket", ratio(F.col("amount"), F.col("n_orders")))
@@ -346,9 +347,9 @@ def q_sort_desc(m: Model) -> DataFrame:
 
 
 def _first_logins(m: Model) -> tuple[DataFrame, DataFrame]:
-    app_first = (first_by(m.app, ["member_id"], "login_date", out="first_login_date")
-                 .join(m.members.select("member_id", "area_id"), "member_id", "left"))
-    pc = m.members.select("member_id", "first_login_date", "area_id")
+    app_first = lookup(first_by(m.keyed.app, ["member_id"], "login_date", out="first_login_date"),
+                       m.keyed.members.select("member_id", "area_id"), "member_id")
+    pc = m.keyed.members.select("member_id", "first_login_date", "area_id")
     return app_first, pc
 
 

@@ -16,6 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kpiloom.functions.keys import key_values, keys_like, same_type
 from kpiloom.functions.semantics import sql_not_in
 
 
@@ -73,14 +74,23 @@ def keep_matching(df: DataFrame, keys_df: DataFrame, left_on: str, right_on: str
     """Semi-join: keep rows of ``df`` whose key occurs in ``keys_df``."""
     right_on = right_on or left_on
     k = keys_df.select(F.col(right_on).alias("__k"))
-    return df.join(k, F.col(left_on) == F.col("__k"), "left_semi")
+    a, b = same_type(df, left_on, k, "__k")
+    return df.join(k, a == b, "left_semi")
+
+
+def lookup(df: DataFrame, dim: DataFrame, on: str) -> DataFrame:
+    """Left join with a dimension on one key of the same name; the key keeps the type it has in ``df``."""
+    d = dim.withColumnRenamed(on, "__lk")
+    a, b = same_type(df, on, d, "__lk")
+    return df.join(d, a == b, "left").drop("__lk")
 
 
 def left_join_renamed(df: DataFrame, other: DataFrame, left_on: str, right_on: str,
                       how: str = "left") -> DataFrame:
     """Equi-join on differently named keys; the right key column is dropped."""
     o = other.withColumnRenamed(right_on, "__rk")
-    return df.join(o, F.col(left_on) == F.col("__rk"), how).drop("__rk")
+    a, b = same_type(df, left_on, o, "__rk")
+    return df.join(o, a == b, how).drop("__rk")
 
 
 def null_safe_left_join(df: DataFrame, other: DataFrame, on) -> DataFrame:
@@ -100,9 +110,10 @@ def mark(df: DataFrame, members: DataFrame, on: str, name: str, members_on: str
     ``members`` is deduplicated first so the join never fans out.
     """
     members_on = members_on or on
-    m = (members.select(F.col(members_on).alias("__m")).filter(F.col("__m").isNotNull())
-         .distinct().withColumn(name, F.lit(1)))
-    out = df.join(m, F.col(on) == F.col("__m"), "left").drop("__m")
+    m = keys_like(members.select(F.col(members_on).alias("__m")), "__m", df.schema[on].dataType)
+    m = m.filter(F.col("__m").isNotNull()).distinct().withColumn(name, F.lit(1))
+    a, b = same_type(df, on, m, "__m")
+    out = df.join(m, a == b, "left").drop("__m")
     return out.withColumn(name, F.coalesce(F.col(name), F.lit(0)))
 
 
@@ -110,10 +121,11 @@ def drop_suffix_users(df: DataFrame, cond_col: str, cond_values, user_col: str,
     """Drop rows where ``cond_col`` equals one of ``cond_values`` and the user
     matches ``pattern``. Three-valued, as in ``filter(!(a == v & regex))``:
     a NULL ``cond_col`` with a matching user is dropped too."""
-    vals = list(cond_values)
-    if not vals:
+    if not list(cond_values):
         return df
-    hit = F.col(cond_col).isin(vals) if len(vals) > 1 else (F.col(cond_col) == F.lit(vals[0]))
+    vals = key_values(df, cond_col, cond_values)
+    # spellings that no id has are never equal, but a NULL id stays undecided
+    hit = F.col(cond_col).isin(vals) if vals else F.when(F.col(cond_col).isNotNull(), F.lit(False))
     return df.filter(~(hit & F.col(user_col).rlike(pattern)))
 
 

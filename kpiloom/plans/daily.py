@@ -27,10 +27,13 @@ SHARED_FACTS = ("orders_window", "logins_window", "sales_detail", "delivery_orde
                 "campaign_sales")
 
 
-def materialize_facts(m: Model, names=SHARED_FACTS) -> Model:
-    """Write the shared facts of ``m`` once and make the model read them back."""
+def materialize_facts(model: Model, names=SHARED_FACTS) -> Model:
+    """Write the dimensions, the item facts (by order id) and the shared facts once; the model reads them back."""
+    m = model.keyed
     base = m._snapshot_base if isinstance(m._snapshot_base, str) else \
         run_snapshot_base(m.raw.order.sparkSession, "facts", uuid.uuid4().hex)
+    m.prepare()
+    m.store_items()
     for name in names:
         if name == "campaign_sales" and m.p.campaign_start is None:
             continue
@@ -40,7 +43,7 @@ def materialize_facts(m: Model, names=SHARED_FACTS) -> Model:
         m.__dict__[name] = df.sparkSession.read.parquet(path)
         if name == "sales_detail":   # orders of the window always have a day, missing orders none
             m.__dict__["sales_in_window"] = m.sales_detail.filter(F.col("create_date").isNotNull())
-    return m
+    return model
 
 
 def daily_reports(m: Model, localized: bool = False) -> dict[str, DataFrame]:

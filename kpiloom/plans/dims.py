@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kpiloom.functions.keys import key_values
 from kpiloom.functions.semantics import blank_to_null, if_else, in_set, not_in_set, path_part
+from kpiloom.operators.relational import lookup
 from kpiloom.params import CHANNEL_SELF_DELIVERED, CHANNEL_UNIFIED, ReportParams
 
 
@@ -60,19 +62,19 @@ def category_tree(cat: DataFrame) -> DataFrame:
     blanked, in this order: cate3 if equal to cate1, cate3 if equal to cate2,
     cate2 if equal to cate1 (each step sees the previous one).
     """
-    cate1 = cat.filter(F.length("code") == 2).select(F.col("cate_id").alias("cate1_id"), F.col("name").alias("cate1"))
-    cate2 = cat.filter(F.length("code") == 4).select(F.col("cate_id").alias("cate2_id"), F.col("name").alias("cate2"))
-    out = (cat.withColumn("parent1", path_part("tree_path", ",", 4, 2))
-           .withColumn("parent2", path_part("tree_path", ",", 4, 3))
-           .join(cate1, F.col("parent1") == F.col("cate1_id"), "left")
-           .join(cate2, F.col("parent2") == F.col("cate2_id"), "left")
-           .select("cate_id", "cate1", "cate2", F.col("name").alias("cate3")))
-    return (out
-            .withColumn("cate1", F.coalesce("cate1", "cate3"))
-            .withColumn("cate2", F.coalesce("cate2", "cate3"))
-            .withColumn("cate3", if_else(F.col("cate1") == F.col("cate3"), F.lit(None).cast("string"), F.col("cate3")))
-            .withColumn("cate3", if_else(F.col("cate2") == F.col("cate3"), F.lit(None).cast("string"), F.col("cate3")))
-            .withColumn("cate2", if_else(F.col("cate1") == F.col("cate2"), F.lit(None).cast("string"), F.col("cate2"))))
+    named = cat.filter(F.length("code").isin(2, 4)).select(
+        F.col("cate_id").cast("string").alias("__id"), F.length("code").alias("__size"), F.col("name").alias("__name"))
+
+    def parent(df: DataFrame, piece: int, code_length: int, name: str) -> DataFrame:
+        level = named.filter(F.col("__size") == code_length).select("__id", F.col("__name").alias(name))
+        return df.join(level, path_part("tree_path", ",", 4, piece) == F.col("__id"), "left").drop("__id")
+
+    tree = parent(parent(cat, 2, 2, "top"), 3, 4, "middle")
+    top, middle, leaf = F.coalesce("top", "name"), F.coalesce("middle", "name"), F.col("name")
+    # a comparison with a NULL name is undecided and leaves the level NULL
+    differs = lambda a, b: F.when(a != b, b)
+    return tree.select("cate_id", top.alias("cate1"), differs(top, middle).alias("cate2"),
+                       differs(middle, differs(top, leaf)).alias("cate3"))
 
 
 def channel_map(product: DataFrame, dealer: DataFrame, p: ReportParams) -> DataFrame:
@@ -84,7 +86,7 @@ def channel_map(product: DataFrame, dealer: DataFrame, p: ReportParams) -> DataF
     self-operated by the reports.
     """
     method, dealer_id = F.col("delivery_method"), F.col("dealer_id")
-    mapped = (method == 0) | ((method == 1) & dealer_id.isNotNull() & ~dealer_id.isin(list(p.excluded_dealers)))
-    return (product.filter(mapped).join(dealer.select("dealer_id", "supplier"), "dealer_id", "left")
+    mapped = (method == 0) | ((method == 1) & dealer_id.isNotNull() & ~dealer_id.isin(key_values(product, "dealer_id", p.excluded_dealers)))
+    return (lookup(product.filter(mapped), dealer.select("dealer_id", "supplier"), "dealer_id")
             .select("sn", "supplier",
                     F.when(method == 0, CHANNEL_UNIFIED).otherwise(CHANNEL_SELF_DELIVERED).alias("method")))

@@ -1,26 +1,31 @@
 """Logical model and cleaned facts.
 
-``Model`` wires raw tables + parameters into the logical frames the reports
-share. Every attribute is a lazy DataFrame; the only work done while plans
-are built is the one-time write of the small dimension snapshots (see
-``Model``); facts run when a report is written or collected.
+``KeyedFrames`` wires raw tables + parameters into the logical frames the
+reports share, with ids in their native type; ``Model`` shows the same frames
+with text ids, cast in the last select. Every attribute is a lazy DataFrame;
+the only work done while plans are built is the one-time write of the small
+dimension snapshots (``prepare`` does it ahead); facts run when a report is
+written or collected.
 """
 
 from __future__ import annotations
 
 import threading
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kpiloom.functions.keys import key_values, keys_like, text_ids
 from kpiloom.functions.semantics import (
     bucket, if_else, in_set, not_in_set, ship_status_simple,
     strict_sum,
 )
 from kpiloom.operators.relational import (
-    Accounts, drop_suffix_users, in_window, keep_matching, left_join_renamed, mark,
+    Accounts, drop_suffix_users, in_window, keep_matching, left_join_renamed, lookup, mark,
 )
+from kpiloom.operators.reduction import keep_possible
 from kpiloom.params import (
     CHANNEL_SELF_OPERATED, LOG_TYPE_COMPLETED, LOG_TYPE_SHIPPED, SHIPPING_AWAITING, SHIPPING_NOT_SHIPPED,
     PAID_STATUSES, SOLD_STATUSES, ReportParams,
@@ -40,8 +45,8 @@ def run_snapshot_base(spark, *run_key) -> str:
     return f"{ensure_checkpoint_dir(spark)}/dims/{hashlib.sha1(key.encode()).hexdigest()[:20]}"
 
 
-class Model:
-    """Logical frames of one report run.
+class KeyedFrames:
+    """Logical frames of one report run, ids in their native type.
 
     ``snapshot`` (True, a folder, or False): derived dimensions (area hierarchy, category tree, channel
     map) are written once per run as Parquet under the session's
@@ -64,7 +69,7 @@ class Model:
         self.accounts = Accounts(frame, list(p.test_accounts))
         self._snapshot_base = snapshot
         self._written: dict[str, DataFrame] = {}     # dimensions of this run, read back
-        self._lock = threading.Lock()
+        self._lock = threading.RLock()    # a dimension may be built from others
 
     def _snapshot(self, name: str, build) -> DataFrame:
         """``build()`` once per run, written and read back (see class doc)."""
@@ -72,8 +77,6 @@ class Model:
         if not base:
             return build()
         if base is True:
-            import uuid
-
             from kpiloom.session import ensure_checkpoint_dir
 
             spark = self.raw.order.sparkSession
@@ -86,6 +89,29 @@ class Model:
                 self._written[name] = df.sparkSession.read.parquet(path)
             return self._written[name]
 
+    def prepare(self) -> None:
+        """Write the dimension snapshots now, so that building the reports' plans runs no job."""
+        for name in ("area", "prod_cate", "channel", "sku") + (("area_campaign",) if self.p.campaign_start else ()):
+            getattr(self, name)
+
+    def store_items(self, n_buckets: int | None = None) -> None:
+        """Store the item facts once, bucketed and sorted by order id, and read them from there.
+
+        Joins with orders then move the orders only. ``n_buckets`` should give
+        buckets of a few hundred MB; by default, and at least, the number of
+        shuffle partitions, so that the orders are dealt to the buckets.
+        """
+        from kpiloom.session import ensure_checkpoint_dir
+
+        spark = self.raw.order.sparkSession
+        n = max(n_buckets or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        name = f"kpiloom_items_{uuid.uuid4().hex}"
+        (self.items_all.repartition(n, "order_id").write.format("parquet").bucketBy(n, "order_id").sortBy("order_id")
+         .option("path", f"{ensure_checkpoint_dir(spark)}/tables/{name}").saveAsTable(name))
+        for derived in ("items", "sales_detail", "sales_in_window", "items_month", "items_today"):
+            self.__dict__.pop(derived, None)
+        self.__dict__["items_all"] = spark.table(name)
+
     # ---- dimensions -------------------------------------------------------
     @cached_property
     def area(self) -> DataFrame:
@@ -119,6 +145,25 @@ class Model:
     def channel(self) -> DataFrame:
         return self._snapshot("channel", lambda: channel_map(self.products, self.dealers, self.p))
 
+    @cached_property
+    def sku(self) -> DataFrame:
+        """Category, supplier and channel of each sn: one lookup for the items.
+
+        Rows of one sn multiply as in a join with products and then channels,
+        since every sn of the channel map is a product's.
+        """
+        def build():
+            return (lookup(lookup(self.products.select("sn", "cate_id"), self.prod_cate, "cate_id"), self.channel, "sn")
+                    .withColumn("supplier", F.coalesce("supplier", F.lit(CHANNEL_SELF_OPERATED)))
+                    .withColumn("method", F.coalesce("method", F.lit(CHANNEL_SELF_OPERATED))))
+
+        return self._snapshot("sku", build)
+
+    @cached_property
+    def campaign_products(self) -> DataFrame:
+        """The campaign's list of sn in the type of the products' sn."""
+        return keys_like(self.raw.campaign_products, "sn", self.products.schema["sn"].dataType)
+
     # ---- sources ----------------------------------------------------------
     @cached_property
     def orders(self) -> DataFrame:
@@ -127,7 +172,11 @@ class Model:
         p = self.p
         o = ingest.scan_orders(self.raw.order, self.accounts)
         o = drop_suffix_users(o, "area_id", p.x_area_ids, "username", p.x_user_pattern)
-        return o.filter(not_in_set("area_id", p.dropped_area_ids))
+        return o.filter(not_in_set("area_id", key_values(o, "area_id", p.dropped_area_ids)))
+
+    def orders_of(self, items: DataFrame) -> DataFrame:
+        """Cleaned orders that may be those of ``items``: the bit filter of their ids goes into the order scan."""
+        return keep_possible(self.orders, "id", items, "order_id")
 
     @cached_property
     def items_all(self) -> DataFrame:
@@ -141,7 +190,7 @@ class Model:
     def items(self) -> DataFrame:
         """items_clean: non-gift items of the 30-day source range whose order
         survives the order cleaning; cases = quantity / sale_factor."""
-        return keep_matching(self.items_all, self.orders, "order_id", "id")
+        return keep_matching(self.items_all, self.orders_of(self.items_all), "order_id", "id")
 
     @cached_property
     def order_log_all(self) -> DataFrame:
@@ -185,7 +234,7 @@ class Model:
         o = o.filter(in_set("order_status", SOLD_STATUSES)).select(
             "id", "member_id", "create_date", "username", "area_id", "returns_date", "original_amount",
             "order_status")
-        return self._drop_x_district(o.join(self.area, "area_id", "left"))
+        return self._drop_x_district(lookup(o, self.area, "area_id"))
 
     @cached_property
     def logins_window(self) -> DataFrame:
@@ -193,7 +242,7 @@ class Model:
         p = self.p
         lg = in_window(self.logins, "login_date", p.week_start, p.report_date)
         lg = lg.select("member_id", "username", "area_id", "login_ip", "login_date")
-        return self._drop_x_district(lg.join(self.area, "area_id", "left"))
+        return self._drop_x_district(lookup(lg, self.area, "area_id"))
 
     @cached_property
     def order_days(self) -> DataFrame:
@@ -216,12 +265,10 @@ class Model:
         p = self.p
         it = in_window(items, "create_date", p.week_start, p.report_date)
         it = it.filter(F.col("is_gift") != 1).select("order_id", "sn", "sale_quantity", "sub_total", "is_gift")
-        out = (it.join(self.products.select("sn", "cate_id"), "sn", "left")
-               .join(self.prod_cate, "cate_id", "left")
-               .join(self.channel, "sn", "left")
-               .withColumn("supplier", F.coalesce("supplier", F.lit(CHANNEL_SELF_OPERATED)))
-               .withColumn("method", F.coalesce("method", F.lit(CHANNEL_SELF_OPERATED))))
-        out = left_join_renamed(out, self.orders_window, "order_id", "id", how=how)
+        # the orders first, where the items lie by order id; then one lookup by sn
+        out = lookup(left_join_renamed(it, self.orders_window, "order_id", "id", how=how), self.sku, "sn") \
+            .withColumn("supplier", F.coalesce("supplier", F.lit(CHANNEL_SELF_OPERATED))) \
+            .withColumn("method", F.coalesce("method", F.lit(CHANNEL_SELF_OPERATED)))
         return out.select(
             "order_id", "sn", "sale_quantity", "sub_total", "is_gift", "cate_id", "cate1", "cate2", "cate3",
             "supplier", "method", "create_date", "username", "area_id", "original_amount", "order_status",
@@ -284,7 +331,7 @@ class Model:
         o = (o.withColumn("duration", duration)
              .withColumn("delivery_effect", effect)
              .withColumn("ship_status_simple", ship_status_simple("shipping_status")))
-        return o.join(self.area, "area_id", "left")
+        return lookup(o, self.area, "area_id")
 
     # ---- 30-day item detail (Q26) ------------------------------------------
     @cached_property
@@ -292,18 +339,15 @@ class Model:
         """top_ordered: 30-day items of confirmed/completed orders with
         product name, channel and city."""
         p = self.p
-        # left join + status filter keeps only items of cleaned orders, so the
-        # items need no separate semi-join with the order history: one join
-        it = self.items_all.select("create_date", "sn", "product_id", F.col("sale_quantity").alias("quantity"),
-                                   "sub_total", "order_id")
-        it = it.join(self.products.select("sn", "name"), "sn", "left")
-        it = in_window(it, "create_date", p.month_start, p.report_date)
-        it = left_join_renamed(it, self.orders.select("id", "order_status", "username", "area_id"), "order_id", "id")
-        it = it.filter(in_set("order_status", PAID_STATUSES))
-        it = it.join(self.channel.select("sn", "method"), "sn", "left")
-        it = it.join(self.area.drop("province"), "area_id", "left")
-        it = it.drop("product_id", "area_id", "order_status") \
-            .withColumn("method", F.coalesce("method", F.lit(CHANNEL_SELF_OPERATED)))
+        # the status filter keeps only items of cleaned orders, so the items need no separate semi-join with the
+        # order history; the orders get their city before they meet the items, which then move once, by sn
+        it = in_window(self.items_all, "create_date", p.month_start, p.report_date).select(
+            "create_date", "sn", F.col("sale_quantity").alias("quantity"), "sub_total", "order_id")
+        o = self.orders_of(it).filter(in_set("order_status", PAID_STATUSES)).select("id", "username", "area_id")
+        o = lookup(o, self.area.drop("province"), "area_id").drop("area_id")
+        it = left_join_renamed(it, o, "order_id", "id", how="inner")
+        it = lookup(lookup(it, self.products.select("sn", "name"), "sn"), self.channel.select("sn", "method"), "sn")
+        it = it.withColumn("method", F.coalesce("method", F.lit(CHANNEL_SELF_OPERATED)))
         return it.select("create_date", "sn", "quantity", "sub_total", "order_id", "name", "username", "method",
                          "city", "district")
 
@@ -335,19 +379,29 @@ class Model:
     def campaign_sales(self) -> DataFrame:
         """Campaign sales detail: every non-gift item of the window with
         product, category, channel, campaign flag, order and customer."""
-        o = (self.campaign_orders.filter(in_set("order_status", SOLD_STATUSES))
-             .select("id", "order_sn", "member_id", "create_date", "username", "area_id", "original_amount",
-                     "order_status")
-             .join(self.area_campaign, "area_id", "left")
-             .join(self.campaign_members.select("member_id", F.col("name").alias("name_y"), "shop_name", "address"),
-                   "member_id", "left"))
-        it = (self.campaign_items.filter(F.col("is_gift") != 1)
-              .select("order_id", "sn", "sale_quantity", "sub_total", "is_gift")
-              .join(self.products.select("sn", "cate_id", F.col("name").alias("name_x")), "sn", "left")
-              .join(self.prod_cate, "cate_id", "left")
-              .join(self.channel, "sn", "left"))
-        it = mark(it, self.raw.campaign_products, "sn", "campaign_prod", members_on="sn")
+        o = self.campaign_orders.filter(in_set("order_status", SOLD_STATUSES)).select(
+            "id", "order_sn", "member_id", "create_date", "username", "area_id", "original_amount", "order_status")
+        o = lookup(o, self.area_campaign, "area_id")
+        o = lookup(o, self.campaign_members.select("member_id", F.col("name").alias("name_y"), "shop_name", "address"), "member_id")
+        it = self.campaign_items.filter(F.col("is_gift") != 1).select("order_id", "sn", "sale_quantity", "sub_total")
+        it = left_join_renamed(it, o.drop("member_id", "area_id"), "order_id", "id")
+        it = lookup(it, self.products.select("sn", "cate_id", F.col("name").alias("name_x")), "sn")
+        it = lookup(lookup(it, self.prod_cate, "cate_id"), self.channel, "sn").drop("cate_id")
         it = (it.withColumn("supplier", F.coalesce("supplier", F.lit(CHANNEL_SELF_OPERATED)))
               .withColumn("method", F.coalesce("method", F.lit(CHANNEL_SELF_OPERATED))))
-        out = left_join_renamed(it, o, "order_id", "id")
-        return out.drop("member_id", "is_gift", "cate_id", "area_id")
+        return mark(it, self.campaign_products, "sn", "campaign_prod", members_on="sn")
+
+
+class Model:
+    """The frames of ``KeyedFrames`` (``keyed``) with text ids, by the same names."""
+
+    def __init__(self, raw, p: ReportParams, use_account_table: bool = True,
+                 snapshot: bool | str = True):
+        self.keyed = KeyedFrames(raw, p, use_account_table, snapshot)
+        self.raw, self.p, self.accounts = raw, p, self.keyed.accounts
+
+    def __getattr__(self, name: str):
+        if name == "keyed" or name.startswith("_"):
+            raise AttributeError(name)
+        value = getattr(self.keyed, name)
+        return text_ids(value) if isinstance(value, DataFrame) else value

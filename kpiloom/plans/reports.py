@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kpiloom.functions.keys import text_ids
 from kpiloom.functions.semantics import in_set, money, n_distinct, ratio, strict_sum, zero_fill
 from kpiloom.operators.aggregates import LEVEL_COL, cohort_counts, level_sets, repeat_rate
 from kpiloom.operators.grid import DateRange, densify, param_grid, values_frame
-from kpiloom.operators.relational import null_safe_left_join
+from kpiloom.operators.relational import lookup, mark, null_safe_left_join
 from kpiloom.operators.windows import peaks, top_n
 from kpiloom.params import (
     ALL_CITIES_LABEL, CAMPAIGN_DETAIL_HEADERS, CAMPAIGN_SUMMARY_HEADERS, CHANNEL_COLUMNS,
@@ -45,10 +46,10 @@ def new_login_cohort(m: Model) -> DataFrame:
     """First login per (city, member) from app logins and the recorded first
     login; members per (city, first day) inside the week window."""
     p = m.p
-    app_first = (m.app.groupBy("member_id").agg(F.min("login_date").alias("first_login_date"))
-                 .join(m.members.select("member_id", "area_id"), "member_id", "left"))
-    pc = m.members.select("member_id", "first_login_date", "area_id")
-    both = app_first.unionByName(pc).join(m.area, "area_id", "left").filter(F.col("city").isNotNull())
+    app_first = (m.keyed.app.groupBy("member_id").agg(F.min("login_date").alias("first_login_date"))
+                 .transform(lambda d: lookup(d, m.keyed.members.select("member_id", "area_id"), "member_id")))
+    pc = m.keyed.members.select("member_id", "first_login_date", "area_id")
+    both = lookup(app_first.unionByName(pc), m.keyed.area, "area_id").filter(F.col("city").isNotNull())
     out = cohort_counts(both, ["city"], "member_id", "first_login_date", out_date="date")
     return out.filter((F.col("date") > F.lit(p.week_start)) & (F.col("date") <= F.lit(p.report_date)))
 
@@ -59,9 +60,9 @@ def new_buyer_cohort(m: Model) -> DataFrame:
     first row is the earliest by (day, numeric id); its paid date may be NULL,
     and such buyers are not counted."""
     p = m.p
-    o = (m.orders.filter(in_set("order_status", PAID_STATUSES))
-         .select("id", "area_id", "username", "create_date", "paid_date")
-         .join(m.area, "area_id", "left").filter(F.col("city").isNotNull()))
+    o = lookup(m.keyed.orders.filter(in_set("order_status", PAID_STATUSES))
+               .select("id", "area_id", "username", "create_date", "paid_date"), m.keyed.area, "area_id")
+    o = o.filter(F.col("city").isNotNull())
     out = cohort_counts(o, ["city"], "username", "paid_date", order=ARRIVAL, out_date="date")
     return out.filter((F.col("date") > F.lit(p.week_start)) & (F.col("date") <= F.lit(p.report_date)))
 
@@ -94,7 +95,7 @@ LEVELS = ["city", "district"]
 
 def rollup_visits(m: Model) -> DataFrame:
     """Report-day visits (rows) and unique visitors per level."""
-    lg = m.login_days.filter(F.col("login_date") == F.lit(m.p.report_date))
+    lg = m.keyed.login_days.filter(F.col("login_date") == F.lit(m.p.report_date))
     return level_sets(lg, LEVELS, [F.sum("n").alias("total_visitors"),
                                    n_distinct("member_id").alias("unique_visitors")],
                       empty={"total_visitors": 0, "unique_visitors": 0})
@@ -102,7 +103,7 @@ def rollup_visits(m: Model) -> DataFrame:
 
 def rollup_orders(m: Model) -> DataFrame:
     """Report-day buyers, orders, amount and average ticket per level."""
-    o = m.order_days.filter(F.col("create_date") == F.lit(m.p.report_date))
+    o = m.keyed.order_days.filter(F.col("create_date") == F.lit(m.p.report_date))
     out = level_sets(o, LEVELS, [n_distinct("username").alias("people_count"),
                                  F.sum("n").alias("total_quant"),
                                  money(strict_sum("amount"), m.p.money_scale).alias("total_amount")],
@@ -112,7 +113,7 @@ def rollup_orders(m: Model) -> DataFrame:
 
 def rollup_weekly(m: Model) -> DataFrame:
     """7-day amount, average ticket and orders per day per level."""
-    o = m.order_days
+    o = m.keyed.order_days
     out = level_sets(o, LEVELS, [money(strict_sum("amount"), m.p.money_scale).alias("wkly_total_amount"),
                                  F.sum("n").alias("__n")],
                      empty={"wkly_total_amount": 0.0, "__n": 0})
@@ -138,19 +139,19 @@ def orders_day_and_week(m: Model) -> DataFrame:
         money(strict_sum("amount"), scale).alias("wkly_total_amount"),
         F.sum("n").alias("__n"),
     ]
-    out = level_sets(m.order_days, LEVELS, aggs)
+    out = level_sets(m.keyed.order_days, LEVELS, aggs)
     return (out.withColumn("daily_pct", ratio(F.col("total_amount"), F.col("total_quant")))
             .withColumn("wkly_pct", ratio(F.col("wkly_total_amount"), F.col("__n")))
             .withColumn("wkly_avg_quant", F.col("__n") / F.lit(float(m.p.week_days))).drop("__n"))
 
 
 def repeat_visit_rate(m: Model) -> DataFrame:
-    return repeat_rate(m.login_days, LEVELS, "username", "login_date",
+    return repeat_rate(m.keyed.login_days, LEVELS, "username", "login_date",
                        count_name="login_count", repeat_name="dup_login_count", rate_name="dup_login_rate")
 
 
 def repeat_order_rate(m: Model) -> DataFrame:
-    return repeat_rate(m.order_days, LEVELS, "username", "create_date",
+    return repeat_rate(m.keyed.order_days, LEVELS, "username", "create_date",
                        count_name="order_count", repeat_name="dup_order_count", rate_name="dup_order_rate")
 
 
@@ -183,7 +184,7 @@ def report_visits_orders(m: Model, with_level: bool = False) -> DataFrame:
 # table3: sales by channel and category on a city x day grid (Q17-Q20)
 # ---------------------------------------------------------------------------
 def _grid_sales(m: Model) -> DataFrame:
-    return m.sales_in_window.filter(in_set("city", m.p.cities)).withColumnRenamed("create_date", "date")
+    return m.keyed.sales_in_window.filter(in_set("city", m.p.cities)).withColumnRenamed("create_date", "date")
 
 
 def _strict_cell(cond, value: str, scale: int | None):
@@ -267,7 +268,7 @@ def _delivery_cells(m: Model, status: bool = True, channel: bool = True) -> Data
     if channel:
         ch = channel_of_delivery_method("delivery_method")
         cells += [F.count_if((st == "normal") & (ch == v)).alias(v) for v in DELIVERY_METHOD_LABELS]
-    agg = (m.delivery_orders.filter(in_set("city", m.p.cities))
+    agg = (m.keyed.delivery_orders.filter(in_set("city", m.p.cities))
            .groupBy("city", "delivery_effect").agg(*cells))
     grid = param_grid(s, city=list(m.p.cities), delivery_effect=_effects(m))
     cols = (list(SHIP_STATUS_LABELS) if status else []) + (list(DELIVERY_METHOD_LABELS) if channel else [])
@@ -296,14 +297,14 @@ def report_delivery(m: Model) -> DataFrame:
 # ---------------------------------------------------------------------------
 def month_sold(m: Model) -> DataFrame:
     """30-day cases per city x product name."""
-    return m.items_month.groupBy("city", "name").agg(
+    return m.keyed.items_month.groupBy("city", "name").agg(
         money(strict_sum("quantity"), m.p.quantity_scale).alias("monthly_quantity"))
 
 
 def top_products(m: Model, localized: bool = False) -> DataFrame:
     """Top products of the report day per city with their 30-day cases.
     Ties at the cut are broken by product name."""
-    today = m.items_today.groupBy("city", "name").agg(
+    today = m.keyed.items_today.groupBy("city", "name").agg(
         money(strict_sum("quantity"), m.p.quantity_scale).alias("today_quantity"))
     top = top_n(today, ["city"], [F.col("today_quantity").desc_nulls_last(), F.col("name").asc_nulls_last()],
                 m.p.top_n)
@@ -318,7 +319,7 @@ def _channel_distinct(m: Model, orders: bool = True, buyers: bool = True) -> Dat
     rows into columns."""
     from kpiloom.params import CHANNEL_COUNT_HEADERS as H
 
-    sd = m.sales_in_window.filter(in_set("city", m.p.cities))
+    sd = m.keyed.sales_in_window.filter(in_set("city", m.p.cities))
     aggs = ([n_distinct("order_id").alias("n_orders")] if orders else []) + \
         ([n_distinct("username").alias("n_buyers")] if buyers else [])
     long = sd.groupBy("city", "method").agg(*aggs)
@@ -355,13 +356,11 @@ def sell_through(m: Model, localized: bool = False) -> DataFrame:
     The sold flag is global per sn (sold anywhere today). Listed SKUs
     without a channel count as unified distribution here.
     """
-    from kpiloom.operators.relational import mark
-
-    listed = (m.contract.join(m.products.select("product_id", "sn"), "product_id", "left")
-              .join(m.area, "area_id", "left").select("city", "district", "sn")
-              .join(m.channel.select("sn", "method"), "sn", "left")
-              .withColumn("method", F.coalesce("method", F.lit(CHANNEL_UNIFIED))))
-    listed = mark(listed, m.items_today, "sn", "sold")
+    k = m.keyed
+    listed = lookup(lookup(k.contract, k.products.select("product_id", "sn"), "product_id"), k.area, "area_id")
+    listed = lookup(listed.select("city", "district", "sn"), k.channel.select("sn", "method"), "sn") \
+        .withColumn("method", F.coalesce("method", F.lit(CHANNEL_UNIFIED)))
+    listed = mark(listed, m.keyed.items_today, "sn", "sold")
     per_sn = listed.groupBy("city", "method", "sn").agg(F.max("sold").alias("sold"))
     out = (per_sn.groupBy("method", "city").agg(F.count(F.lit(1)).alias("marketable_sn_no"),
                                                  F.sum("sold").cast("bigint").alias("sold_sn_no"))
@@ -371,7 +370,7 @@ def sell_through(m: Model, localized: bool = False) -> DataFrame:
 
 def sold_sku_count(m: Model) -> DataFrame:
     """Distinct SKUs sold on the report day per city x channel."""
-    return m.items_today.groupBy("city", "method").agg(n_distinct("sn").alias("count"))
+    return m.keyed.items_today.groupBy("city", "method").agg(n_distinct("sn").alias("count"))
 
 
 # ---------------------------------------------------------------------------
@@ -384,13 +383,13 @@ CAMPAIGN_DETAIL_COLUMNS = ["order_id", "order_sn", "sn", "sale_quantity", "sub_t
 
 def campaign_detail(m: Model, localized: bool = False) -> DataFrame:
     """Items of campaign products with category, order and customer."""
-    out = m.campaign_sales.filter(F.col("campaign_prod") == 1).select(*CAMPAIGN_DETAIL_COLUMNS)
+    out = text_ids(m.keyed.campaign_sales.filter(F.col("campaign_prod") == 1).select(*CAMPAIGN_DETAIL_COLUMNS))
     return out.toDF(*CAMPAIGN_DETAIL_HEADERS) if localized else out
 
 
 def campaign_summary(m: Model, localized: bool = False) -> DataFrame:
     """Orders containing campaign goods and the campaign goods amount."""
-    out = m.campaign_sales.filter(F.col("campaign_prod") == 1).agg(
+    out = m.keyed.campaign_sales.filter(F.col("campaign_prod") == 1).agg(
         n_distinct("order_id").alias("no_order_it"),
         money(strict_sum("sub_total"), m.p.money_scale).alias("subtotal_it"))
     return out.toDF(*CAMPAIGN_SUMMARY_HEADERS) if localized else out
@@ -398,7 +397,7 @@ def campaign_summary(m: Model, localized: bool = False) -> DataFrame:
 
 def campaign_share(m: Model) -> DataFrame:
     """Campaign orders and amount as a share of all orders and amount."""
-    cs = m.campaign_sales
+    cs = m.keyed.campaign_sales
     it = F.col("campaign_prod") == 1
     scale = m.p.money_scale
     out = cs.agg(
