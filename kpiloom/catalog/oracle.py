@@ -854,5 +854,8 @@ FROM (SELECT
   (SELECT {money(ssum('sub_total'))} FROM camp_sales) AS subtotal_tt)""")
     # the sinks return what they wrote, read back
     o["sink_csv_report"] = o["report_delivery"]
-    o["sink_bundle"] = S(f"SELECT *, {q(sp.report_date)} AS report_date FROM ({_top(sp)})")
+    parts = {"top_products": _top(sp), "channel_counts": f"SELECT a.*, b.* EXCLUDE (city) FROM ({co}) a LEFT JOIN ({cb}) b ON a.city = b.city",
+             "sell_through": _sell_through(sp)}
+    o["sink_bundle"] = S(" UNION ALL BY NAME ".join(
+        f"SELECT *, {q(name)} AS report, {q(sp.report_date)} AS report_date FROM ({sql})" for name, sql in parts.items()))
     return o

@@ -456,15 +456,15 @@ def q_sink_csv_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_sink_bundle(spark: SparkSession, sf: str) -> DataFrame:
-    """Z2/Z3: supplement reports written as one dated bundle, read back."""
+    """Z2/Z3: three supplement reports written and committed as one dated bundle, all read back."""
     from kpiloom.sources.sinks import read_bundle, write_bundle
 
     m = sales_model(spark, sf)
     base = _sink_dir(spark, "bundle")
-    write_bundle({"top_products": R.top_products(m), "channel_counts": R.channel_counts(m),
-                  "sell_through": R.sell_through(m)}, base, m.p.report_date,
-                 small=("top_products", "channel_counts", "sell_through"))
-    return read_bundle(spark, base, "top_products")
+    frames = {"top_products": R.top_products(m), "channel_counts": R.channel_counts(m), "sell_through": R.sell_through(m)}
+    write_bundle(frames, base, m.p.report_date, small=tuple(frames))
+    back = [read_bundle(spark, base, name).withColumn("report", F.lit(name)) for name in frames]
+    return back[0].unionByName(back[1], allowMissingColumns=True).unionByName(back[2], allowMissingColumns=True)
 
 
 def q_report_visits_orders(m: Model) -> DataFrame:

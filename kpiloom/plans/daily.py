@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from kpiloom.params import ALL_CITIES_LABEL, NOT_AVAILABLE, TOTAL_CITY_LABEL, ReportParams
 from kpiloom.plans import reports as R
 from kpiloom.plans.facts import Model, run_snapshot_base
+from kpiloom.sources.bundles import Bundle
 
 SHARED_FACTS = ("orders_window", "logins_window", "sales_detail", "delivery_orders", "items_month",
                 "campaign_sales")
@@ -102,23 +103,30 @@ def report_order(name: str, df: DataFrame) -> list:
 
 
 def run_daily(raw, p: ReportParams, out_base: str, fmt: str = "parquet", localized: bool = False,
-              materialize: bool = True) -> dict[str, str]:
+              materialize: bool = True, state=None) -> dict[str, str]:
     """Compute and write every report of ``p.report_date`` under
-    ``out_base/<report>/report_date=<day>``; returns the written paths."""
-    from kpiloom.sources.sinks import write_bundle
+    ``out_base/<report>/report_date=<day>`` and commit them together; returns
+    the written paths. A run that dies leaves nothing that ``read_bundle`` sees.
 
+    ``state`` (``kpiloom.plans.state.FirstEvents``) replaces the scans of the
+    whole order and login history behind table1 by the stored first events,
+    which must have been advanced to the report date."""
     if not p.provinces or not p.cities:
         raise ValueError("set provinces and cities: without them every report is empty")
     if p.campaign_start is not None and not (p.for_campaign().provinces and p.for_campaign().cities):
         raise ValueError("set the campaign's provinces and cities: without them its reports are empty")
     m = Model(raw, p)
+    if state is not None:
+        state.use(m)
     if materialize:
         materialize_facts(m)
-    reports = daily_reports(m, localized)
-    campaign = {k: reports.pop(k) for k in list(reports) if k.startswith("campaign_")}
-    paths = write_bundle(reports, out_base, p.report_date, fmt=fmt, small=SMALL_REPORTS,
-                         order={k: report_order(k, df) for k, df in reports.items()},
-                         null_text={"table2_visits_orders": {"conv_rate": NOT_AVAILABLE}})
-    if campaign:   # stamped with the campaign's own last day
-        paths |= write_bundle(campaign, out_base, p.campaign_end or p.report_date, fmt=fmt, small=SMALL_REPORTS)
+    bundle = Bundle(m.raw.order.sparkSession, out_base, fmt)
+    paths = {}
+    for name, df in daily_reports(m, localized).items():
+        campaign = name.startswith("campaign_")   # stamped with the campaign's own last day
+        paths[name] = bundle.stage(
+            name, df, (p.campaign_end or p.report_date) if campaign else p.report_date, small=name in SMALL_REPORTS,
+            order=() if campaign else report_order(name, df),
+            null_text={"conv_rate": NOT_AVAILABLE} if name == "table2_visits_orders" else None)
+    bundle.commit()
     return paths

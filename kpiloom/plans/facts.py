@@ -22,6 +22,7 @@ from kpiloom.functions.semantics import (
     bucket, if_else, in_set, not_in_set, ship_status_simple,
     strict_sum,
 )
+from kpiloom.operators.aggregates import first_by
 from kpiloom.operators.relational import (
     Accounts, drop_suffix_users, in_window, keep_matching, left_join_renamed, lookup, mark,
 )
@@ -34,6 +35,10 @@ from kpiloom.plans.dims import area_dim, category_tree, channel_map
 from kpiloom.sources import ingest
 
 
+#: Order of arrival: the day, then the id as a number ("9" before "10").
+ARRIVAL = ("create_date", "try_cast(id as decimal(38, 0))", "id")
+
+
 def run_snapshot_base(spark, *run_key) -> str:
     """Snapshot folder of one run under the session's checkpoint directory,
     keyed by the application and ``run_key`` (e.g. source path, report date)."""
@@ -219,6 +224,22 @@ class KeyedFrames:
     def contract(self) -> DataFrame:
         return ingest.scan_contract_products(self.raw.contract_product)
 
+    # ---- first events (Q6, Q7) ---------------------------------------------
+    @cached_property
+    def app_first(self) -> DataFrame:
+        """First app login of each member over the whole log."""
+        return self.app.groupBy("member_id").agg(F.min("login_date").alias("first_login_date"))
+
+    def buyer_events(self, orders: DataFrame) -> DataFrame:
+        """Orders of ``orders`` that count for the first purchase of a (city, buyer): confirmed or completed, in a city."""
+        o = orders.filter(in_set("order_status", PAID_STATUSES)).select("id", "area_id", "username", "create_date", "paid_date")
+        return lookup(o, self.area, "area_id").filter(F.col("city").isNotNull()).select("city", "username", "id", "create_date", "paid_date")
+
+    @cached_property
+    def buyer_first(self) -> DataFrame:
+        """Paid date of the first order of each (city, buyer) over the whole history; it may be NULL."""
+        return first_by(self.buyer_events(self.orders), ["city", "username"], "paid_date", order=ARRIVAL)
+
     # ---- 7-day windows (Q9) -----------------------------------------------
     def _drop_x_district(self, df: DataFrame) -> DataFrame:
         p = self.p

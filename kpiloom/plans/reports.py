@@ -22,7 +22,7 @@ from kpiloom.params import (
     CHANNEL_SELF_DELIVERED, CHANNEL_SELF_OPERATED, CHANNEL_UNIFIED, CHANNELS, DELIVERY_METHOD_LABELS,
     PAID_STATUSES, SELL_THROUGH_HEADERS, SHIP_STATUS_LABELS, TOP_PRODUCTS_HEADERS, TOTAL_CITY_LABEL,
 )
-from kpiloom.plans.facts import Model
+from kpiloom.plans.facts import ARRIVAL, Model  # noqa: F401 - ARRIVAL is used with these reports
 
 
 def _spark(m: Model) -> SparkSession:
@@ -38,16 +38,11 @@ def _grid_city_date(m: Model, date: str = "date") -> DataFrame:
 # ---------------------------------------------------------------------------
 # table1: new logins and new buyers per city and day (Q6-Q8)
 # ---------------------------------------------------------------------------
-#: Order of arrival: the day, then the id as a number ("9" before "10").
-ARRIVAL = ("create_date", "try_cast(id as decimal(38, 0))", "id")
-
-
 def new_login_cohort(m: Model) -> DataFrame:
     """First login per (city, member) from app logins and the recorded first
     login; members per (city, first day) inside the week window."""
     p = m.p
-    app_first = (m.keyed.app.groupBy("member_id").agg(F.min("login_date").alias("first_login_date"))
-                 .transform(lambda d: lookup(d, m.keyed.members.select("member_id", "area_id"), "member_id")))
+    app_first = lookup(m.keyed.app_first, m.keyed.members.select("member_id", "area_id"), "member_id")
     pc = m.keyed.members.select("member_id", "first_login_date", "area_id")
     both = lookup(app_first.unionByName(pc), m.keyed.area, "area_id").filter(F.col("city").isNotNull())
     out = cohort_counts(both, ["city"], "member_id", "first_login_date", out_date="date")
@@ -60,10 +55,7 @@ def new_buyer_cohort(m: Model) -> DataFrame:
     first row is the earliest by (day, numeric id); its paid date may be NULL,
     and such buyers are not counted."""
     p = m.p
-    o = lookup(m.keyed.orders.filter(in_set("order_status", PAID_STATUSES))
-               .select("id", "area_id", "username", "create_date", "paid_date"), m.keyed.area, "area_id")
-    o = o.filter(F.col("city").isNotNull())
-    out = cohort_counts(o, ["city"], "username", "paid_date", order=ARRIVAL, out_date="date")
+    out = m.keyed.buyer_first.groupBy("city", F.col("paid_date").alias("date")).agg(F.count(F.lit(1)).alias("count"))
     return out.filter((F.col("date") > F.lit(p.week_start)) & (F.col("date") <= F.lit(p.report_date)))
 
 

@@ -1,22 +1,12 @@
-"""Report sinks: CSV reports and a dated multi-report bundle."""
+"""Report sinks: CSV reports and dated multi-report bundles."""
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-def _one_file(df: DataFrame, order=()) -> DataFrame:
-    """The finished rows in one partition, sorted by ``order`` (the stages before stay parallel)."""
-    out = df.repartition(1)
-    return out.sortWithinPartitions(*order) if order else out
 
-
-def _null_texts(df: DataFrame, texts: dict[str, str] | None) -> DataFrame:
-    """Columns of ``texts`` as text, their NULLs as the given text (for CSV only)."""
-    return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(t)) for c, t in (texts or {}).items()})
+from kpiloom.sources.bundles import (  # noqa: F401 - the bundle's names are part of this module
+    Bundle, _null_texts, _one_file, clean_bundle, committed, read_bundle, stamp, write_bundle,
+)
 
 
 def csv_report(df: DataFrame, path: str, single_file: bool = False, null_value: str = "NA",
@@ -31,45 +21,3 @@ def csv_report(df: DataFrame, path: str, single_file: bool = False, null_value:
     out = _one_file(df, order) if single_file else df
     (out.write.mode(mode).option("header", True).option("nullValue", null_value)
      .option("emptyValue", "").csv(path))
-
-
-def write_bundle(frames: dict[str, DataFrame], base: str, report_date: dt.date, fmt: str = "parquet",
-                 small: tuple[str, ...] = (), order: dict | None = None,
-                 null_text: dict[str, dict[str, str]] | None = None) -> dict[str, str]:
-    """Write each report as its own dataset under
-    ``{base}/{name}/report_date=YYYY-MM-DD`` (overwrite of that day only).
-
-    Replaces the spreadsheet with several blocks: every block is a dataset
-    readable by Spark or any Parquet/CSV tool. ``small`` names reports that
-    are written as a single file (their finished rows are moved, the stages
-    before stay parallel), sorted by their expressions in ``order``.
-    ``null_text`` names, per report, the CSV text of NULL in a column.
-    """
-    paths = {}
-    for name, df in frames.items():
-        path = f"{base}/{name}/report_date={report_date.isoformat()}"
-        if fmt == "csv":
-            df = _null_texts(df, (null_text or {}).get(name))
-        out = _one_file(df, (order or {}).get(name, ())) if name in small else df
-        w = out.write.mode("overwrite")
-        if fmt == "csv":
-            w.option("header", True).option("nullValue", "NA").csv(path)   # empty text is quoted, so it reads back
-        else:
-            w.parquet(path)
-        paths[name] = path
-    return paths
-
-
-def read_bundle(spark, base: str, name: str, fmt: str = "parquet", schema=None) -> DataFrame:
-    """Read back one report of a bundle (all days; ``report_date`` is a
-    partition column, so a filter on it prunes directories). CSV needs the
-    report's ``schema`` for its types; ``NA`` is read as NULL."""
-    if fmt == "csv":
-        reader = spark.read.option("header", True).option("nullValue", "NA")
-        return (reader.schema(schema) if schema is not None else reader).csv(f"{base}/{name}")
-    return spark.read.parquet(f"{base}/{name}")
-
-
-def stamp(prefix: str, day: dt.date, ext: str = "") -> str:
-    """Date-stamped output name, e.g. ``report_2024-01-30.xlsx``."""
-    return f"{prefix}{day.isoformat()}{ext}"
