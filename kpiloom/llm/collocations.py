@@ -20,19 +20,22 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_rows
+from .common import Scratch, map_rows, ship_package, small_batches
 
 UNKNOWN = "und"
 #: Least frequency and most words of a phrase, and phrases returned for each language.
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 #: Parts that a stripe is dealt in by its next word: the empty prefix has a vocabulary of them, hot words have many.
 SHARDS_FIRST, SHARDS = 1024, 8
-#: Bytes of text that are counted together, and counter entries and words that a task holds before it hands them on.
-CHUNK_BYTES, HELD_ENTRIES, HELD_WORDS = 8_000_000, 400_000, 400_000
+#: Characters of text that are counted together, and counter entries and words that a task holds before it hands them on.
+CHUNK_CHARS, HELD_ENTRIES, HELD_WORDS = 8_000_000, 2_000_000, 1_000_000
+#: Counter entries of one Arrow batch.
+BATCH_ENTRIES = 200_000
 #: Bits of the filter: 16 a frequent phrase, but between these powers of two (32 MB at most).
 LEAST_BITS, MOST_BITS = 16, 28
 
@@ -55,10 +58,10 @@ find_separator = re.compile("[" + SEPARATORS.decode() + "]").search
 
 
 def portions(text: str) -> Iterator[str]:
-    """A text in parts of about ``CHUNK_BYTES`` characters, cut behind separators, where no phrase crosses."""
+    """A text in parts of about ``CHUNK_CHARS`` characters, cut behind separators, where no phrase crosses."""
     start = 0
-    while len(text) - start > CHUNK_BYTES:
-        found = find_separator(text, start + CHUNK_BYTES)
+    while len(text) - start > CHUNK_CHARS:
+        found = find_separator(text, start + CHUNK_CHARS)
         if found is None:
             break
         yield text[start:found.end()]
@@ -107,12 +110,11 @@ class Words(dict):
 
     def __init__(self):
         super().__init__({BREAK: 0})
-        self.names, self.hashes = [BREAK], [0]
+        self.names = [BREAK]
 
     def __missing__(self, word: bytes) -> int:
         self[word] = at = len(self.names)
         self.names.append(word)
-        self.hashes.append(xxhash.xxh64_intdigest(word))
         return at
 
     def numbers(self, texts: list[str]) -> np.ndarray:
@@ -121,28 +123,35 @@ class Words(dict):
         return np.fromiter(map(self.__getitem__, spaced), np.int64, len(spaced))
 
 
-def distinct_phrases(ids: np.ndarray, at: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """One row of word numbers for each distinct phrase that starts at ``at``, and its count.
+def added_up(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of word numbers, sorted, and the sums of their counts.
 
-    Phrases are numbered word by word, so nothing is told by a hash.
+    Rows are numbered column by column, so nothing is told by a hash.
     """
-    number, first, counts = ids[at], at, np.ones(len(at), np.int64)
-    for k in range(1, n_words):
-        key = number << 32 | ids[at + k]
-        found, first, number, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        first = at[first]
-    return ids[first[:, None] + np.arange(n_words)], counts
+    number = rows[:, 0]
+    for k in range(1, rows.shape[1]):
+        key = number << 32 | rows[:, k]
+        found, first, number = np.unique(key, return_index=True, return_inverse=True)
+    if rows.shape[1] == 1:
+        found, first, number = np.unique(number, return_index=True, return_inverse=True)
+    total = np.zeros(len(found), np.int64)
+    np.add.at(total, number, counts)
+    return rows[first], total
 
 
 class Stripes:
-    """Counters of next words by (language, prefix) that a task has collected, of bounded size."""
+    """Counters of next words by (language, prefix) that a task has collected, of bounded size.
+
+    An entry is a row of word numbers (the prefix, then the next word) with its
+    count; entries of chunks are held side by side and added up when they are many.
+    """
 
     def __init__(self, n_words: int, known: Filter | None):
         self.n_words, self.known = n_words, known
         self._clear()
 
     def _clear(self) -> None:
-        self.words, self.held, self.entries = Words(), {}, 0
+        self.words, self.hashes, self.held, self.entries = Words(), np.zeros(1, np.uint64), {}, 0
 
     def add(self, lang: str, texts: list[str]) -> None:
         ids, k = self.words.numbers(texts), self.n_words
@@ -152,58 +161,83 @@ class Stripes:
             rows, counts = found[:, None], counts[found]
         else:
             at = self._candidates(lang, ids)
-            if not len(at):
-                return
-            rows, counts = distinct_phrases(ids, at, k)
-        held = self.held.setdefault(lang, {})
-        for *prefix, word, n in np.column_stack([rows, counts]).tolist():
-            stripe = held.setdefault(tuple(prefix), {})
-            if word in stripe:
-                stripe[word] += n
-            else:
-                stripe[word] = n
-                self.entries += 1
+            rows = ids[at[:, None] + np.arange(k)]
+            rows, counts = added_up(rows, np.ones(len(rows), np.int64)) if len(rows) else (rows, np.empty(0, np.int64))
+        if len(rows):
+            self.held.setdefault(lang, []).append((rows, counts))
+            self.entries += len(rows)
 
     def _candidates(self, lang: str, ids: np.ndarray) -> np.ndarray:
         """Places of phrases within a piece whose two parts of one word less pass the filter."""
         k, n = self.n_words, len(ids)
         if n < k:
             return np.empty(0, np.int64)
-        word = np.array(self.words.hashes, np.uint64)[ids]
-        h = grown(np.full(n, seed_of(lang), np.uint64), word)
+        new = self.words.names[len(self.hashes):]
+        self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))])
+        # the filter is asked once a word for prefixes of one word, else once a place
+        word = self.hashes[ids]
         inside = ids > 0
-        for i in range(1, k - 1):
-            h = grown(h[:-1], word[i:])
-            inside = inside[:-1] & (ids[i:] > 0)
-        at = np.flatnonzero(inside)
-        good = np.zeros(len(h), bool)
-        good[at[self.known.holds(h[at])]] = True
+        if k == 2:
+            passed = self.known.holds(grown(np.full(len(self.hashes), seed_of(lang), np.uint64), self.hashes))
+            good = passed[ids] & inside
+        else:
+            h = grown(np.full(n, seed_of(lang), np.uint64), word)
+            for i in range(1, k - 1):
+                h = grown(h[:-1], word[i:])
+                inside = inside[:-1] & (ids[i:] > 0)
+            at = np.flatnonzero(inside)
+            good = np.zeros(len(h), bool)
+            good[at[self.known.holds(h[at])]] = True
         return np.flatnonzero(good[:-1] & good[1:])
 
     def full(self) -> bool:
-        return self.entries > HELD_ENTRIES or len(self.words) > HELD_WORDS
+        """True when entries or words are many, even after equal entries have been added up."""
+        if self.entries > HELD_ENTRIES:
+            self._add_up()
+        return self.entries > HELD_ENTRIES // 2 or len(self.words) > HELD_WORDS
+
+    def _add_up(self) -> None:
+        for lang, parts in self.held.items():
+            self.held[lang] = [added_up(np.concatenate([r for r, _ in parts]), np.concatenate([c for _, c in parts]))]
+        self.entries = sum(len(r) for parts in self.held.values() for r, _ in parts)
 
     def hand_on(self):
-        """Rows (lang, prefix, shard, nexts, counts), a stripe in parts; empties the counters."""
+        """Record batches (lang, prefix, shard, nexts, counts), a stripe in parts; empties the counters."""
+        self._add_up()
         shards = SHARDS_FIRST if self.n_words == 1 else SHARDS
-        name = [w.decode() for w in self.words.names[1:]]
-        shard = [zlib.crc32(w) % shards for w in self.words.names[1:]]
-        for lang, held in self.held.items():
-            for prefix, stripe in held.items():
-                parts: dict[int, tuple[list, list]] = {}
-                for word, n in stripe.items():
-                    nexts, counts = parts.setdefault(shard[word - 1], ([], []))
-                    nexts.append(name[word - 1])
-                    counts.append(n)
-                text = " ".join([name[w - 1] for w in prefix])
-                for s, (nexts, counts) in parts.items():
-                    yield lang, text, s, nexts, counts
+        raw = self.words.names
+        shard = np.fromiter((zlib.crc32(w) % shards for w in raw), np.int64, len(raw))
+        names = pa.array([b"", *raw[1:]], pa.binary()).cast(pa.string())
+        for lang, [(rows, counts)] in self.held.items():
+            prefixes, number = np.unique(rows[:, :-1], axis=0, return_inverse=True) if self.n_words > 1 else \
+                (np.empty((1, 0), np.int64), np.zeros(len(rows), np.int64))
+            number = number.reshape(-1)
+            texts = pa.array([" ".join([raw[w].decode() for w in p]) for p in prefixes.tolist()], pa.string())
+            order = np.lexsort((shard[rows[:, -1]], number))
+            key = number[order] * shards + shard[rows[order, -1]]
+            starts = np.flatnonzero(np.diff(key, prepend=-1))
+            ends = np.append(starts[1:], len(key))
+            first = 0
+            while first < len(starts):  # whole parts of stripes, about BATCH_ENTRIES entries a batch
+                last = max(first + 1, int(np.searchsorted(ends, starts[first] + BATCH_ENTRIES, "right")))
+                lo, hi = starts[first], ends[last - 1]
+                offsets = np.append(starts[first:last], hi).astype(np.int32) - np.int32(lo)
+                at = order[lo:hi]
+                head = order[starts[first:last]]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([lang] * (last - first), pa.string()), texts.take(pa.array(number[head])), pa.array(shard[rows[head, -1]], pa.int32()),
+                    pa.ListArray.from_arrays(offsets, names.take(pa.array(rows[at, -1]))), pa.ListArray.from_arrays(offsets, pa.array(counts[at]))],
+                    names=["lang", "prefix", "shard", "nexts", "counts"])
+                first = last
         self._clear()
 
 
 def _count(docs: DataFrame, n_words: int, known) -> DataFrame:
-    """Stripes of each task's texts."""
-    def run(source):
+    """Stripes of each task's texts (text, lang)."""
+    ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
+
+    def run(batches):
         stripes = Stripes(n_words, known.value if known is not None else None)
         waiting: dict[str, list] = {}
         size = 0
@@ -215,49 +249,31 @@ def _count(docs: DataFrame, n_words: int, known) -> DataFrame:
                     yield from stripes.hand_on()
             waiting.clear()
 
-        for text, lang in source:
-            for part in portions(text or ""):
-                waiting.setdefault(lang, []).append(part)
-                size += len(part)
-                if size >= CHUNK_BYTES:
-                    yield from count()
-                    size = 0
+        for batch in batches:
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for part in portions(text or ""):
+                    waiting.setdefault(lang, []).append(part)
+                    size += len(part)
+                    if size >= CHUNK_CHARS:
+                        yield from count()
+                        size = 0
         yield from count()
         yield from stripes.hand_on()
 
-    return map_rows(docs, run, "lang string, prefix string, shard int, nexts array<string>, counts array<long>", flush=2000)
+    return docs.select("text", "lang").mapInArrow(run, "lang string, prefix string, shard int, nexts array<string>, counts array<long>")
 
 
-def _merge(stripes: DataFrame, n_words: int, min_count: int) -> DataFrame:
-    """Stripes added up elementwise: rows (lang, phrase, f, hash) of frequent phrases.
+def _merge(stripes: DataFrame) -> DataFrame:
+    """Stripes added up elementwise: rows (lang, phrase, f).
 
-    The parts of one stripe come as a stream, sorted by key, and are added as
-    they come; one part of one stripe is held at a time. For single words a row
-    with a null phrase holds the words of one part.
+    The parts of one stripe meet by (lang, prefix, shard) and are added word by
+    word in the same task, which spills if a stripe is large; no part is held whole.
     """
-    def told(lang, prefix, total):
-        if n_words == 1:
-            yield lang, None, sum(total.values()), None
-        for word, f in total.items():
-            if f >= min_count:
-                words = [*prefix.split(" "), word] if prefix else [word]
-                yield lang, " ".join(words), f, phrase_hash(lang, words)
-
-    def run(source):
-        at, total = None, {}
-        for lang, prefix, shard, nexts, counts in source:
-            if (lang, prefix, shard) != at:
-                if at is not None:
-                    yield from told(at[0], at[1], total)
-                at, total = (lang, prefix, shard), dict(zip(nexts, counts, strict=True))
-                continue
-            for word, n in zip(nexts, counts, strict=True):
-                total[word] = total.get(word, 0) + n
-        if at is not None:
-            yield from told(at[0], at[1], total)
-
     keys = ["lang", "prefix", "shard"]
-    return map_rows(stripes.repartition(*keys).sortWithinPartitions(*keys), run, "lang string, phrase string, f long, hash long", flush=5000)
+    entries = stripes.repartition(*keys).select(*keys, F.explode(F.arrays_zip("nexts", "counts")).alias("e"))
+    total = entries.groupBy(*keys, F.col("e.nexts").alias("next")).agg(F.sum("e.counts").alias("f"))
+    phrase = F.when(F.col("prefix") == "", F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next"))
+    return total.select("lang", phrase.alias("phrase"), "f")
 
 
 def _filter(frequent: DataFrame) -> Filter | None:
@@ -266,8 +282,9 @@ def _filter(frequent: DataFrame) -> Filter | None:
     if not n:
         return None
     power = min(max((16 * n - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    hashed = map_rows(frequent.select("lang", "phrase"), lambda rows: ((phrase_hash(lang, p.split(" ")),) for lang, p in rows), "hash long", flush=5000)
     first, second = (x.bitwiseAND((1 << power) - 1) for x in (F.col("hash"), F.shiftrightunsigned("hash", 36)))
-    words = frequent.select(F.explode(F.array(first, second)).alias("bit")) \
+    words = hashed.select(F.explode(F.array(first, second)).alias("bit")) \
         .groupBy(F.shiftright("bit", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 as int)))").alias("bits")).toPandas()
     bits = np.zeros(1 << power - 5, "<u4")
     bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype("<u4")
@@ -281,10 +298,11 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, min_count: int = MIN_COUNT,
     texts = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"))
     known, counted, totals = None, [], None
     for k in range(1, max_words + 1):
-        merged = scratch.put(_merge(_count(texts, k, known), k, min_count), f"words{k}")
+        merged = _merge(_count(texts, k, known))
         if k == 1:
-            totals = merged.where("phrase is null").groupBy("lang").agg(F.sum("f").alias("n"))
-        frequent = merged.where("phrase is not null")
+            merged = scratch.put(merged, "vocabulary")
+            totals = merged.groupBy("lang").agg(F.sum("f").alias("n"))
+        frequent = scratch.put(merged.where(F.col("f") >= min_count), f"words{k}")
         counted.append(frequent.select("lang", F.lit(k).alias("n_words"), "phrase", "f"))
         if known is not None:
             known.destroy()
@@ -313,7 +331,7 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = M
     repeated rows count each time; the ids play no part; other columns are
     ignored, whatever their names; an empty table gives an empty result. Ties
     in score and a go by the phrase's bytes. Whole texts of any length are
-    counted; a task holds about ``CHUNK_BYTES`` of them, or one longer piece.
+    counted; a task holds about ``CHUNK_CHARS`` of them, or one longer piece.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "collocations")

@@ -77,19 +77,24 @@ def test_bounds_on_what_a_task_holds_change_nothing(spark, monkeypatch):
     want = plain(rows, 8)
     import kpiloom.llm.collocations as module
 
-    stripes = module.Stripes(1, None)  # small bounds: many chunks and hand-ons in one process
-    monkeypatch.setattr(module, "CHUNK_BYTES", 200)
+    stripes = module.Stripes(1, None)  # small bounds: many chunks, hand-ons and batches in one process
+    monkeypatch.setattr(module, "CHUNK_CHARS", 200)
     monkeypatch.setattr(module, "HELD_ENTRIES", 5)
+    monkeypatch.setattr(module, "BATCH_ENTRIES", 3)
     got = Counter()
+
+    def take(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                assert r["prefix"] == "" and len(r["nexts"]) == len(r["counts"]) > 0
+                got.update({(r["lang"], w): n for w, n in zip(r["nexts"], r["counts"])})
+
     for text, lang in rows:
         for part in module.portions(text or ""):
             stripes.add(lang or "und", [part])
             if stripes.full():
-                for one, _, _, nexts, counts in stripes.hand_on():
-                    got.update({(one, w): n for w, n in zip(nexts, counts)})
-    for one, _, _, nexts, counts in stripes.hand_on():
-        for w, n in zip(nexts, counts):
-            got[one, w] += n
+                take(stripes.hand_on())
+    take(stripes.hand_on())
     sums = Counter()
     for (lang, _), n in got.items():
         sums[lang] += n
@@ -124,9 +129,22 @@ def test_empty_and_short_tables(spark):
     assert told(C.collocations(frame(spark, [(None, None), ("one two", "en")]))) == []
 
 
+def test_rows_add_up():
+    rng = np.random.default_rng(1)
+    rows = rng.integers(1, 4, (500, 3))
+    n = rng.integers(1, 9, 500)
+    want = Counter()
+    for r, c in zip(rows.tolist(), n.tolist()):
+        want[tuple(r)] += c
+    got, total = C.added_up(rows, n)
+    assert dict(zip(map(tuple, got.tolist()), total.tolist())) == want
+    one, total = C.added_up(rows[:, :1], n)
+    assert one[:, 0].tolist() == [1, 2, 3] and total.sum() == n.sum()
+
+
 def test_filter_passes_all_it_holds(spark):
     words = [f"w{i}" for i in range(3000)]
-    df = spark.createDataFrame([("en", C.phrase_hash("en", [w])) for w in words], "lang string, hash long")
+    df = spark.createDataFrame([("en", w) for w in words], "lang string, phrase string")
     f = C._filter(df)
     h = np.array([C.phrase_hash("en", [w]) for w in words], np.int64).view(np.uint64)
     assert f.holds(h).all()
