@@ -188,8 +188,8 @@ def fit(docs: DataFrame, per_class: int = PER_CLASS) -> LangModel:
     return LangModel(langs, idf, weights, bias, t)
 
 
-def predict(docs: DataFrame, model: LangModel, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of every row with ``lang_pred`` and ``score`` (calibrated, 0 to 1) from its text alone.
+def predict(docs: DataFrame, model: LangModel, keep: list[str], lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """Columns ``keep`` of every row with ``lang_pred`` and ``score`` (calibrated, 0 to 1; or by other names) from its text alone.
 
     Null texts, texts without letters and a model without languages give
     ``und`` and 0. No shuffle.
@@ -204,7 +204,7 @@ def predict(docs: DataFrame, model: LangModel, keep: list[str]) -> DataFrame:
     schema = docs.select(*keep).schema
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     text = F.col("text").alias("__text")
-    return map_rows(docs.select(*keep, text), rows, f"{head}, lang_pred string, score double")
+    return map_rows(docs.select(*keep, text), rows, f"{head}, `{lang_name}` string, `{score_name}` double")
 
 
 def identify(docs: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
@@ -229,8 +229,8 @@ def accept(docs: DataFrame, over_chance: float = 1.05, per_class: int = PER_CLAS
     """
     model = fit(docs, per_class)
     keep, kinds = docs.columns, len(model.langs)
-    told = predict(docs, model, keep)
     if not kinds:
         return docs.where(F.col("text").rlike(r"\p{L}"))
+    told = predict(docs, model, keep, "__lang_pred", "__score")
     least = over_chance / kinds if kinds > 1 else 0.0
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*keep)
+    return told.where((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= least)).select(*keep)

@@ -25,15 +25,15 @@ FROM s GROUP BY conv_id, speaker, part
 URLS = r"""
 WITH c AS (
   SELECT DISTINCT page_id, url, DATE '2024-01-01' + CAST(page_id * 37 % 365 AS INTEGER) AS fetched,
-         nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '\.$', ''), '') AS host
+         nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9a-f:.]+\]|[^/:?#]+)', 1), '\.$', ''), '') AS host
   FROM pages),
 k AS (
-  SELECT c.*, unnest(CASE WHEN host IS NULL THEN [NULL] WHEN length(host) > 253 OR instr(host, '.') = 0 THEN [host]
+  SELECT c.*, unnest(CASE WHEN host IS NULL THEN [NULL] WHEN length(host) > 253 OR instr(host, '.') = 0 OR host LIKE '[%' THEN [host]
     ELSE list_transform(range(1, len(string_split(host, '.'))), lambda i: array_to_string(string_split(host, '.')[i:], '.')) END) AS key
   FROM c),
 e AS (
   SELECT key, CAST('0x' || substr(md5(key), 1, 6) AS INTEGER) AS h FROM (SELECT DISTINCT key FROM k WHERE key IS NOT NULL)
-  WHERE length(key) - length(replace(key, '.', '')) > 1),
+  WHERE instr(key, '.') > 0),
 l AS (
   SELECT key, ['adult', 'malware', 'spam'][h % 3 + 1] AS category, unnest(list_filter([
       {'f': h % 200, 't': CASE WHEN h % 4 < 2 THEN h % 200 + 30 + h % 97 END},

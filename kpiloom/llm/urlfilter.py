@@ -16,19 +16,19 @@ HOST_CHARS = 253
 
 
 def host(url: Column) -> Column:
-    """Lower-case host of an absolute URL without port, user and last dot; null if there is none."""
-    found = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)
+    """Lower-case host of an absolute URL without port, user and last dot; null if there is none. IPv6 hosts keep their brackets."""
+    found = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9a-f:.]+\]|[^/:?#]+)", 1)
     plain = F.regexp_replace(found, r"\.$", "")
     return F.when(plain != "", plain)
 
 
 def lookup_keys(name: Column) -> Column:
-    """A host and its parent domains of two labels at least."""
+    """A host and its parent domains of two labels at least; an IPv6 host has none."""
     parts = F.split(name, r"\.")
     n = F.size(parts)
     parents = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
                           lambda i: F.array_join(F.slice(parts, i, n), "."))
-    return F.when((F.length(name) <= HOST_CHARS) & (n > 1), parents).otherwise(F.array(name))
+    return F.when((F.length(name) <= HOST_CHARS) & (n > 1) & ~name.startswith("["), parents).otherwise(F.array(name))
 
 
 def intervals(events: DataFrame) -> DataFrame:

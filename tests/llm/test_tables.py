@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from kpiloom.llm import chat, mixing, urlfilter
+from kpiloom.llm import chat, mixing, queries, urlfilter
 from kpiloom.llm.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +77,17 @@ def test_raked_shares_meet_the_targets(spark, docs_of):
     drawn = {r.doc_id for r in rows if r.sampled}
     assert {r.doc_id for r in mixing.sample(docs).collect()} == drawn and mixing.sample(docs).columns == docs.columns
     assert mixing.mix(docs.where("false")).count() == 0 and mixing.sample(docs.where("false")).count() == 0
+
+
+def test_hosts_and_their_keys(spark):
+    urls = ["http://[2001:DB8::1]:80/p", "https://user@[::1]/", "http://a.example.com:8080/x", "http://example.com./", "http://localhost/", "no url", None]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string")
+    got = {r.i: (r.h, r.k) for r in df.select("i", urlfilter.host(df.url).alias("h"), urlfilter.lookup_keys(urlfilter.host(df.url)).alias("k")).collect()}
+    assert got[0] == ("[2001:db8::1]", ["[2001:db8::1]"]) and got[1][0] == "[::1]"
+    assert got[2] == ("a.example.com", ["a.example.com", "example.com"]) and got[3] == ("example.com", ["example.com"])
+    assert got[4] == ("localhost", ["localhost"]) and got[5][0] is None and got[6][0] is None
+
+
+def test_parent_domains_are_listed(spark):
+    listed = {r.key for r in queries.list_events(spark, "/root/testdata/sf0.001").select("key").distinct().collect()}
+    assert listed and any(k.count(".") == 1 for k in listed)

@@ -203,3 +203,11 @@ def test_fingerprints_of_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a b c")] * 3 + [(2, "d e f")], "doc_id long, text string")
     got = sorted((r.doc_id, r.edited) for r in fingerprint.fingerprints(docs).collect())
     assert got == [(1, "a ba "), (1, "a ba "), (1, "a bd "), (2, "d ea ")]
+
+
+def test_accept_with_columns_named_like_its_own(spark):
+    docs, rows = language_docs(spark)
+    clash = docs.selectExpr("*", "'s' AS score", "1 AS lang_pred")
+    kept = langid.accept(clash)
+    assert kept.columns == clash.columns and kept.count() == len(rows)
+    assert {tuple(r) for r in kept.select("score", "lang_pred").distinct().collect()} == {("s", 1)}
