@@ -96,13 +96,16 @@ def next_path(path: int, low: np.ndarray) -> int:
     return int(mix(chosen ^ token).astype(np.int64)[0])
 
 
-def leaf_edges(rows: list[tuple], threshold: float) -> list[tuple[int, int]]:
-    """Star edges between nodes of a bucket (block pair) that pass the sketch and size tests."""
+def leaf_edges(rows: list[tuple], threshold: float, first: int | None = None) -> list[tuple[int, int]]:
+    """Star edges between nodes of a bucket (block pair) that pass the sketch and size tests.
+
+    With ``first``, only the pairs of the first so many rows with all rows are tested.
+    """
     node = [r[0] for r in rows]
     low = np.stack([np.frombuffer(r[2], "<u4") for r in rows])
     size = np.array([r[1] for r in rows], np.float64)
     together = np.zeros((len(rows), len(rows)), bool)
-    for i in range(len(rows) - 1):
+    for i in range(min(len(rows) - 1, len(rows) if first is None else first)):
         same = (low[i + 1:] == low[i]).sum(axis=1) >= PASS
         if same.any():
             a, b = size[i], size[i + 1:]
@@ -188,30 +191,7 @@ def _told(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, rec
         F.first("node").alias("node"), first.alias("first"), F.count("*").alias("n"), F.first("n_shingles").alias("size"),
         F.first("low").alias("low"), F.first("paths").alias("paths")).select("*", F.col("first.doc_id").alias("rep")), "nodes")
 
-    # chosen paths: rows (path, node); buckets of one node are done
-    level = nodes.select("node", F.explode("paths").alias("path"))
-    edges = None
-    for depth in range(1, DEPTH + 1):
-        n = level.groupBy(F.col("path").alias("p")).agg(F.count("*").alias("count")).where("count > 1")
-        level = scratch.put(level.join(n, F.col("path") == F.col("p")).select("path", "node", "count"), f"level{depth}")
-        last = depth == DEPTH
-        leaf = level if last else level.where(F.col("count") <= LEAF)
-        found = _compare_leaves(leaf, nodes, threshold)
-        edges = found if edges is None else edges.unionByName(found)
-        if last:
-            break
-        deeper = level.where(F.col("count") > LEAF)
-        if not deeper.take(1):
-            break
-
-        def descend(source):
-            for path, node, low in source:
-                yield next_path(path, np.frombuffer(low, "<u4")), node
-
-        below = nodes.select(F.col("node").alias("r"), "low")
-        level = map_rows(deeper.join(below, F.col("node") == F.col("r")).select("path", "node", "low"), descend, "path long, node long")
-    edges = scratch.put(edges, "edges")
-    near = scratch.put(components(edges, scratch, "near"), "near-classes")
+    near = scratch.put(components(_near_edges(nodes, threshold, scratch), scratch, "near"), "near-classes")
 
     links, pairs = _verify(docs, nodes, near, threshold, words, scratch)
     classes = scratch.put(components(pairs, scratch, "class"), "classes")
@@ -228,13 +208,103 @@ def _told(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, rec
                       class_id.alias("class_id"), F.coalesce(kept, F.lit(True)).alias("kept"), "key", "mark")
 
 
-def _compare_leaves(leaf: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+def _near_edges(nodes: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) that join all nodes which the sketch test leaves together in some bucket.
+
+    Rows (path, node) go down level by level; buckets of one node are done, and
+    small ones are compared by brute force. In a large bucket every node meets
+    the least one first. Of nodes that such edges join already no pair is needed
+    any more: a bucket of one such group ends there, a few others are compared
+    with all of its nodes, and only a bucket of many groups is split by further
+    tokens. So a class of near copies costs its size in each run, not
+    its square. Each level's edges are written, so no plan holds two levels.
+    """
+    low = nodes.select(F.col("node").alias("r"), "size", "low")
+    level = nodes.select("node", F.explode("paths").alias("path"))
+    tables = []
+    for depth in range(1, DEPTH + 1):
+        n = level.groupBy(F.col("path").alias("p")).agg(F.count("*").alias("count"), F.min("node").alias("least")).where("count > 1")
+        level = scratch.put(level.join(n, F.col("path") == F.col("p")).select("path", "node", "count", "least"), f"level{depth}")
+        leaf, large = level.where(F.col("count") <= LEAF), level.where(F.col("count") > LEAF)
+        tables.append(scratch.put(_compare_leaves(leaf.select("path", "node", "count"), low, threshold), f"leaf-edges{depth}"))
+        if not large.take(1):
+            break
+        stars = scratch.put(_stars(large, low, threshold), f"star-edges{depth}")
+        tables.append(stars)
+        # groups: a node goes by the least of its heads' own least heads; coarser groups would only save more
+        own = stars.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("g"))
+        heads = stars.select("b").distinct().join(own, F.col("b") == F.col("n"), "left").select(F.col("b").alias("h"), F.coalesce("g", "b").alias("g"))
+        group = stars.join(heads, F.col("b") == F.col("h")).groupBy(F.col("a").alias("i")).agg(F.min("g").alias("g"))
+        told = large.join(group, F.col("node") == F.col("i"), "left").select("path", "node", "count", F.coalesce("g", "node").alias("group"))
+        told = scratch.put(told, f"told{depth}")
+        main = told.groupBy("path", "group").agg(F.count("*").alias("m")).groupBy(F.col("path").alias("p")) \
+            .agg(F.max(F.struct("m", "group")).alias("main"))
+        open_ = told.join(main, F.col("path") == F.col("p")).withColumn("few", F.col("count") - F.col("main.m")) \
+            .select("path", "node", "count", "few", (F.col("group") != F.col("main.group")).alias("other"))
+        open_ = scratch.put(open_.where("few > 0"), f"open{depth}")
+        tables.append(scratch.put(_compare_few(open_.where(F.col("few") <= LEAF), low, threshold), f"few-edges{depth}"))
+        deeper = open_.where(F.col("few") > LEAF).select("path", "node", "count")
+        if not deeper.take(1):
+            break
+        if depth == DEPTH:
+            tables.append(scratch.put(_compare_leaves(deeper, low, threshold), f"block-edges{depth}"))
+            break
+
+        def descend(source):
+            for path, node, sketch_ in source:
+                yield next_path(path, np.frombuffer(sketch_, "<u4")), node
+
+        # written, since the next level counts and joins it
+        level = scratch.put(map_rows(deeper.join(low, F.col("node") == F.col("r")).select("path", "node", "low"), descend,
+                                     "path long, node long"), f"below{depth}")
+    return _all(tables)
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _stars(large: DataFrame, low: DataFrame, threshold: float) -> DataFrame:
+    """Edges between the nodes of large buckets and the bucket's least node, where the tests pass."""
+    heads = large.select(F.col("path").alias("p"), F.col("least").alias("h")).distinct() \
+        .join(low, F.col("h") == F.col("r")).select("p", F.col("size").alias("head_size"), F.col("low").alias("head_low"))
+    met = large.where("node <> least").join(low, F.col("node") == F.col("r")).join(heads, F.col("path") == F.col("p")) \
+        .select("node", "least", "size", "head_size", "low", "head_low")
+
+    def test(source):
+        for node, least, size, head_size, a, b in source:
+            same = int((np.frombuffer(a, "<u4") == np.frombuffer(b, "<u4")).sum())
+            if same >= PASS and min(size, head_size) >= threshold * max(size, head_size) - 1e-9:
+                yield node, least
+
+    return map_rows(met, test, "a long, b long", flush=5000).distinct()
+
+
+def _compare_few(open_: DataFrame, low: DataFrame, threshold: float) -> DataFrame:
+    """Edges between a bucket's few nodes outside its main group and all its nodes, block by block."""
+    blocks = F.ceil(F.col("count") / LEAF).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(11)), blocks).cast("int")
+    at = F.when(F.col("other"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
+    dealt = open_.withColumn("block", F.explode(at)).join(low, F.col("node") == F.col("r")).select("path", "block", "other", "node", "size", "low")
+
+    def compare(key, rows):
+        few = [r for r in rows if r[0]]
+        main = [r for r in rows if not r[0]]
+        if few:
+            yield from leaf_edges([r[1:] for r in few + main], threshold, len(few))
+
+    return map_groups(dealt, 2, compare, "a long, b long").distinct()
+
+
+def _compare_leaves(leaf: DataFrame, low: DataFrame, threshold: float) -> DataFrame:
     """Edges (a, b) inside buckets; a bucket beyond LEAF meets block by block."""
     own = F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     pair = F.transform(every, lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
     dealt = leaf.withColumn("blocks", F.ceil(F.col("count") / LEAF).cast("int")).withColumn("t", F.explode(pair))
-    low = nodes.select(F.col("node").alias("r"), "size", "low")
     dealt = dealt.join(low, F.col("node") == F.col("r")).select("path", "t.i", "t.j", "node", "size", "low")
     return map_groups(dealt, 3, lambda key, rows: leaf_edges(rows, threshold) if len(rows) > 1 else (), "a long, b long")
 
@@ -300,7 +370,8 @@ def keep_first(docs: DataFrame, **settings) -> DataFrame:
     """``docs``, all columns, with one document of each class: that of the smallest id.
 
     Unlike texts under one id are told apart and stay each; of texts of one id
-    and one set, that of the least mark stays. Rows without an id stay.
+    and one set, that of the least mark stays; of rows with one id and one text
+    any one stays. Rows without an id stay.
     """
     kept = _told(docs, **settings).where("kept and doc_id is not null") \
         .groupBy(F.col("doc_id").alias("__kept"), "key").agg(F.min("mark").alias("__kept_mark")).drop("key").distinct()

@@ -1,6 +1,7 @@
 """Operators 4 and 5 against brute force."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 
@@ -59,6 +60,44 @@ def test_jaccard_join_equals_brute_force(spark):
     assert [got[i].class_id for i in range(len(texts))] == classes(len(texts), linked)
 
 
+def copies_nodes(spark, n_copies, n_unlike, scratch):
+    """Nodes as ``join`` makes them: near copies of one text, and unlike texts that share one passage."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(90_000)}"
+    base, passage = [word() for _ in range(300)], [word() for _ in range(40)]
+    texts = []
+    for _ in range(n_copies):
+        copy = list(base)
+        for _ in range(3):
+            copy[rng.randrange(300)] = word()
+        texts.append(copy)
+    texts += [passage + [word() for _ in range(60)] for _ in range(n_unlike)]
+    cache, rows = jaccard.WordCache(jaccard.xxhash.xxh64_intdigest), []
+    for words in texts:
+        s = jaccard.shingles(" ".join(words), cache)
+        low = jaccard.sketch(s)
+        rows.append((jaccard.node_of(jaccard.set_key(s)), len(s), low.tobytes(), jaccard.first_paths(low, jaccard.n_runs())))
+    return scratch.put(spark.createDataFrame(rows, "node long, size int, low binary, paths array<long>"), "nodes"), rows
+
+
+def test_a_class_of_near_copies_is_not_split(spark):
+    scratch = Scratch(spark, "t-near")
+    nodes, rows = copies_nodes(spark, 1500, 0, scratch)
+    edges = jaccard._near_edges(nodes, 0.8, scratch)
+    assert {r.component for r in components(edges, scratch).collect()} == {min(r[0] for r in rows)}
+    assert edges.count() < 40 * len(rows)  # linear, where all pairs are 1,124,250
+    assert not (Path(scratch.root) / "level2").exists()
+
+
+def test_large_buckets_of_unlike_texts_go_down(spark):
+    scratch = Scratch(spark, "t-unlike")
+    nodes, rows = copies_nodes(spark, 400, 1500, scratch)
+    got = {r.id: r.component for r in components(jaccard._near_edges(nodes, 0.8, scratch), scratch).collect()}
+    copies = [r[0] for r in rows[:400]]
+    assert {got[i] for i in copies} == {min(copies)}
+    spark.read.parquet(f"{scratch.root}/level2").count()  # the shared passage's buckets were split
+
+
 def test_jaccard_edges(spark):
     kind = "doc_id long, text string, lang string"
     docs = spark.createDataFrame([(5, "a b c d e f", "x"), (5, "a b c d e f", "x"), (3, "A b c  d e f", None), (None, "a b c d e f", "x"),
