@@ -82,28 +82,57 @@ def level_sets(df: DataFrame, levels: Sequence[str], aggs: Sequence[Column],
     return grouped.filter(F.col(LEVEL_COL) > 0).unionByName(total)
 
 
+def users_by_level(df: DataFrame, levels: Sequence[str], user: Sequence[str], day: str) -> DataFrame:
+    """One row per user and level where the user occurs: (``user``, level, ``levels``, days).
+
+    Each user is one row with its set of (levels, day); the levels' rows are
+    made from that set, so distinct users of all levels come from one shuffle
+    of the distinct facts and nothing is expanded before it. ``days`` is the
+    set of the user's days there; a NULL day is no day. A user seen in two
+    cities has one row in the total and one for each city; NULL keys are keys
+    like others, and a NULL user is one user. The set of one user is bounded by
+    areas times days, whatever the number of its rows.
+    """
+    levels = list(levels)
+    seen = df.groupBy(*user).agg(F.collect_set(F.struct(*levels, F.col(day).alias("__day"))).alias("__seen"))
+
+    def rows_of(n: int) -> Column:
+        kept = levels[:n]
+
+        def row(k: Column) -> Column:
+            here = F.filter("__seen", lambda x: _all_same(x, k, kept)) if kept else F.col("__seen")
+            days = F.array_compact(F.array_distinct(F.transform(here, lambda x: x["__day"])))
+            keys = [(k[c] if c in kept else F.lit(None).cast(df.schema[c].dataType)).alias(c) for c in levels]
+            return F.struct(F.lit(n).alias(LEVEL_COL), *keys, days.alias("days"))
+
+        if not kept:
+            return F.array(row(None))
+        return F.transform(F.array_distinct(F.transform("__seen", lambda x: F.struct(*[x[c].alias(c) for c in kept]))), row)
+
+    return seen.select(*user, F.explode(F.concat(*[rows_of(n) for n in range(len(levels) + 1)])).alias("__row")).select(*user, "__row.*")
+
+
+def _all_same(x: Column, k: Column, names: Sequence[str]) -> Column:
+    out = x[names[0]].eqNullSafe(k[names[0]])
+    for c in names[1:]:
+        out = out & x[c].eqNullSafe(k[c])
+    return out
+
+
 def repeat_rate(df: DataFrame, levels: Sequence[str], user: str, day: str, min_days: int = 2,
                 count_name: str = "user_count", repeat_name: str = "repeat_count",
                 rate_name: str = "repeat_rate") -> DataFrame:
     """Users and users active on >= ``min_days`` distinct days, per level.
 
-    Rows are first reduced to distinct (levels, user, day), an ordinary
-    partial aggregate; only those are expanded to the grouping sets that give
-    distinct days per (level keys, user), and then counts per level. A user
-    seen in two cities counts once in the total and once per city, exactly as
-    the per-level computation; counts are never summed across levels. Days
-    may be any number and lie anywhere; a NULL day is no day.
+    One row a user with all its levels (``users_by_level``), then counts per
+    level: a user seen in two cities counts once in the total and once per
+    city, and counts are never summed across levels. Days may be any number
+    and lie anywhere; a NULL day is no day.
     """
-    levels = list(levels)
-    n = len(levels)
-    sets = [[user]] + [levels[: i + 1] + [user] for i in range(n)]
-    days = df.select(*levels, user, day).distinct()
-    per_user = (days.groupingSets(sets, *levels, user)
-                .agg(F.count_distinct(day).alias("__days"), F.grouping_id(*levels, user).alias("__gid"))
-                .withColumn(LEVEL_COL, _level_of("__gid", n)))
+    per_user = users_by_level(df, levels, [user], day)
     out = (per_user.groupBy(LEVEL_COL, *levels)
            .agg(F.count(F.lit(1)).alias(count_name),
-                F.count_if(F.col("__days") >= min_days).alias(repeat_name)))
+                F.count_if(F.size("days") >= min_days).alias(repeat_name)))
     return out.withColumn(rate_name, F.try_divide(F.col(repeat_name), F.col(count_name)))
 
 

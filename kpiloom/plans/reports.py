@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kpiloom.functions.keys import text_ids
 from kpiloom.functions.semantics import in_set, money, n_distinct, ratio, strict_sum, zero_fill
-from kpiloom.operators.aggregates import LEVEL_COL, cohort_counts, level_sets, repeat_rate
+from kpiloom.operators.aggregates import LEVEL_COL, cohort_counts, level_sets, repeat_rate, users_by_level
 from kpiloom.operators.grid import DateRange, densify, param_grid, values_frame
 from kpiloom.operators.relational import lookup, mark, null_safe_left_join
 from kpiloom.operators.windows import peaks, top_n
@@ -113,30 +113,6 @@ def rollup_weekly(m: Model) -> DataFrame:
             .withColumn("wkly_avg_quant", F.col("__n") / F.lit(float(m.p.week_days))).drop("__n"))
 
 
-def orders_day_and_week(m: Model) -> DataFrame:
-    """Report-day and 7-day order measures per level in one aggregate over
-    the 7-day orders (report-day measures are conditional aggregates). A
-    level with week orders but none on the report day gets report-day
-    measures 0 / NULL, which table2 fills with 0 as it does for a missing
-    row."""
-    day = F.col("create_date") == F.lit(m.p.report_date)
-    user = F.when(day, F.col("username"))
-    scale = m.p.money_scale
-    amount_day = F.when(day, F.col("amount"))
-    aggs = [
-        (F.count_distinct(user) + F.coalesce(F.max(F.when(day, F.col("username").isNull().cast("int"))), F.lit(0)))
-        .alias("people_count"),
-        F.coalesce(F.sum(F.when(day, F.col("n"))), F.lit(0)).alias("total_quant"),
-        money(F.when(F.count_if(day) == F.count(amount_day), F.sum(amount_day)), scale).alias("total_amount"),
-        money(strict_sum("amount"), scale).alias("wkly_total_amount"),
-        F.sum("n").alias("__n"),
-    ]
-    out = level_sets(m.keyed.order_days, LEVELS, aggs)
-    return (out.withColumn("daily_pct", ratio(F.col("total_amount"), F.col("total_quant")))
-            .withColumn("wkly_pct", ratio(F.col("wkly_total_amount"), F.col("__n")))
-            .withColumn("wkly_avg_quant", F.col("__n") / F.lit(float(m.p.week_days))).drop("__n"))
-
-
 def repeat_visit_rate(m: Model) -> DataFrame:
     return repeat_rate(m.keyed.login_days, LEVELS, "username", "login_date",
                        count_name="login_count", repeat_name="dup_login_count", rate_name="dup_login_rate")
@@ -147,6 +123,54 @@ def repeat_order_rate(m: Model) -> DataFrame:
                        count_name="order_count", repeat_name="dup_order_count", rate_name="dup_order_rate")
 
 
+def _table2_measures(m: Model) -> DataFrame:
+    """All measures of table2 per level, in one aggregate over rows that know their level.
+
+    Distinct members, visitors and buyers come as one row per person and level
+    (``users_by_level``); visits, orders and amounts are first summed per
+    district, and only these sums are repeated for the levels above.
+    """
+    p, k = m.p, m.keyed
+    today = F.lit(p.report_date)
+    who = lambda kind, df, user, day: df.select(
+        F.lit(kind).alias("kind"), F.col(user).cast("string").alias("who"), *LEVELS, F.col(day).alias("day"))
+    # filters on the day would give each use of the facts a scan of its own; without them all share one shuffle
+    people = who("member", k.login_days, "member_id", "login_date") \
+        .unionByName(who("visitor", k.login_days, "username", "login_date")) \
+        .unionByName(who("buyer", k.order_days, "username", "create_date"))
+    people = users_by_level(people, LEVELS, ["kind", "who"], "day").select(
+        LEVEL_COL, *LEVELS, "kind", (F.size("days") >= 2).alias("again"), F.array_contains("days", today).alias("today"))
+
+    day = F.col("create_date") == today
+    visits = k.login_days.select(*LEVELS, F.when(F.col("login_date") == today, F.col("n")).alias("visits"))
+    orders = k.order_days.select(
+        *LEVELS, F.when(day, F.col("n")).alias("day_n"), F.when(day, F.col("amount")).alias("day_amount"),
+        F.when(day & F.col("amount").isNull(), 1).alias("day_unknown"), F.col("n").alias("week_n"),
+        F.col("amount").alias("week_amount"), F.when(F.col("amount").isNull(), 1).alias("week_unknown"))
+    names = ["visits", "day_n", "day_amount", "day_unknown", "week_n", "week_amount", "week_unknown"]
+    sums = visits.unionByName(orders, allowMissingColumns=True).groupBy(*LEVELS).agg(*[F.sum(c).alias(c) for c in names])
+    none = {c: F.lit(None).cast(sums.schema[c].dataType) for c in LEVELS}
+    level = lambda n: F.struct(F.lit(n).alias(LEVEL_COL), *[(F.col(c) if i < n else none[c]).alias(c) for i, c in enumerate(LEVELS)])
+    sums = sums.select(F.explode(F.array(*[level(n) for n in range(len(LEVELS) + 1)])).alias("at"), *names).select("at.*", *names)
+    total = _spark(m).range(1).select(F.lit(0).alias(LEVEL_COL), *[none[c].alias(c) for c in LEVELS])   # there on empty input too
+
+    of = lambda kind: F.col("kind") == kind
+    known = lambda part: F.when(F.sum(f"{part}_unknown").isNull(), F.sum(f"{part}_amount"))
+    out = people.unionByName(sums, allowMissingColumns=True).unionByName(total, allowMissingColumns=True) \
+        .groupBy(LEVEL_COL, *LEVELS).agg(
+            F.sum("visits").alias("total_visitors"), F.count_if(of("member") & F.col("today")).alias("unique_visitors"),
+            F.count_if(of("buyer") & F.col("today")).alias("people_count"), F.coalesce(F.sum("day_n"), F.lit(0)).alias("total_quant"),
+            money(known("day"), p.money_scale).alias("total_amount"),
+            F.count_if(of("visitor")).alias("login_count"), F.count_if(of("visitor") & F.col("again")).alias("dup_login_count"),
+            F.count_if(of("buyer")).alias("order_count"), F.count_if(of("buyer") & F.col("again")).alias("dup_order_count"),
+            money(known("week"), p.money_scale).alias("week_amount"), F.coalesce(F.sum("week_n"), F.lit(0)).alias("week_n"))
+    return (out.withColumn("dup_login_rate", ratio(F.col("dup_login_count"), F.col("login_count")))
+            .withColumn("dup_order_rate", ratio(F.col("dup_order_count"), F.col("order_count")))
+            .withColumn("daily_pct", ratio(F.col("total_amount"), F.col("total_quant")))
+            .withColumn("wkly_pct", ratio(F.col("week_amount"), F.col("week_n")))
+            .withColumn("wkly_avg_quant", F.col("week_n") / F.lit(float(p.week_days))))
+
+
 TABLE2_COLUMNS = ["city", "district", "total_visitors", "unique_visitors", "people_count", "total_quant",
                   "total_amount", "conv_rate", "login_count", "dup_login_count", "dup_login_rate", "order_count",
                   "dup_order_count", "dup_order_rate", "daily_pct", "wkly_pct", "wkly_avg_quant"]
@@ -156,10 +180,7 @@ def report_visits_orders(m: Model, with_level: bool = False) -> DataFrame:
     """table2. Rows are driven by visits: a level without a visit on the
     report day has no row. The total row counts every order of the window,
     also those outside the report cities."""
-    keys = [LEVEL_COL, "city", "district"]
-    out = rollup_visits(m)
-    for part in (orders_day_and_week(m), repeat_visit_rate(m), repeat_order_rate(m)):
-        out = null_safe_left_join(out, part, keys)
+    out = _table2_measures(m).filter((F.col(LEVEL_COL) == 0) | F.col("total_visitors").isNotNull())
     out = out.withColumn("district", F.when(F.col("city").isNull() & F.col("district").isNull(),
                                             F.lit(ALL_CITIES_LABEL))
                          .otherwise(F.coalesce("district", "city"))) \
