@@ -27,6 +27,8 @@ from .common import WordCache, ship_package, small_batches
 SPACE = "▁"
 #: Texts on which a model must agree with the library when it is loaded.
 PROBES = ("", " ", "  a  b ", "The quick\n\nbrown\tfox", "naïve 你好 \U0001f600 x", "Å ﬁ 　y", "▁ ▁a")
+#: Symbols up to which the agenda is a plain list, and the place of a pair that is no piece.
+SHORT, NONE = 20, 1 << 40
 #: Characters of text that are encoded together; bounds the ids that a task holds.
 BATCH_CHARS = 2_000_000
 
@@ -46,7 +48,7 @@ class PieceCodec:
         self._prepare(lib)
         for text in PROBES:
             want = lib.encode(text)
-            if self.encode(text).tolist() != want or self.decode(np.array(want, np.int32)) != lib.decode(want):
+            if self.encode(text).tolist() != want or self.decode(want) != lib.decode(want):
                 raise ValueError(f"{path}: not a byte-fallback BPE model without normaliser")
 
     def _prepare(self, lib) -> None:
@@ -69,13 +71,13 @@ class PieceCodec:
         self.controls = {i for i in range(n) if lib.is_control(i)}
         self.marked = {i for p, i in self.ids.items() if p.startswith(SPACE)}
         # a join never crosses the start of a word or line unless a piece does
-        if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids):
-            self.stretches = lambda text: [text]
-        else:
-            self.stretches = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n").findall
+        self.by_words = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids)
+        self.stretches = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         self.joined = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.cache = WordCache(self._stretch, 300_000)
-        self.parts = WordCache(self._agenda, 300_000)
+        self.parts = WordCache(self._agenda, 500_000)
+        self.cache = WordCache(self._stretch, 50_000)
+        self.marked_words = WordCache(lambda word: self._stretch(SPACE + word), 250_000)
+        self.line_feed = self._out("\n")
 
     def __getstate__(self):
         return self.library.serialized_model_proto()
@@ -88,8 +90,22 @@ class PieceCodec:
         """Ids of a whole text."""
         if not text:
             return np.empty(0, np.int32)
-        marked = SPACE + text.replace(" ", SPACE)
-        return np.frombuffer(b"".join(map(self.cache.__getitem__, self.stretches(marked))), np.int32)
+        if not self.by_words:
+            return np.frombuffer(self._stretch(SPACE + text.replace(" ", SPACE)), np.int32)
+        out, cache, marked = [], self.cache, self.marked_words
+        for k, line in enumerate(text.split("\n")):
+            if k:
+                out.append(self.line_feed)
+            words = line.split(" ")
+            if "" in words or SPACE in line:  # runs of space marks, or an empty line
+                whole = (SPACE if not k else "") + line.replace(" ", SPACE)
+                out += map(cache.__getitem__, self.stretches(whole))
+            elif k:
+                out.append(cache[words[0]])
+                out += map(marked.__getitem__, words[1:])
+            else:
+                out += map(marked.__getitem__, words)
+        return np.frombuffer(b"".join(out), np.int32)
 
     def _stretch(self, stretch: str) -> bytes:
         """Ids of a stretch; neighbours that no piece holds together part it."""
@@ -101,9 +117,19 @@ class PieceCodec:
 
     def _agenda(self, part: str) -> bytes:
         place_of, n = self.order.get, len(part)
-        if n == 1:
-            return self._out(part)
         symbol = list(part)
+        if n <= SHORT:
+            # a short agenda is a list by place; taking its least entry, leftmost first, is quicker than a heap
+            agenda = [place_of(a + b, NONE) for a, b in zip(part, part[1:])]
+            while agenda and (place := min(agenda)) < NONE:
+                i = agenda.index(place)
+                symbol[i] += symbol.pop(i + 1)
+                del agenda[i]
+                if i:
+                    agenda[i - 1] = place_of(symbol[i - 1] + symbol[i], NONE)
+                if i < len(agenda):
+                    agenda[i] = place_of(symbol[i] + symbol[i + 1], NONE)
+            return self._out(symbol)
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
         # waiting[i]: place of the pair that starts at i, -1 for none; an entry of the agenda that differs is out of date
         waiting = [place_of(part[i:i + 2], -1) for i in range(n - 1)]
@@ -144,12 +170,12 @@ class PieceCodec:
                 out += [self.byte[b] for b in s.encode()]
         return array("i", out).tobytes()
 
-    def decode(self, ids: np.ndarray) -> str:
+    def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces joined, the space mark before the text taken off, stray bytes replaced.
 
         Control pieces have no text, but bytes on both sides of one do not make a character.
         """
-        told, start, spans = ids.tolist(), 0, []
+        told, start, spans = ids, 0, []
         for i in [k for k, x in enumerate(told) if x in self.controls] if self.controls.intersection(told) else ():
             spans.append(told[start:i])
             start = i + 1
@@ -198,10 +224,11 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
             for a, b in _slices(texts):
                 part = texts[a:b]
                 ids = [c.encode(t) for t in part]
-                decoded = list(map(c.decode, ids))
+                told = [x.tolist() for x in ids]
+                decoded = list(map(c.decode, told))
                 want = c.library.encode(part, out_type=int, num_threads=1)
                 back = c.library.decode(want, num_threads=1)
-                agrees = [x.tolist() == w and d == t for x, w, d, t in zip(ids, want, decoded, back, strict=True)]
+                agrees = [x == w and d == t for x, w, d, t in zip(told, want, decoded, back, strict=True)]
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays(
