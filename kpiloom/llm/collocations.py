@@ -1,8 +1,10 @@
 """Phrase collocation mining with merged stripes (operator 11).
 
 A stripe is the counter of the words that follow one prefix; the stripe of the
-empty prefix counts the words. Tasks count stripes over their own texts, the
-stripes of a prefix are added up elementwise, and one structure gives all: an
+empty prefix counts the words. Tasks count stripes over their own texts and
+send them packed: one row holds the stripes of a block of prefixes, as lines of
+phrases and their counts. Stripes are added up elementwise in the task that
+their block is dealt to, and one structure gives all: an
 entry is the frequency of a phrase, the entries of the empty prefix add up to
 the words of a language, and the largest entry of a stripe tells whether the
 prefix is always part of one longer phrase.
@@ -16,11 +18,11 @@ counted in full and falls below the threshold, so counts are exact.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,12 +32,13 @@ from .common import Scratch, map_rows, ship_package, small_batches
 UNKNOWN = "und"
 #: Least frequency and most words of a phrase, and phrases returned for each language.
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
-#: Parts that a stripe is dealt in by its next word: the empty prefix has a vocabulary of them, hot words have many.
-SHARDS_FIRST, SHARDS = 1024, 8
+#: Blocks that stripes are dealt to, and parts that a stripe is split in by its next word: hot words have many, and the
+#: empty prefix, which has a vocabulary of them, is split over all blocks.
+BLOCKS, PARTS = 512, 8
 #: Characters of text that are counted together, and counter entries and words that a task holds before it hands them on.
 CHUNK_CHARS, HELD_ENTRIES, HELD_WORDS = 8_000_000, 2_000_000, 1_000_000
-#: Counter entries of one Arrow batch.
-BATCH_ENTRIES = 200_000
+#: Counter entries of one Arrow batch, and bytes of their phrases.
+BATCH_ENTRIES, BATCH_BYTES = 200_000, 32_000_000
 #: Bits of the filter: 16 a frequent phrase, but between these powers of two (32 MB at most).
 LEAST_BITS, MOST_BITS = 16, 28
 
@@ -167,13 +170,16 @@ class Stripes:
             self.held.setdefault(lang, []).append((rows, counts))
             self.entries += len(rows)
 
+    def _hash_words(self) -> None:
+        new = self.words.names[len(self.hashes):]
+        self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))])
+
     def _candidates(self, lang: str, ids: np.ndarray) -> np.ndarray:
         """Places of phrases within a piece whose two parts of one word less pass the filter."""
         k, n = self.n_words, len(ids)
         if n < k:
             return np.empty(0, np.int64)
-        new = self.words.names[len(self.hashes):]
-        self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))])
+        self._hash_words()
         # the filter is asked once a word for prefixes of one word, else once a place
         word = self.hashes[ids]
         inside = ids > 0
@@ -198,42 +204,68 @@ class Stripes:
 
     def _add_up(self) -> None:
         for lang, parts in self.held.items():
-            self.held[lang] = [added_up(np.concatenate([r for r, _ in parts]), np.concatenate([c for _, c in parts]))]
+            if len(parts) > 1:
+                self.held[lang] = [added_up(np.concatenate([r for r, _ in parts]), np.concatenate([c for _, c in parts]))]
         self.entries = sum(len(r) for parts in self.held.values() for r, _ in parts)
 
+    def _blocks(self, rows: np.ndarray) -> np.ndarray:
+        """The block of each entry, by its prefix and the part that its next word is in; alike in all tasks."""
+        following = self.hashes[rows[:, -1]]
+        if rows.shape[1] == 1:
+            return (following >> np.uint64(24)) % np.uint64(BLOCKS)
+        h = following >> np.uint64(24) & np.uint64(PARTS - 1)
+        for column in rows[:, :-1].T:
+            h = grown(h, self.hashes[column])
+        return (h >> np.uint64(24)) % np.uint64(BLOCKS)
+
     def hand_on(self):
-        """Record batches (lang, prefix, shard, nexts, counts), a stripe in parts; empties the counters."""
+        """Record batches (lang, prefix, block, nexts, counts), parts of stripes ordered by language and block; empties the counters."""
         self._add_up()
-        shards = SHARDS_FIRST if self.n_words == 1 else SHARDS
-        raw = self.words.names
-        shard = np.fromiter((zlib.crc32(w) % shards for w in raw), np.int64, len(raw))
-        names = pa.array([b"", *raw[1:]], pa.binary()).cast(pa.string())
+        self._hash_words()
+        lengths = np.fromiter(map(len, self.words.names), np.int64, len(self.words))
+        names = pa.array([b"", *self.words.names[1:]], pa.binary()).cast(pa.string())
         for lang, [(rows, counts)] in self.held.items():
-            prefixes, number = np.unique(rows[:, :-1], axis=0, return_inverse=True) if self.n_words > 1 else \
-                (np.empty((1, 0), np.int64), np.zeros(len(rows), np.int64))
-            number = number.reshape(-1)
-            texts = pa.array([" ".join([raw[w].decode() for w in p]) for p in prefixes.tolist()], pa.string())
-            order = np.lexsort((shard[rows[:, -1]], number))
-            key = number[order] * shards + shard[rows[order, -1]]
-            starts = np.flatnonzero(np.diff(key, prepend=-1))
-            ends = np.append(starts[1:], len(key))
+            block = self._blocks(rows).astype(np.uint16)
+            order = np.argsort(block, kind="stable")  # the entries of a prefix lie together already
+            rows, counts, block = rows[order], counts[order], block[order]
+            new = np.ones(len(rows), bool)
+            new[1:] = (block[1:] != block[:-1]) | (rows[1:, :-1] != rows[:-1, :-1]).any(axis=1)
+            starts = np.flatnonzero(new)
+            ends = np.append(starts[1:], len(rows))
+            size = np.append(0, np.cumsum((lengths[rows] + 1).sum(axis=1)))
             first = 0
             while first < len(starts):  # whole parts of stripes, about BATCH_ENTRIES entries a batch
-                last = max(first + 1, int(np.searchsorted(ends, starts[first] + BATCH_ENTRIES, "right")))
-                lo, hi = starts[first], ends[last - 1]
+                lo = starts[first]
+                last = max(first + 1, min(int(np.searchsorted(ends, lo + BATCH_ENTRIES, "right")),
+                                          int(np.searchsorted(size[ends], size[lo] + BATCH_BYTES, "right"))))
+                hi = ends[last - 1]
                 offsets = np.append(starts[first:last], hi).astype(np.int32) - np.int32(lo)
-                at = order[lo:hi]
-                head = order[starts[first:last]]
+                head = [names.take(pa.array(column)) for column in rows[starts[first:last], :-1].T]
+                prefix = pc.binary_join_element_wise(*head, " ") if head else pa.array([""] * (last - first), pa.string())
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * (last - first), pa.string()), texts.take(pa.array(number[head])), pa.array(shard[rows[head, -1]], pa.int32()),
-                    pa.ListArray.from_arrays(offsets, names.take(pa.array(rows[at, -1]))), pa.ListArray.from_arrays(offsets, pa.array(counts[at]))],
-                    names=["lang", "prefix", "shard", "nexts", "counts"])
+                    pa.array([lang] * (last - first), pa.string()), prefix, pa.array(block[starts[first:last]], pa.int32()),
+                    pa.ListArray.from_arrays(offsets, names.take(pa.array(rows[lo:hi, -1]))), pa.ListArray.from_arrays(offsets, pa.array(counts[lo:hi]))],
+                    names=["lang", "prefix", "block", "nexts", "counts"])
                 first = last
         self._clear()
 
 
+def packed(stripes: pa.RecordBatch) -> pa.RecordBatch:
+    """Stripes of one language, ordered by block, as rows (lang, block, phrases, counts): phrases are lines, in the order of their counts."""
+    lang, prefix, block, nexts, counts = stripes.columns
+    phrases = nexts.values
+    if prefix[0].as_py():
+        phrases = pc.binary_join_element_wise(prefix.take(nexts.value_parent_indices()), phrases, " ")
+    number = block.to_numpy()
+    starts = np.flatnonzero(np.diff(number, prepend=-1))
+    offsets = pa.array(np.append(nexts.offsets.to_numpy()[starts], len(phrases)), pa.int32())
+    return pa.RecordBatch.from_arrays([
+        lang.slice(0, len(starts)), block.take(pa.array(starts)), pc.binary_join(pa.ListArray.from_arrays(offsets, phrases), "\n"),
+        pa.ListArray.from_arrays(offsets, counts.values)], names=["lang", "block", "phrases", "counts"])
+
+
 def _count(docs: DataFrame, n_words: int, known) -> DataFrame:
-    """Stripes of each task's texts (text, lang)."""
+    """Packed stripes of each task's texts (text, lang)."""
     ship_package(docs.sparkSession)
     small_batches(docs.sparkSession)
 
@@ -246,7 +278,7 @@ def _count(docs: DataFrame, n_words: int, known) -> DataFrame:
             for lang, texts in waiting.items():
                 stripes.add(lang, texts)
                 if stripes.full():
-                    yield from stripes.hand_on()
+                    yield from map(packed, stripes.hand_on())
             waiting.clear()
 
         for batch in batches:
@@ -258,22 +290,20 @@ def _count(docs: DataFrame, n_words: int, known) -> DataFrame:
                         yield from count()
                         size = 0
         yield from count()
-        yield from stripes.hand_on()
+        yield from map(packed, stripes.hand_on())
 
-    return docs.select("text", "lang").mapInArrow(run, "lang string, prefix string, shard int, nexts array<string>, counts array<long>")
+    return docs.select("text", "lang").mapInArrow(run, "lang string, block int, phrases string, counts array<long>")
 
 
 def _merge(stripes: DataFrame) -> DataFrame:
-    """Stripes added up elementwise: rows (lang, phrase, f).
+    """Packed stripes added up elementwise: rows (lang, phrase, f).
 
-    The parts of one stripe meet by (lang, prefix, shard) and are added word by
-    word in the same task, which spills if a stripe is large; no part is held whole.
+    The parts of one stripe meet by (lang, block) and are added phrase by
+    phrase in the same task, which spills if a block is large; no part is held whole.
     """
-    keys = ["lang", "prefix", "shard"]
-    entries = stripes.repartition(*keys).select(*keys, F.explode(F.arrays_zip("nexts", "counts")).alias("e"))
-    total = entries.groupBy(*keys, F.col("e.nexts").alias("next")).agg(F.sum("e.counts").alias("f"))
-    phrase = F.when(F.col("prefix") == "", F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next"))
-    return total.select("lang", phrase.alias("phrase"), "f")
+    entries = stripes.repartition("lang", "block") \
+        .select("lang", "block", F.explode(F.arrays_zip(F.split("phrases", "\n").alias("phrase"), F.col("counts").alias("n"))).alias("e"))
+    return entries.groupBy("lang", "block", F.col("e.phrase").alias("phrase")).agg(F.sum("e.n").alias("f")).select("lang", "phrase", "f")
 
 
 def _filter(frequent: DataFrame) -> Filter | None:

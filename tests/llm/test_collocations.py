@@ -156,3 +156,33 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").select("text", "lang").collect()]
     assert told(queries.op11_collocations(spark, sf)) == plain(rows, 100)
+
+
+def test_a_task_sends_a_row_for_each_block_not_each_prefix(spark):
+    rows = [(" ".join(f"p{i % 2000}" for i in range(j * 37, j * 37 + 300)) + ". x  y\tz", lang) for j, lang in enumerate(["en", "fr"] * 60)]
+    docs = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    known = spark.sparkContext.broadcast(C.Filter(np.full(1 << 13, 255, np.uint8)))  # passes all
+    for k in (2, 3):
+        want = Counter()
+        for text, lang in rows:
+            for piece in text.split("."):
+                words = piece.split()
+                want.update((lang, " ".join(words[i:i + k])) for i in range(len(words) - k + 1))
+        assert len(want) > 3000
+        stripes = C._count(docs, k, known)
+        assert stripes.count() <= 2 * 512
+        got = C._merge(stripes).collect()
+        assert len(got) == len(want) and {(r.lang, r.phrase): r.f for r in got} == want
+
+
+def test_batches_of_long_phrases_change_nothing(spark, monkeypatch):
+    stripes = C.Stripes(2, C.Filter(np.full(1 << 13, 255, np.uint8)))
+    text = " ".join("w" * (i % 7 + 1) + str(i % 90) for i in range(2000))
+    stripes.add("en", [text])
+    monkeypatch.setattr(C, "BATCH_BYTES", 200)
+    batches = [C.packed(b) for b in stripes.hand_on()]
+    words, got = text.split(), Counter()
+    for b in batches:
+        for r in b.to_pylist():
+            got.update(dict(zip(r["phrases"].split("\n"), r["counts"], strict=True)))
+    assert len(batches) > 10 and got == Counter(map(" ".join, zip(words, words[1:])))
