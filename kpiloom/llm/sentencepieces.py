@@ -15,6 +15,7 @@ import codecs
 import heapq
 import re
 from array import array
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -73,10 +74,13 @@ class PieceCodec:
         # a join never crosses the start of a word or line unless a piece does
         self.by_words = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids)
         self.stretches = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-        self.joined = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
+        #: neighbours within a piece -> place of the two as a piece
+        self.joined = {p[i:i + 2]: self.order.get(p[i:i + 2], NONE) for p in self.ids for i in range(len(p) - 1)}
+        #: piece -> id in the bytes that ids are kept in
+        self.packed = {p: array("i", (i,)).tobytes() for p, i in self.ids.items()}
         self.parts = WordCache(self._agenda, 500_000)
         self.cache = WordCache(self._stretch, 50_000)
-        self.marked_words = WordCache(lambda word: self._stretch(SPACE + word), 250_000)
+        self.marked_words = WordCache(lambda word: self._stretch(SPACE + word), 350_000)
         self.line_feed = self._out("\n")
 
     def __getstate__(self):
@@ -110,7 +114,7 @@ class PieceCodec:
     def _stretch(self, stretch: str) -> bytes:
         """Ids of a stretch; neighbours that no piece holds together part it."""
         joined = self.joined
-        cuts = [i for i in range(1, len(stretch)) if stretch[i - 1:i + 1] not in joined]
+        cuts = [i for i, pair in enumerate(map(add, stretch, stretch[1:]), 1) if pair not in joined]
         if not cuts:
             return self.parts[stretch]
         return b"".join([self.parts[stretch[i:j]] for i, j in zip([0, *cuts], [*cuts, len(stretch)], strict=True)])
@@ -120,7 +124,7 @@ class PieceCodec:
         symbol = list(part)
         if n <= SHORT:
             # a short agenda is a list by place; taking its least entry, leftmost first, is quicker than a heap
-            agenda = [place_of(a + b, NONE) for a, b in zip(part, part[1:])]
+            agenda = list(map(self.joined.__getitem__, map(add, part, part[1:])))
             while agenda and (place := min(agenda)) < NONE:
                 i = agenda.index(place)
                 symbol[i] += symbol.pop(i + 1)
@@ -162,6 +166,11 @@ class PieceCodec:
 
     def _out(self, symbols) -> bytes:
         """Ids of symbols; one that is no piece falls back to its bytes."""
+        symbols = list(symbols)
+        try:
+            return b"".join(map(self.packed.__getitem__, symbols))
+        except KeyError:
+            pass
         out, known = [], self.ids
         for s in symbols:
             if s in known:
@@ -226,9 +235,10 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                 ids = [c.encode(t) for t in part]
                 told = [x.tolist() for x in ids]
                 decoded = list(map(c.decode, told))
-                want = c.library.encode(part, out_type=int, num_threads=1)
-                back = c.library.decode(want, num_threads=1)
-                agrees = [x == w and d == t for x, w, d, t in zip(told, want, decoded, back, strict=True)]
+                # a text at a time is quicker than the library's batches, which start threads
+                want = [c.library.encode(t, return_type="numpy") for t in part]
+                back = list(map(c.library.decode, told))
+                agrees = [x.tobytes() == w.tobytes() and d == t for x, w, d, t in zip(ids, want, decoded, back, strict=True)]
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays(

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 
 import public_tokenizers
 import pytest
@@ -82,3 +83,11 @@ def test_query_digests(spark):
         ids = lib.encode(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
+
+
+def test_places_of_pairs_and_bytes_of_ids_are_known_beforehand(codec):
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    pieces = [lib.id_to_piece(i) for i in range(259, lib.get_piece_size())]
+    assert set(codec.joined) >= {p[i:i + 2] for p in pieces for i in range(len(p) - 1)}
+    assert all(place == codec.order.get(pair, sentencepieces.NONE) for pair, place in codec.joined.items())
+    assert all(int.from_bytes(codec.packed[p], sys.byteorder) == lib.piece_to_id(p) for p in pieces)
