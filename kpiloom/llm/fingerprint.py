@@ -26,6 +26,8 @@ MIN_DOCS, MAX_SHARE = 2, 0.05
 #: Lexicon slots that terms are hashed to: one for so many characters of text, which is some four times the distinct
 #: terms, but between these powers of two. The bits of the band that are broadcast take 32 MB at most.
 CHARS_PER_SLOT, LEAST_SLOTS, MOST_SLOTS = 40, 24, 28
+#: Bits of a slot's number in the smallest lexicon.
+SLOT_BITS = LEAST_SLOTS
 #: Slots that a task collects before it adds equal ones up.
 HELD_SLOTS = 4_000_000
 #: Rates at which the subsets keep terms, and subsets of each rate below 1. A seed's subsets are nested: each rate
