@@ -4,17 +4,19 @@ A text is a chain of symbols. Every adjacent pair whose join is a piece of the
 vocabulary waits in an agenda ordered by score, then by place from the left;
 the best live pair is joined, and the pairs that the join makes with its
 neighbours enter the agenda. When it is empty the symbols are the pieces; a
-symbol that is no piece falls back to its bytes. Each Arrow batch is encoded
-and decoded by the sentencepiece library as well, and every row tells whether
-both agree.
+symbol that is no piece falls back to its bytes. No join crosses the start of
+a word, so the texts of a batch are parted into words, each different word is
+looked up or joined once, and the agendas of new short words are worked off
+side by side, one join a word and step. Every text is encoded and decoded by
+the sentencepiece library as well, and every row tells whether both agree.
 """
 
 from __future__ import annotations
 
 import codecs
 import heapq
-import re
 from array import array
+from itertools import islice
 from operator import add
 
 import numpy as np
@@ -23,20 +25,61 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, ship_package, small_batches
+from .common import ship_package, small_batches
 
 SPACE = "▁"
 #: Texts on which a model must agree with the library when it is loaded.
 PROBES = ("", " ", "  a  b ", "The quick\n\nbrown\tfox", "naïve 你好 \U0001f600 x", "Å ﬁ 　y", "▁ ▁a")
-#: Symbols up to which the agenda is a plain list, and the place of a pair that is no piece.
-SHORT, NONE = 20, 1 << 40
+#: Symbols up to which agendas are worked off side by side, and the place of a pair that is no piece.
+SHORT, NONE = 24, (1 << 31) - 1
+#: Words whose agendas are worked off together.
+SIDE_BY_SIDE = 4096
+#: Words that are kept (twice, see ``PieceCodec._known``), and the bytes of the longest.
+WORDS, LONGEST = 400_000, 64
 #: Characters of text that are encoded together; bounds the ids that a task holds.
 BATCH_CHARS = 2_000_000
+#: Characters of long or strange words that are parted together.
+PART_CHARS = 100_000
 
 # one replacement character for each byte that is no part of a character
 codecs.register_error("kpiloom.bytewise", lambda e: ("�" * (e.end - e.start), e.end))
 
 
+class PairTable:
+    """Piece that two pieces make side by side, for arrays of them at a time; -1 for none."""
+
+    def __init__(self, pairs: dict[tuple[int, int], int], n: int):
+        self.n = n
+        bits = max(4, (4 * len(pairs)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.pieces = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        keys = np.array([a * n + b for a, b in pairs], np.int64)
+        pieces, slot = np.array([*pairs.values()], np.int32), self._slot(keys)
+        while len(keys):  # of pairs that want a slot one gets it, the others try the next
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[free]
+            got = self.keys[slot] == keys
+            self.pieces[slot[got]] = pieces[got]
+            keys, pieces, slot = keys[~got], pieces[~got], slot[~got] + 1 & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) * self.n + right
+        slot = self._slot(key)
+        held = self.keys[slot]
+        out = np.where(held == key, self.pieces[slot], np.int32(-1))
+        todo = np.flatnonzero((held != key) & (held >= 0))
+        while len(todo):  # slots of other pairs are passed
+            slot[todo] = slot[todo] + 1 & self.mask
+            held = self.keys[slot[todo]]
+            hit = held == key[todo]
+            out[todo[hit]] = self.pieces[slot[todo[hit]]]
+            todo = todo[~hit & (held >= 0)]
+        return out
+
+
 class PieceCodec:
     """Encoder and decoder of a merge-type (BPE) sentencepiece model.
 
@@ -73,15 +116,22 @@ class PieceCodec:
         self.marked = {i for p, i in self.ids.items() if p.startswith(SPACE)}
         # a join never crosses the start of a word or line unless a piece does
         self.by_words = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids)
-        self.stretches = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         #: neighbours within a piece -> place of the two as a piece
         self.joined = {p[i:i + 2]: self.order.get(p[i:i + 2], NONE) for p in self.ids for i in range(len(p) - 1)}
         #: piece -> id in the bytes that ids are kept in
         self.packed = {p: array("i", (i,)).tobytes() for p, i in self.ids.items()}
-        self.parts = WordCache(self._agenda, 500_000)
-        self.cache = WordCache(self._stretch, 50_000)
-        self.marked_words = WordCache(lambda word: self._stretch(SPACE + word), 350_000)
-        self.line_feed = self._out("\n")
+        #: piece of a character, -1 for none; place of a piece; the piece of two
+        self.letter = np.full(0x110000, -1, np.int32)
+        self.place = np.full(n, NONE, np.int32)
+        for p, i in self.ids.items():
+            self.place[i] = self.order[p]
+            if len(p) == 1:
+                self.letter[ord(p)] = i
+        halves = ((p[:k], p[k:], i) for p, i in self.ids.items() for k in range(1, len(p)))
+        self.pairs = PairTable({(self.ids[a], self.ids[b]): i for a, b, i in halves if a in self.ids and b in self.ids}, n + 1)
+        self.texts = pa.array(self.values, pa.large_binary())
+        self.is_control, self.is_marked = (np.isin(np.arange(n), list(x)) for x in (self.controls, self.marked))
+        self.held, self.older = {}, {}
 
     def __getstate__(self):
         return self.library.serialized_model_proto()
@@ -92,48 +142,113 @@ class PieceCodec:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text."""
-        if not text:
-            return np.empty(0, np.int32)
-        if not self.by_words:
-            return np.frombuffer(self._stretch(SPACE + text.replace(" ", SPACE)), np.int32)
-        out, cache, marked = [], self.cache, self.marked_words
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append(self.line_feed)
-            words = line.split(" ")
-            if "" in words or SPACE in line:  # runs of space marks, or an empty line
-                whole = (SPACE if not k else "") + line.replace(" ", SPACE)
-                out += map(cache.__getitem__, self.stretches(whole))
-            elif k:
-                out.append(cache[words[0]])
-                out += map(marked.__getitem__, words[1:])
-            else:
-                out += map(marked.__getitem__, words)
-        return np.frombuffer(b"".join(out), np.int32)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text ends in them."""
+        marked = [(" " + t.replace(SPACE, " ")).encode() if t else b"" for t in texts]
+        ends, whole = np.cumsum([*map(len, marked)], dtype=np.int64), b"".join(marked)
+        if not whole:
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
+        data = np.frombuffer(whole, np.uint8)
+        starts = np.zeros(len(data) + 1, bool)
+        starts[0] = starts[ends] = True
+        if self.by_words:  # a word starts at its first space mark, a line feed stands alone
+            space, feed = data == 32, data == 10
+            starts[1:-1] |= space[1:] > space[:-1]
+            starts[:-1] |= feed
+            starts[1:] |= feed
+        starts = np.flatnonzero(starts)
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(whole)]).dictionary_encode()
+        taken = pa.array(self._known(words.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(words.indices)
+        at = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1) // 4
+        return np.frombuffer(taken.buffers()[2], np.int32, at[-1]), at[np.searchsorted(starts, ends)]
 
-    def _stretch(self, stretch: str) -> bytes:
-        """Ids of a stretch; neighbours that no piece holds together part it."""
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words, in which spaces stand for space marks.
+
+        Two generations of words are kept; when the young one is full the old one goes, so frequent words stay.
+        """
+        out = list(map(self.held.get, words))
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        absent = [words[k] for k in missing]
+        told = dict(zip(absent, map(self.older.get, absent), strict=True))
+        new = [w for w, ids in told.items() if ids is None]
+        told.update(zip(new, self._new(new), strict=True))
+        for k, w in zip(missing, absent, strict=True):
+            out[k] = ids = told[w]
+            if len(w) <= LONGEST:
+                self.held[w] = ids
+        if len(self.held) >= WORDS:
+            self.held, self.older = {}, self.held
+        return out
+
+    def _new(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words: the short ones of known characters side by side, others part by part."""
+        texts = [w.decode().replace(" ", SPACE) for w in words]
+        out: list[bytes | None] = [None] * len(texts)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        letters = self.letter[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)]
+        start = np.cumsum(size) - size
+        unknown = np.concatenate(([0], np.cumsum(letters < 0)))
+        short = np.flatnonzero((size <= SHORT) & (unknown[start + size] == unknown[start]))
+        short = short[np.argsort(size[short], kind="stable")]
+        for a in range(0, len(short), SIDE_BY_SIDE):
+            some = short[a:a + SIDE_BY_SIDE]
+            self._agendas(letters, start[some], size[some], some, out)
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for a, b in _slices([texts[k] for k in rest], PART_CHARS):
+            parts = [self._parts(texts[k]) for k in rest[a:b]]
+            known = iter(self._known([p.replace(SPACE, " ").encode() for some in parts if len(some) > 1 for p in some]))
+            for k, some in zip(rest[a:b], parts, strict=True):
+                out[k] = b"".join(islice(known, len(some))) if len(some) > 1 else self._agenda(some[0])
+        return out
+
+    def _agendas(self, letters, start, size, rows, out) -> None:
+        """Joins the characters of short words side by side: in each step the best pair of every word, leftmost first."""
+        end, width = len(self.place), int(size.max())
+        inside = np.arange(width) < size[:, None]
+        symbol = np.full((len(size), width + 1), end, np.int32)  # behind each word a symbol that joins with nothing
+        symbol[:, :-1][inside] = letters[(start[:, None] + np.arange(width))[inside]]
+        whole = self.pairs(symbol[:, :-1].ravel(), symbol[:, 1:].ravel()).reshape(len(size), width)
+        place = np.where(whole >= 0, self.place[whole], NONE)
+        while True:
+            i = place.argmin(1)
+            every = np.arange(len(i))
+            live = place[every, i] < NONE
+            if not live.all():
+                done = ~live
+                ids, n = symbol[done], size[done]
+                packed, step = ids.tobytes(), 4 * ids.shape[1]
+                for k, (row, m) in enumerate(zip(rows[done].tolist(), n.tolist(), strict=True)):
+                    out[row] = packed[k * step:k * step + 4 * m]
+                if done.all():
+                    return
+                symbol, whole, place, size, rows, i = symbol[live], whole[live], place[live], size[live], rows[live], i[live]
+                every = np.arange(len(i))
+            symbol[every, i] = whole[every, i]
+            # the right half and the joined pair go from every row, so that rows stay equally long
+            keep = np.ones(symbol.shape, bool)
+            keep[every, i + 1] = False
+            symbol = symbol[keep].reshape(len(i), -1)
+            keep[every, i + 1], keep[every, i] = True, False
+            whole, place = whole[keep[:, :-1]].reshape(len(i), -1), place[keep[:, :-1]].reshape(len(i), -1)
+            size = size - 1
+            inner = i > 0
+            row, k = np.concatenate((every[inner], every)), np.concatenate((i[inner] - 1, i))
+            whole[row, k] = made = self.pairs(symbol[row, k], symbol[row, k + 1])
+            place[row, k] = np.where(made >= 0, self.place[made], NONE)
+
+    def _parts(self, word: str) -> list[str]:
+        """A word, parted between neighbours that no piece holds together."""
         joined = self.joined
-        cuts = [i for i, pair in enumerate(map(add, stretch, stretch[1:]), 1) if pair not in joined]
-        if not cuts:
-            return self.parts[stretch]
-        return b"".join([self.parts[stretch[i:j]] for i, j in zip([0, *cuts], [*cuts, len(stretch)], strict=True)])
+        cuts = [i for i, pair in enumerate(map(add, word, word[1:]), 1) if pair not in joined]
+        return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)], strict=True)]
 
     def _agenda(self, part: str) -> bytes:
+        """Ids of a long or strange part; its agenda is a heap."""
         place_of, n = self.order.get, len(part)
         symbol = list(part)
-        if n <= SHORT:
-            # a short agenda is a list by place; taking its least entry, leftmost first, is quicker than a heap
-            agenda = list(map(self.joined.__getitem__, map(add, part, part[1:])))
-            while agenda and (place := min(agenda)) < NONE:
-                i = agenda.index(place)
-                symbol[i] += symbol.pop(i + 1)
-                del agenda[i]
-                if i:
-                    agenda[i - 1] = place_of(symbol[i - 1] + symbol[i], NONE)
-                if i < len(agenda):
-                    agenda[i] = place_of(symbol[i] + symbol[i + 1], NONE)
-            return self._out(symbol)
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
         # waiting[i]: place of the pair that starts at i, -1 for none; an entry of the agenda that differs is out of date
         waiting = [place_of(part[i:i + 2], -1) for i in range(n - 1)]
@@ -198,11 +313,29 @@ class PieceCodec:
         return "".join(texts)
 
 
-def _slices(texts: list[str]):
-    """Ranges of rows with about ``BATCH_CHARS`` characters each."""
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of ids that stand one after the other, each up to its end."""
+        taken = self.texts.take(pa.array(ids))
+        at = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)
+        data = memoryview(taken.buffers()[2] or b"")
+        control = self.is_control[ids]
+        out, start = [], 0
+        for end in ends.tolist():
+            if control[start:end].any():
+                out.append(self.decode(ids[start:end].tolist()))
+            else:
+                text = str(data[at[start]:at[end]], "utf-8", "kpiloom.bytewise")
+                out.append(text[1:] if start < end and self.is_marked[ids[start]] and text[:1] == " " else text)
+            start = end
+        return out
+
+
+def _slices(texts: list[str], most: int | None = None):
+    """Ranges of rows with about ``most`` characters (``BATCH_CHARS``) each."""
+    most = most or BATCH_CHARS
     start = size = 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > BATCH_CHARS:
+        if size and size + len(t) > most:
             yield start, i
             start, size = i, 0
         size += len(t)
@@ -232,15 +365,14 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
             texts = batch.column(1).to_pylist()
             for a, b in _slices(texts):
                 part = texts[a:b]
-                ids = [c.encode(t) for t in part]
-                told = [x.tolist() for x in ids]
-                decoded = list(map(c.decode, told))
+                ids, ends = c.encode_all(part)
+                decoded = c.decode_all(ids, ends)
+                told = np.split(ids, ends[:-1])
                 # a text at a time is quicker than the library's batches, which start threads
                 want = [c.library.encode(t, return_type="numpy") for t in part]
                 back = list(map(c.library.decode, told))
-                agrees = [x.tobytes() == w.tobytes() and d == t for x, w, d, t in zip(ids, want, decoded, back, strict=True)]
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)))
+                agrees = [x.tobytes() == w.tobytes() and d == t for x, w, d, t in zip(told, want, decoded, back, strict=True)]
+                lists = pa.ListArray.from_arrays(np.concatenate(([0], ends)).astype(np.int32), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), lists, pa.array(decoded, pa.string()), pa.array(agrees)],
                     names=[id_col, "ids", "decoded", "agrees"])
