@@ -28,6 +28,9 @@ MIN_DOCS, MAX_SHARE = 2, 0.05
 CHARS_PER_SLOT, LEAST_SLOTS, MOST_SLOTS = 40, 24, 28
 #: Bits of a slot's number in the smallest lexicon.
 SLOT_BITS = LEAST_SLOTS
+#: Blocks of the lexicon, 2 to this power: a task sends one row for each block in which it has terms, and so does the
+#: band. A slot's place in its block must fit 16 bits.
+BLOCK_BITS = 12
 #: Slots that a task collects before it adds equal ones up.
 HELD_SLOTS = 4_000_000
 #: Rates at which the subsets keep terms, and subsets of each rate below 1. A seed's subsets are nested: each rate
@@ -132,14 +135,18 @@ def likeness(a: str, b: str) -> float:
 def build_lexicon(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> Lexicon:
     """The band's slots, from the document frequencies of all rows.
 
-    Each task sums its own rows by slot before the shuffle; the driver gets
-    one bit a slot. With fewer than ``min_docs / max_share`` documents the
-    upper end is ``min_docs``. Beyond 2 ** MOST_SLOTS * CHARS_PER_SLOT
-    characters several rare terms share a slot, so that terms of one document
-    count as more frequent and stay in the band; frequent terms go as before.
+    Each task sums its own rows by slot and sends them packed, a row for each
+    block; the band's bits are set where a block's rows meet, and the driver
+    gets them as bytes, one bit a slot. With fewer than ``min_docs /
+    max_share`` documents the upper end is ``min_docs``. Beyond 2 **
+    MOST_SLOTS * CHARS_PER_SLOT characters several rare terms share a slot, so
+    that terms of one document count as more frequent and stay in the band;
+    frequent terms go as before.
     """
     size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("chars")).first()
     power = min(max((size["chars"] // CHARS_PER_SLOT).bit_length(), LEAST_SLOTS), MOST_SLOTS)
+    places = power - BLOCK_BITS
+    low, high = max(min_docs, 1), max(min_docs, int(max_share * size["n"]))
 
     def count(source):
         cache, held, waiting = WordCache(term_hash), [], 0
@@ -160,17 +167,33 @@ def build_lexicon(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float =
                 slots, times = add_up()
                 held, waiting = [], 0
         slots, times = add_up()
-        yield from zip(slots.tolist(), times.tolist(), strict=True)
-
-    counts = map_rows(docs.select("text"), count, "slot int, n int", flush=50_000)
-    high = max(min_docs, int(max_share * size["n"]))
-    band = (counts.groupBy("slot").agg(F.sum("n").alias("n"))
-            .where(F.col("n").between(min_docs, high))
-            .groupBy(F.shiftright("slot", 5).alias("word"))
-            .agg(F.expr("bit_or(shiftleft(1L, slot & 31))").alias("bits")).toPandas())
-    bits = np.zeros(1 << power - 5, "<u4")
-    bits[band["word"].to_numpy(np.int64)] = band["bits"].to_numpy(np.int64).astype("<u4")
-    return Lexicon(bits.view(np.uint8))
+        blocks, starts = np.unique(slots >> places, return_index=True)
+        ends = [*starts[1:].tolist(), len(slots)]
+        for block, start, end in zip(blocks.tolist(), starts.tolist(), ends, strict=False):
+            yield block, (slots[start:end] & (1 << places) - 1).astype("<u2").tobytes(), times[start:end].astype("<u4").tobytes()
+
+    def in_band(source):
+        at, total = None, np.zeros(1 << places, np.int64)
+
+        def packed():
+            return np.packbits((total >= low) & (total <= high), bitorder="little").tobytes()
+
+        for block, found, times in source:
+            if block != at:
+                if at is not None:
+                    yield at, packed()
+                at = block
+                total[:] = 0
+            total[np.frombuffer(found, "<u2")] += np.frombuffer(times, "<u4")
+        if at is not None:
+            yield at, packed()
+
+    counts = map_rows(docs.select("text"), count, "block int, slots binary, times binary")
+    band = map_rows(counts.repartition("block").sortWithinPartitions("block"), in_band, "block int, bits binary")
+    bits = np.zeros((1 << BLOCK_BITS, 1 << places - 3), np.uint8)
+    for block, of_block in band.collect():
+        bits[block] = np.frombuffer(of_block, np.uint8)
+    return Lexicon(bits.reshape(-1))
 
 
 def in_order_with_next(docs: DataFrame, key: str, text: str, buckets_per_partition: int = 4) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -184,6 +185,37 @@ def test_fingerprints(spark):
     assert fingerprint.fingerprints(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("power", [fingerprint.LEAST_SLOTS, fingerprint.MOST_SLOTS])
+def test_lexicon_holds_the_slots_of_the_band(spark, monkeypatch, power):
+    monkeypatch.setattr(fingerprint, "LEAST_SLOTS", power)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(3000)], k=40)) for _ in range(200)] + [None, "", "w1 W1", "often " * 9]
+    texts = [t if i % 3 else f"often {t or ''}" for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    df = Counter(s for t in texts for s in {xxhash.xxh64_intdigest(w.lower()) >> 64 - power for w in re.findall(r"\w+", t or "")})
+    for least, share in ((2, 0.05), (0, 1.0), (1, 0.0)):
+        lexicon = fingerprint.build_lexicon(docs, least, share)
+        assert len(lexicon.bits) == 1 << power - 3
+        at = np.flatnonzero(lexicon.bits)
+        got = {int(8 * i + k) for i in at for k in range(8) if lexicon.bits[i] >> k & 1}
+        assert got == {s for s, n in df.items() if least <= n <= max(least, int(share * len(texts)))} and got
+    assert not fingerprint.build_lexicon(docs.where("false")).bits.any()
+
+
+def test_lexicon_reaches_the_driver_packed(spark):
+    """Many terms of the band: the driver holds bytes of the lexicon's size, no object for each part of it."""
+    halves = [" ".join(f"t{i}x{j}" for i in range(50_000)) for j in range(4)]
+    docs = spark.createDataFrame([(t,) for t in halves * 2], "text string").repartition(4)
+    tracemalloc.start()
+    try:
+        lexicon = fingerprint.build_lexicon(docs)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.unpackbits(lexicon.bits).sum() > 190_000
+    assert peak < 5 * len(lexicon.bits)
+
+
 def test_likeness_does_not_fall_with_length():
     lexicon = fingerprint.Lexicon(np.full(1 << fingerprint.SLOT_BITS - 3, 255, np.uint8))
     rng = np.random.default_rng(8)
