@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .common import WordCache, map_rows
+from .common import map_rows
 
 #: Document frequencies of the band: at least so many documents, and at most this share of them.
 MIN_DOCS, MAX_SHARE = 2, 0.05
@@ -47,10 +47,22 @@ def term_hash(term: str) -> int:
     return xxhash.xxh64_intdigest(term.lower())
 
 
-def distinct_terms(text: str, cache: WordCache) -> np.ndarray:
-    """Sorted distinct 64-bit term hashes of a text's words."""
-    words = set(find_terms(text))
-    return np.unique(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    values = np.sort(values)
+    first = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=first[1:])
+    return values[first]
+
+
+def distinct_terms(text: str) -> np.ndarray:
+    """Sorted distinct 64-bit term hashes of a text's words.
+
+    ASCII is lowered at once; other words one by one, since the lower case of
+    a letter can depend on what stands around the word.
+    """
+    terms = set(find_terms(text.lower())) if text.isascii() else set(map(str.lower, set(find_terms(text))))
+    return distinct(np.frombuffer(b"".join(map(xxhash.xxh64_digest, terms)), ">u8").astype(np.uint64))
 
 
 def word_start(text: str, at: int) -> int:
@@ -149,7 +161,7 @@ def build_lexicon(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float =
     low, high = max(min_docs, 1), max(min_docs, int(max_share * size["n"]))
 
     def count(source):
-        cache, held, waiting = WordCache(term_hash), [], 0
+        held, waiting = [], 0
         slots, times = np.empty(0, np.int64), np.empty(0, np.int64)
 
         def add_up():
@@ -160,8 +172,8 @@ def build_lexicon(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float =
             return found, total
 
         for (text,) in source:
-            terms = distinct_terms(text or "", cache)
-            held.append(np.unique((terms >> np.uint64(64 - power)).astype(np.int64)))
+            terms = distinct_terms(text or "")
+            held.append(distinct((terms >> np.uint64(64 - power)).astype(np.int64)))
             waiting += len(terms)
             if waiting >= HELD_SLOTS:
                 slots, times = add_up()
@@ -253,14 +265,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     lexicon = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs))
 
     def rows(source):
-        cache, lex = WordCache(term_hash), lexicon.value
+        lex = lexicon.value
 
         def told(key, text):
-            """The text with its fingerprint and the terms of what an edit keeps; its words are looked up once."""
+            """The text with its fingerprint and the terms of what an edit keeps; its words are hashed once."""
             cut = len(text) - len(text) // 2
             start = word_start(text, cut)
-            head = distinct_terms(text[:start], cache)
-            own = np.union1d(head, distinct_terms(text[start:], cache))
+            head = distinct_terms(text[:start])
+            own = distinct(np.concatenate([head, distinct_terms(text[start:])]))
             return key, text, lex.fingerprint(text, own), (cut, start, head)
 
         def out(one, following):
@@ -270,7 +282,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             if new == text:
                 changed = own
             else:
-                changed = lex.fingerprint(new, np.union1d(head, distinct_terms(new[start:], cache)))
+                changed = lex.fingerprint(new, distinct(np.concatenate([head, distinct_terms(new[start:])])))
             return key, len(text), new, own, changed, likeness(own, changed), likeness(own, next_own)
 
         held, at = None, None
